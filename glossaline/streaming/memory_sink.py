@@ -1,42 +1,34 @@
-"""Caching translations as they arrive: a stream into the translation memory."""
+"""Caching translations as they arrive: a stream of saves into the translation memory.
 
-from __future__ import annotations
-
-
-from pyspark.sql import DataFrame, SparkSession
+Every micro-batch writes one small delta (its last save per key); nothing rewrites the memory
+while the stream runs.  ``fold`` merges the deltas into the memory when it suits, in one upsert.
+"""
 
-from ..operators.memory import upsert
-from ..schemas import TM
-
-
-def _version_path(root: str, version: int) -> str:
-    return f"{root}/v{version:012d}"
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+from ..operators.memory import KEY, acceptable, upsert, with_key
 
+SAVES = (
+    "source_lang STRING, target_lang STRING, source_text STRING, translated_text STRING, provider STRING, model STRING, "
+    "saved_at TIMESTAMP, save_no STRING"
+)
 
-def read_memory(spark: SparkSession, root: str, version: int) -> DataFrame:
-    """The memory after batch ``version``; -1 is the empty one."""
-    if version < 0:
-        return spark.createDataFrame([], TM)
-    return spark.read.schema(TM).parquet(_version_path(root, version))
 
+def last_saves(batch: DataFrame) -> DataFrame:
+    """One row per key, the latest save; the first save's time decides the order of new ids later."""
+    columns = ["source_text", "translated_text", "provider", "model", "saved_at", "save_no"]
+    keyed = with_key(acceptable(batch), "source_text")
+    latest = keyed.groupBy(*KEY).agg(F.max_by(F.struct(*columns), F.struct("saved_at", "save_no")).alias("_s"))
+    return latest.select("source_lang", "target_lang", *[F.col(f"_s.{c}").alias(c) for c in columns])
 
-def save_stream(incoming: DataFrame, root: str, checkpoint: str, trigger: dict | None = None):
-    """Upsert every micro-batch; batch n writes version n from version n - 1.
 
-    In a batch the last save per key wins before the memory is touched.  A replayed batch rewrites
-    its own version, so the result is the same however often it runs.
-    """
+def save_stream(incoming: DataFrame, deltas: str, checkpoint: str, trigger: dict | None = None):
+    """A replayed batch overwrites its own delta, so running it twice changes nothing."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = read_memory(spark, root, batch_id - 1)
-        upsert(before, batch).select(*before.columns).write.mode("overwrite").parquet(_version_path(root, batch_id))
+        last_saves(batch).write.mode("overwrite").parquet(f"{deltas}/batch={batch_id:012d}")
 
     return (
         incoming.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
@@ -44,11 +36,9 @@ def save_stream(incoming: DataFrame, root: str, checkpoint: str, trigger: dict |
     )
 
 
-def latest_version(spark: SparkSession, root: str) -> int:
-    version = -1
-    while _exists(spark, _version_path(root, version + 1)):
-        version += 1
-    return version
+def read_deltas(spark: SparkSession, deltas: str) -> DataFrame:
+    return spark.read.schema(SAVES).option("recursiveFileLookup", True).parquet(deltas)
 
 
-__all__ = ["latest_version", "read_memory", "save_stream"]
+def fold(tm: DataFrame, deltas: DataFrame) -> DataFrame:
+    return upsert(tm, deltas)
