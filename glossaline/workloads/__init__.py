@@ -1,6 +1,6 @@
 """Queries over the given tables, by subject."""
 
-from . import text_queries  # noqa: F401
+from . import memory_queries, text_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
