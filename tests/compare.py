@@ -22,10 +22,13 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(value):
+    # Types are kept apart: 1, 1.0, true and decimal 1 are four different results.
+    if isinstance(value, bool):
+        return f"bool {value}"
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else float(f"{value:.9g}")
+        return "nan" if math.isnan(value) else f"double {value!r}"
     if isinstance(value, decimal.Decimal):
-        return float(f"{float(value):.9g}")
+        return f"decimal {value}"
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None).isoformat()
     if isinstance(value, (list, tuple)):
@@ -42,6 +45,8 @@ def difference(spark, con, fn, sql: str, folder: str) -> str | None:
     """None when equal, else a short description."""
     df = fn(spark, folder)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    if not got:
+        return "no rows"
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     want = rows_of(names, cur.fetchall())
