@@ -1,6 +1,6 @@
 """Queries over the given tables, by subject."""
 
-from . import memory_queries, text_queries, work_queries  # noqa: F401
+from . import catalog_queries, memory_queries, text_queries, work_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
