@@ -1,6 +1,8 @@
 """Queries over the given tables, by subject."""
 
-from . import catalog_queries, memory_queries, text_queries, work_queries  # noqa: F401
+from . import (  # noqa: F401
+    catalog_queries, layout_queries, memory_queries, text_queries, work_queries,
+)
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
