@@ -185,9 +185,9 @@ VISION_WORDS = ["vision", "vl", "multimodal", "gui"]
 REFRESH_STATUSES = ["never", "success", "error"]
 
 # --- fixed values: page layout ------------------------------------------------------------
-FORMULA_PATTERN = (
-    r"(?iU)(?:\bSUM\(|\bAVG\(|\b[A-Za-z]\d+:\w+\d+\b|mc\^2|x\^2|y\^2|=|\^|∑|√|∫|±|≤|≥|≈)"
-)
+# Signs that make a formula by themselves, and spreadsheet-like references.
+FORMULA_SIGN_CLASS = "=^∑√∫±≤≥≈"
+FORMULA_REFERENCE_PATTERN = r"(?iU)(?:\bSUM\(|\bAVG\(|\b[A-Za-z]\d+:\w+\d+\b)"
 WIDE_SPACING_PATTERN = r"(?U)\S\s{2,}\S"
 TABLE_DELIMITER_PATTERN = r"(?U)(?:\s{2,}|[|;,]\s*\S)"
 CAPTION_CUE_PATTERN = (

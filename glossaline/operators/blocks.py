@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..functions.text import count_chars, preview, strip
@@ -16,6 +16,13 @@ def line_text(lines: Column) -> Column:
     return strip(F.array_join(F.filter(F.transform(lines, lambda l: l["text"]), lambda t: t != ""), "\n"))
 
 
+def looks_like_formula(text: Column) -> Column:
+    """A sign test first; the slower reference pattern only where its punctuation occurs."""
+    sign = text.rlike(r"[=\^" + V.FORMULA_SIGN_CLASS[2:] + "]")
+    punctuated = F.contains(text, F.lit("(")) | F.contains(text, F.lit(":"))
+    return sign | F.when(punctuated, text.rlike(V.FORMULA_REFERENCE_PATTERN)).otherwise(False)
+
+
 def has_flag(flag: str) -> Column:
     return F.array_contains("flags", flag)
 
@@ -55,7 +62,7 @@ def flag_blocks(blocks: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     is_text = F.col("kind") == "text"
-    formula = is_text & text.rlike(V.FORMULA_PATTERN)
+    formula = is_text & looks_like_formula(text)
     noisy_text = is_noisy_text(text)
     noisy = is_text & (is_small() | noisy_text)
     band = F.when(is_text, F.bround(F.col("y0") / Y_BAND, 0))
@@ -94,10 +101,11 @@ def _candidate(confidence: float, reason: str) -> Column:
 
 def formula_candidate() -> Column:
     """Struct (confidence, reason), or null."""
-    short = (F.length(strip(F.col("text"))) <= 20) & (symbol_digit_ratio(F.col("text")) >= 0.35)
+    is_short = F.length(strip(F.col("text"))) <= 20
+    short = F.when(is_short, symbol_digit_ratio(F.col("text")) >= 0.35).otherwise(False)
     return (
         F.when(has_flag("formula_like"), _candidate(0.95, "formula_like flag from canonical model"))
-        .when(F.col("text").rlike(V.FORMULA_PATTERN), _candidate(0.9, "math-like token pattern"))
+        .when(looks_like_formula(F.col("text")), _candidate(0.9, "math-like token pattern"))
         .when(short, _candidate(0.72, "short block with high symbol/digit ratio"))
     )
 

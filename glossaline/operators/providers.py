@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
 from ..functions.errors import error_class
-from ..plans.ordered import freeze_order, number_rows, unfreeze, with_row_number
+from ..plans.ordered import freeze_order, number_rows, unfreeze, with_running
 
 STATE_KEY = ["provider", "model", "key_index"]
 
@@ -32,8 +32,6 @@ def provider_states(attempts: DataFrame, as_of, cooldown_seconds: int = V.COOLDO
         keys,
         [F.desc("ts"), F.desc("attempt_no")],
     )
-    from ..plans.ordered import with_running
-
     placed = unfreeze(
         with_running(frozen, keys, {"_from_end": F.lit(1).cast("bigint"), "_timed_from_end": timed.cast("bigint")})
     )

@@ -23,10 +23,14 @@ def column_of(page_width: Column) -> Column:
     )
 
 
-def page_columns(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """Per page: column_count, strategy, warning; one aggregate over its blocks."""
-    placed = blocks.join(pages.select(*PAGE, "width"), PAGE).withColumn("_column", column_of(F.col("width")))
-    content = is_content_text()
+def _place(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Only what the order depends on: ids, boxes, the column. Texts do not travel."""
+    slim = blocks.select(*PAGE, "block_id", "x0", "y0", "x1", "y1", is_content_text().alias("_content"))
+    return slim.join(pages.select(*PAGE, "width"), PAGE).withColumn("_column", column_of(F.col("width"))).drop("width", "x1", "y1")
+
+
+def _page_columns(placed: DataFrame) -> DataFrame:
+    content = F.col("_content")
     counted = placed.groupBy(*PAGE).agg(
         F.count_if(content).alias("_texts"),
         F.count_if(content & (F.col("_column") == 0)).alias("_left"),
@@ -47,25 +51,29 @@ def page_columns(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+def page_columns(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Per page: column_count, strategy, warning; one aggregate over its blocks."""
+    return _page_columns(_place(blocks, pages)).drop("_keeps_columns")
+
+
 def reading_order(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Add column_index and reading_order (0-based within the page).
 
-    A page may hold any share of all rows, so the numbering is the chunked one.
+    A page may hold any share of all rows, so the numbering is the chunked one.  It runs on ids
+    and boxes; the blocks with their texts join the result once.
     """
-    columns = page_columns(blocks, pages)
-    placed = (
-        blocks.join(pages.select(*PAGE, "width"), PAGE)
-        .withColumn("_column", column_of(F.col("width")))
-        .join(columns, PAGE)
+    placed = _place(blocks, pages)
+    keyed = (
+        placed.join(_page_columns(placed), PAGE)
         .withColumn("column_index", F.when(F.col("_keeps_columns"), F.coalesce("_column", F.lit(0))).otherwise(0))
         .withColumn("_group", F.when(F.col("column_count") == 2, F.col("column_index")).otherwise(0))
         .withColumn("_y", F.bround("y0", 3))
         .withColumn("_x", F.bround("x0", 3))
+        .drop("x0", "y0", "_content", "_column", "_keeps_columns")
     )
-    numbered = number_rows(placed, PAGE, ["_group", "_y", "_x", "block_id"], "_nth")
-    return numbered.withColumn("reading_order", (F.col("_nth") - 1).cast("int")).drop(
-        "width", "_column", "_keeps_columns", "_group", "_y", "_x", "_nth"
-    )
+    numbered = number_rows(keyed, PAGE, ["_group", "_y", "_x", "block_id"], "_nth")
+    order = numbered.withColumn("reading_order", (F.col("_nth") - 1).cast("int")).drop("_group", "_y", "_x", "_nth")
+    return blocks.join(order, [*PAGE, "block_id"])
 
 
 def font_size(lines: Column) -> Column:
@@ -85,14 +93,17 @@ def can_be_paragraph() -> Column:
 
 
 def paragraph_members(ordered: DataFrame) -> DataFrame:
-    """Text blocks of paragraphs with ``paragraph_no`` (document-wide, from 0).
+    """(doc, page, block) of the paragraphs with ``paragraph_no`` (document-wide, from 0).
 
     A block opens a paragraph when it cannot join the text block before it, so the paragraph is a
     running count of openings.  Both steps run on the chunked ordering of (document, page,
-    reading order): one written sort, no task per document.
+    reading order): one written sort of slim rows, no task per document.
     """
-    texts = ordered.filter(is_content_text()).withColumn("_ok", can_be_paragraph()).withColumn("_font", font_size(F.col("lines")))
-    frozen = freeze_order(texts, ["doc_id"], ["page_index", "reading_order", "block_id"])
+    slim = ordered.filter(is_content_text()).select(
+        *PAGE, "block_id", "reading_order", "column_index", "x0", "y0", "x1", "y1", can_be_paragraph().alias("_ok"),
+        font_size(F.col("lines")).alias("_font"),
+    )
+    frozen = freeze_order(slim, ["doc_id"], ["page_index", "reading_order", "block_id"])
     used = ["page_index", "column_index", "x0", "x1", "y1", "_font", "_ok"]
     linked = with_previous(frozen, ["doc_id"], {f"_p_{c.strip('_')}": c for c in used})
     gap = F.col("y0") - F.col("_p_y1")
@@ -114,8 +125,7 @@ def paragraph_members(ordered: DataFrame) -> DataFrame:
     )
     opens = F.col("_ok") & ~F.coalesce(joins, F.lit(False))
     counted = with_running(linked, ["doc_id"], {"_opened": opens.cast("bigint")})
-    members = unfreeze(counted).filter("_ok").withColumn("paragraph_no", F.col("_opened") - 1)
-    return members.drop("_opened", "_ok", "_font", *[f"_p_{c.strip('_')}" for c in used])
+    return unfreeze(counted).filter("_ok").select(*PAGE, "block_id", (F.col("_opened") - 1).alias("paragraph_no"))
 
 
 def box_of(*extra: Column) -> list[Column]:
@@ -123,8 +133,11 @@ def box_of(*extra: Column) -> list[Column]:
     return [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), *extra]
 
 
-def paragraphs(members: DataFrame) -> DataFrame:
+def paragraphs(members: DataFrame, blocks: DataFrame) -> DataFrame:
     """One row per paragraph, its text in reading order."""
+    members = members.join(
+        blocks.select(*PAGE, "block_id", "text", "flags", "reading_order", "column_index", "x0", "y0", "x1", "y1"), [*PAGE, "block_id"]
+    )
     ordered = F.array_sort(F.collect_list(F.struct("reading_order", "block_id", "text")))
     grouped = members.groupBy(*PAGE, "paragraph_no").agg(
         *box_of(

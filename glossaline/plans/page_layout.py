@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from ..operators.blocks import PAGE, flag_blocks
+from ..operators.blocks import flag_blocks
 from ..operators.captions import apply_captions, caption_links
 from ..operators.reading import page_columns, paragraph_members, paragraphs, reading_order
 from ..operators.regions import apply_regions, detect_regions
@@ -52,7 +52,7 @@ class PageLayout:
 
     @cached_property
     def paragraphs(self) -> DataFrame:
-        return paragraphs(self.members)
+        return paragraphs(self.members, self.ordered)
 
     @cached_property
     def regions(self) -> DataFrame:
@@ -64,4 +64,4 @@ class PageLayout:
 
     @cached_property
     def units(self) -> DataFrame:
-        return build_plan(self.protected, self.members.select(*PAGE, "block_id", "paragraph_no"))
+        return build_plan(self.protected, self.members)

@@ -64,3 +64,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of few splits one task per core.
+
+    A table of one small file is one task, whatever work each row needs.  A table that already has
+    enough splits, as any large one has, is returned as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df

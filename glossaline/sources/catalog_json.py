@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.catalog import ENTRY, FLAGS
+from ..operators.catalog import ENTRY
 
 MODEL = (
     "struct<id:string,label:string,enabled:boolean,source:string,visibility:string,"
@@ -61,4 +61,4 @@ def catalog_json(entries: DataFrame, defaults: DataFrame, version: int = 1) -> D
     )
 
 
-__all__ = ["CATALOG", "FLAGS", "catalog_json", "parse_catalogs", "provider_json", "read_catalog"]
+__all__ = ["CATALOG", "catalog_json", "parse_catalogs", "provider_json", "read_catalog"]

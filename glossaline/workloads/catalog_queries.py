@@ -8,7 +8,7 @@ from .. import fixed_values as V
 from ..operators import blocks as B
 from ..operators import catalog as C
 from ..sources import catalog_json, files
-from .base import any_of, in_list, mapped, query, table, text
+from .base import any_of, in_list, mapped, query, table, text, texts
 
 _SOURCES = ["user", "default", "api_discovered", "docs_known", "", "legacy"]
 _VISIBLE = ["unverified", "live_validated", "unavailable", "", "current_key_visible"]
@@ -261,7 +261,7 @@ def file_manifest(spark, sf):
         F.when(key % 50 == 0, F.concat(F.lit("/etc/"), key)).when(key % 31 == 0, F.concat(F.lit("/data/../"), key))
         .otherwise(F.concat(F.lit("/data/"), F.md5("url")))
     )
-    listed = table(spark, sf, "pages").select(F.concat(folder, ext).alias("path"), (F.length("html") * 12000).cast("bigint").alias("length"))
+    listed = texts(spark, sf, "pages").select(F.concat(folder, ext).alias("path"), (F.length("html") * 12000).cast("bigint").alias("length"))
     return files.manifest_rows(listed, F.lit("2024-05-06").cast("date")).drop("length")
 
 
@@ -270,7 +270,7 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN md5(regexp_replace(text, '\r\n?', c
 """)
 def decode_files(spark, sf):
     """Whole texts as file contents, every third with a byte order mark."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     content = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(files.BOM), F.col("text"))).otherwise(F.col("text")).cast("binary")
     decoded = files.decode_bytes(docs.select("doc_id", content.alias("content")))
     return decoded.select("doc_id", F.md5("text").alias("digest"), "encoding_used")
@@ -279,7 +279,7 @@ def decode_files(spark, sf):
 @query("decode_single_byte_files")
 def decode_single_byte_files(spark, sf):
     """Texts stored in a single-byte code; which codec accepts them depends on their bytes."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     fits = ~F.col("text").rlike(r"[^\x00-\xff]")
     content = F.when(fits, F.encode(F.when(fits, F.col("text")), "ISO-8859-1")).otherwise(F.col("text").cast("binary"))
     return files.decode_bytes(docs.select("doc_id", content.alias("content"))).select("doc_id", "encoding_used", F.length("text").alias("chars"))

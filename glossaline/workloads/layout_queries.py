@@ -89,6 +89,7 @@ def layout(spark, sf) -> PageLayout:
 
 # --- the same chain in SQL ----------------------------------------------------------------
 
+_FORMULA = text(f"[=\\^{V.FORMULA_SIGN_CLASS[2:]}]|" + V.FORMULA_REFERENCE_PATTERN.replace("(?iU)", "(?i)"))
 _DENSE = f"regexp_replace(text, {text(f'[{SPACE}]+')}, '', 'g')"
 BLOCKS_SQL = f"""
 {LINES},
@@ -103,7 +104,7 @@ pgs AS (SELECT DISTINCT doc_id, page_index FROM texts),
 blocks AS (SELECT * FROM texts UNION ALL SELECT doc_id, page_index, 'p' || page_index || '-i0', 900, 'image', 72, 600, 300, 700, [], 0, '' FROM pgs
   UNION ALL SELECT doc_id, page_index, 'p' || page_index || '-d0', 901, 'drawing', 320, 300, 520, 380, [], 0, '' FROM pgs WHERE page_index % 2 = 1),
 bands AS (SELECT doc_id, page_index, round_even(y0 / 12, 0) AS band FROM blocks WHERE kind = 'text' GROUP BY 1, 2, 3 HAVING count(*) >= 3 AND count(*) FILTER (WHERE regexp_matches(text, '\\p{{Nd}}')) >= 2),
-fl AS (SELECT b.*, kind = 'text' AND regexp_matches(text, {re2(V.FORMULA_PATTERN)}) AS formula, length({_DENSE}) < 2 OR NOT regexp_matches({_DENSE}, '[\\p{{L}}\\p{{N}}]') AS noisy_text,
+fl AS (SELECT b.*, kind = 'text' AND regexp_matches(text, {_FORMULA}) AS formula, length({_DENSE}) < 2 OR NOT regexp_matches({_DENSE}, '[\\p{{L}}\\p{{N}}]') AS noisy_text,
   kind = 'text' AND (regexp_matches(text, {re2(V.WIDE_SPACING_PATTERN)}) OR (len(pieces) >= 3 AND len(list_filter(pieces, lambda p: regexp_matches(p, '\\p{{Nd}}'))) >= 2) OR bands.band IS NOT NULL) AS tab
   FROM blocks b LEFT JOIN bands ON b.kind = 'text' AND bands.doc_id = b.doc_id AND bands.page_index = b.page_index AND bands.band = round_even(b.y0 / 12, 0)),
 flagged AS (SELECT *, kind = 'text' AND (noisy_text OR x1 - x0 < 20 OR y1 - y0 < 8) AS noisy, kind = 'text' AND NOT (noisy_text OR x1 - x0 < 20 OR y1 - y0 < 8) AS trans, kind <> 'text' AS visual FROM fl)

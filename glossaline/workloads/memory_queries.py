@@ -8,7 +8,7 @@ from .. import fixed_values as V
 from ..operators import glossary as G
 from ..operators import memory as M
 from ..sources import glossary_csv
-from .base import any_of, norm, query, seg_hash, strip, table
+from .base import any_of, norm, query, seg_hash, strip, table, texts
 
 # The memory: documents labelled good, one entry per key, the newest document as its translation.
 TM_SQL = f"""
@@ -21,7 +21,7 @@ tm AS (SELECT lang AS source_lang, 'vi' AS target_lang, {seg_hash('lang', "'vi'"
 
 
 def labelled_documents(spark, sf):
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    return texts(spark, sf).join(table(spark, sf, "labels"), "doc_id")
 
 
 def at_second(column):
@@ -40,7 +40,7 @@ def memory_table(spark, sf):
 
 
 def document_segments(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         F.col("doc_id").alias("seg_id"), F.col("lang").alias("source_lang"), F.lit("vi").alias("target_lang"), "text",
         at_second(F.col("doc_id")).alias("requested_at"),
     )
@@ -86,7 +86,7 @@ SELECT coalesce(id, top + row_number() OVER (PARTITION BY id IS NULL ORDER BY fi
   md5(source_text) AS source_digest, md5(translated) AS translated_digest, updated_at FROM merged, top
 """)
 def tm_upsert(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    docs = texts(spark, sf).join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
     translated = (
         F.when(F.col("toxic") == 1, F.concat(F.lit("Translation failed: "), F.col("text")))
         .when(F.col("n_chars") % 50 == 0, " ").otherwise(F.concat(F.lit("new "), F.col("text")))
@@ -192,7 +192,7 @@ kept AS (SELECT * FROM ranked WHERE rank <= {V.MAX_GLOSSARY_TERMS})
 
 
 def glossary_segments(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         F.col("doc_id").alias("seg_id"), F.when(F.col("lang").isin("en", "fr"), F.col("lang")).otherwise("auto").alias("source_lang"),
         F.lit("vi").alias("target_lang"), "text",
     )

@@ -10,12 +10,12 @@ from ..functions import text as T
 from ..operators import segments as S
 from ..sources import files
 from .base import (
-    LINES, SPACE, any_of, count_class, in_list, mapped, norm, query, re2, seg_hash, strip, table, text,
+    LINES, SPACE, any_of, count_class, in_list, mapped, norm, query, re2, seg_hash, strip, table, text, texts,
 )
 
 
 def document_lines(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     return docs.select("doc_id", "lang", "source", F.posexplode(T.lines(F.col("text"))).alias("ln", "line"))
 
 
@@ -23,7 +23,7 @@ def document_lines(spark, sf):
 SELECT doc_id, length({norm('text')}) AS norm_chars, {seg_hash("lang", "'vi'", 'text')} AS source_text_hash FROM documents
 """)
 def segment_normalize_hash(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     return docs.select(
         "doc_id", F.length(T.normalize(F.col("text"))).cast("bigint").alias("norm_chars"),
         T.segment_hash(F.col("lang"), F.lit("vi"), F.col("text")).alias("source_text_hash"),
@@ -39,7 +39,7 @@ FROM groups GROUP BY lang
 """)
 def segment_duplicates(spark, sf):
     """The flagship: repeated segments per language, and the memory hits they would be."""
-    keyed = table(spark, sf, "documents").select(
+    keyed = texts(spark, sf).select(
         "lang", T.segment_hash(F.col("lang"), F.lit("vi"), F.col("text")).alias("h"), F.length("text").alias("n")
     )
     groups = keyed.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("copies"), F.sum("n").alias("chars"))
@@ -57,7 +57,7 @@ _CLEAN = strip(
 
 @query("clean_extracted_text", f"SELECT page_id, length({_CLEAN}) AS chars, md5({_CLEAN}) AS digest FROM pages")
 def clean_extracted_text(spark, sf):
-    cleaned = table(spark, sf, "pages").select("page_id", T.clean_extracted(F.col("html")).alias("c"))
+    cleaned = texts(spark, sf, "pages").select("page_id", T.clean_extracted(F.col("html")).alias("c"))
     return cleaned.select("page_id", F.length("c").cast("bigint").alias("chars"), F.md5("c").alias("digest"))
 
 
@@ -67,7 +67,7 @@ SELECT page_id, left(html, 80) AS preview, CASE WHEN length(html) > 80 THEN left
 FROM pages
 """)
 def previews_and_labels(spark, sf):
-    return table(spark, sf, "pages").select(
+    return texts(spark, sf, "pages").select(
         "page_id", T.preview(F.col("html")).alias("preview"), T.preview(F.col("html"), ellipsis=True).alias("preview_dots"),
         T.file_label(F.col("url")).alias("label"),
     )
@@ -92,7 +92,7 @@ SELECT target, count(*) AS documents,
 FROM d GROUP BY target
 """)
 def language_codes(spark, sf):
-    docs = _with_target(table(spark, sf, "documents"))
+    docs = _with_target(texts(spark, sf))
     return docs.groupBy("target").agg(
         F.count(F.lit(1)).alias("documents"), F.max(language.normalize_code(F.col("target"))).alias("code"),
         F.max(language.ocr_code(F.col("target"))).alias("ocr"),
@@ -113,7 +113,7 @@ r AS (SELECT *, CASE WHEN source = '' THEN 'missing_source' WHEN target = '' THE
 SELECT source, target, coalesce(reason, 'accepted') AS outcome, count(*) AS documents FROM r GROUP BY 1, 2, 3
 """)
 def language_pairs(spark, sf):
-    docs = _with_target(table(spark, sf, "documents"))
+    docs = _with_target(texts(spark, sf))
     docs = docs.withColumn("source", F.when(F.col("source") < "src2", "auto").otherwise(F.col("lang")))
     reason = language.pair_reject_reason(F.col("source"), F.col("target"))
     return docs.groupBy("source", "target", F.coalesce(reason, F.lit("accepted")).alias("outcome")).agg(
@@ -134,7 +134,7 @@ FROM documents
 """)
 def language_signals(spark, sf):
     signals = language.script_signals(F.col("text"))
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", signals["has_vietnamese"].alias("has_vietnamese"), signals["has_japanese"].alias("has_japanese"),
         signals["has_han"].alias("has_han"), F.round(signals["ascii_ratio"], 6).alias("ascii_ratio"),
         language.language_evidence(F.col("text"), F.col("lang")).alias("evidence"),
@@ -236,7 +236,7 @@ SELECT doc_id, regexp_matches(received, {_MOJI}) AS damaged,
 FROM d
 """)
 def mojibake_repair(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     received = F.when(F.col("lang").isin("fr", "es"), _misread(F.col("text"))).otherwise(F.col("text"))
     return docs.select("doc_id", received.alias("received")).select(
         "doc_id", encoding.has_mojibake(F.col("received")).alias("damaged"),
@@ -254,7 +254,7 @@ SELECT doc_id, count(*) AS issues, min(line_no) AS first_line, arg_min(pattern,
 FROM hits WHERE pattern IS NOT NULL GROUP BY doc_id
 """)
 def mojibake_scan(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     received = F.when(F.col("lang").isin("fr", "es"), _misread(F.col("text"))).otherwise(F.col("text"))
     report = files.mojibake_report(docs.select("doc_id", received.alias("text")), ["doc_id"])
     return report.withColumn("first_line", F.col("first_line").cast("bigint"))
@@ -282,9 +282,9 @@ SELECT 'documents' AS origin, doc_id AS id, md5({_secrets_sql(_CONFIG_SQL)}) AS
 UNION ALL SELECT 'conversations', conv_id * 1000 + turn, md5({_secrets_sql('text')}) FROM conversations
 """)
 def redact_secrets(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     one = docs.select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), redaction.redact_secrets(_config(docs)).alias("t"))
-    two = table(spark, sf, "conversations").select(
+    two = texts(spark, sf, "conversations").select(
         F.lit("conversations").alias("origin"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         redaction.redact_secrets(F.col("text")).alias("t"),
     )
@@ -296,7 +296,7 @@ SELECT doc_id, md5({_secrets_sql(_CONFIG_SQL)}) AS top_digest, md5({_secrets_sql
 """)
 def redact_rows(spark, sf):
     """The schema-driven form, over a struct holding an array and a map."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     nested = docs.select(
         "doc_id", _config(docs).alias("top"), F.struct(F.array(_config(docs)).alias("items"), F.create_map(F.lit("label"), F.col("source")).alias("m")).alias("n")
     )
@@ -325,7 +325,7 @@ SELECT doc_id, {_PROVIDER_SQL} AS provider_error, {_CATALOG_SQL} AS catalog_erro
 FROM r
 """)
 def redact_profiles(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     tail = F.concat(F.lit("AIzaSy"), F.md5("lang"), F.lit(" Bearer tok"), F.col("n_chars"), F.lit(" sk-"), F.col("doc_id"), F.lit(" "), F.col("text"))
     return docs.select("doc_id", "lang", _config(docs).alias("t"), tail.alias("tail"), "text").select(
         "doc_id", redaction.redact_provider_error(F.col("t"), F.col("lang")).alias("provider_error"),
@@ -356,7 +356,7 @@ WITH {_CHUNKS.format(n=V.MAX_CHUNK_CHARS)}
 SELECT doc_id, chunk_no, length(chunk) AS chars, md5(chunk) AS digest, length({strip('chunk')}) < 2 AS passes_through FROM chunks
 """)
 def chunk_documents(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf).select("doc_id", "text")
     return S.explode_chunks(docs).select(
         "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.length("chunk").cast("bigint").alias("chars"),
         F.md5("chunk").alias("digest"), "passes_through",
@@ -370,14 +370,14 @@ subs AS (SELECT doc_id, chunk_no, i AS sub_no, substring(chunk, i * {V.SUB_CHUNK
 SELECT doc_id, count(*) AS pieces, max(length(piece)) AS longest FROM subs GROUP BY doc_id
 """)
 def sub_chunk_documents(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf).select("doc_id", "text")
     pieces = S.sub_chunks(S.explode_chunks(docs).select("doc_id", "chunk_no", "chunk"))
     return pieces.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.max(F.length("chunk")).cast("bigint").alias("longest"))
 
 
 @query("chunk_rejoin", "SELECT doc_id, length(text) AS chars, md5(text) AS digest FROM documents WHERE length(text) > 0")
 def chunk_rejoin(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf).select("doc_id", "text")
     joined = S.rejoin(S.explode_chunks(docs), ["doc_id"], ["chunk_no"], "chunk")
     return joined.select("doc_id", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"))
 
@@ -387,7 +387,7 @@ SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest, count(*)
 """)
 def conversation_text(spark, sf):
     """Ordered reassembly of a document from its parts."""
-    turns = table(spark, sf, "conversations")
+    turns = texts(spark, sf, "conversations")
     whole = S.rejoin(turns, ["conv_id"], ["turn"], "text", "\n")
     counts = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("parts"))
     return whole.join(counts, "conv_id").select("conv_id", F.md5("text").alias("digest"), "parts")
@@ -398,7 +398,7 @@ SELECT source, CAST(sum((length(t) - length(replace(t, 'overflow fallback', ''))
 FROM (SELECT source, lower(replace(text, 'the ', 'overflow Fallback ')) AS t FROM documents) GROUP BY source
 """)
 def overflow_mentions(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     log = F.replace(F.col("text"), F.lit("the "), F.lit("overflow Fallback "))
     return docs.groupBy("source").agg(F.sum(T.overflow_mentions(log)).alias("mentions"))
 
@@ -450,7 +450,7 @@ f AS (SELECT *, CASE WHEN code = 404 THEN CASE WHEN {any_of('t', V.MODEL_HINTS_4
 SELECT page_id, by_text, by_status, health, {_REFINED} AS refined FROM f
 """)
 def error_classify(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = texts(spark, sf, "pages")
     code = F.get(F.array(*[F.lit(c) for c in _CODES]), (F.col("page_id") % 6).cast("int"))
     named = pages.withColumn("code", code).select(
         "page_id", "code", F.concat(F.lit("HTTP "), F.col("code"), F.lit(" "), F.col("url")).alias("message"),

@@ -8,7 +8,7 @@ from ..operators import jobs as J
 from ..operators import providers as P
 from ..operators import segments as S
 from ..sources import files
-from .base import LINES, query, strip, table, text
+from .base import LINES, query, strip, table, text, texts
 from .text_queries import _skip_sql, document_lines, error_class_sql
 
 # --- segments -----------------------------------------------------------------------------
@@ -122,7 +122,7 @@ SELECT conv_id, batch_no, turn AS position, NOT (n > 1 AND chars > 3000) AS spli
   md5(CASE WHEN n > 1 AND chars > 3000 THEN text ELSE replace(text, 'e', 'E') END) AS digest FROM t JOIN b USING (conv_id, batch_no)
 """)
 def super_batch_split(spark, sf):
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    turns = texts(spark, sf, "conversations").select("conv_id", "turn", "text")
     out = S.translate_super_batches(turns, ["conv_id"], "turn", 4, batch_stub, "auto", "vi")
     return out.select("conv_id", "batch_no", "position", "split_ok", F.md5("result").alias("digest"))
 
@@ -131,7 +131,7 @@ def super_batch_split(spark, sf):
 SELECT c.conv_id, c.turn, md5(CASE WHEN c.role = 'user' THEN 'ok ' || c.text ELSE c.text END) AS digest FROM conversations c
 """)
 def restore_originals(spark, sf):
-    turns = table(spark, sf, "conversations")
+    turns = texts(spark, sf, "conversations")
     results = turns.filter("role = 'user'").select("conv_id", "turn", F.concat(F.lit("ok "), F.col("text")).alias("result"))
     out = S.restore_originals(turns, results, ["conv_id", "turn"])
     return out.select("conv_id", "turn", F.md5("result").alias("digest"))
@@ -263,7 +263,7 @@ SELECT doc_id AS segment_id, source AS job_id, left(text, 500) AS error_message,
   CAST(n_chars AS INTEGER) AS source_length FROM documents
 """)
 def failed_item_log(spark, sf):
-    items = table(spark, sf, "documents").select(
+    items = texts(spark, sf).select(
         F.col("doc_id").alias("segment_id"), F.col("source").alias("job_id"), F.col("text").alias("error_message"),
         (F.col("n_chars") % 3 - 1).cast("int").alias("retry_count"), F.col("n_chars").cast("int").alias("source_length"),
     )
