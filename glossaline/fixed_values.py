@@ -188,8 +188,6 @@ REFRESH_STATUSES = ["never", "success", "error"]
 # Signs that make a formula by themselves, and spreadsheet-like references.
 FORMULA_SIGN_CLASS = "=^∑√∫±≤≥≈"
 FORMULA_REFERENCE_PATTERN = r"(?iU)(?:\bSUM\(|\bAVG\(|\b[A-Za-z]\d+:\w+\d+\b)"
-WIDE_SPACING_PATTERN = r"(?U)\S\s{2,}\S"
-TABLE_DELIMITER_PATTERN = r"(?U)(?:\s{2,}|[|;,]\s*\S)"
 CAPTION_CUE_PATTERN = (
     r"(?iU)(?:\bfigure\b|\bfig\.\b|\btable\b|\bchart\b|\bcaption\b|hình|図|表|biểu\s+đồ)"
 )

@@ -16,6 +16,11 @@ def line_text(lines: Column) -> Column:
     return strip(F.array_join(F.filter(F.transform(lines, lambda l: l["text"]), lambda t: t != ""), "\n"))
 
 
+# Two or more white-space characters, and a delimiter followed by content.
+GAP = f"[{V.WHITESPACE_CLASS}]{{2}}"
+DELIMITER = f"[|;,][{V.WHITESPACE_CLASS}]*[^{V.WHITESPACE_CLASS}]"
+
+
 def looks_like_formula(text: Column) -> Column:
     """A sign test first; the slower reference pattern only where its punctuation occurs."""
     sign = text.rlike(r"[=\^" + V.FORMULA_SIGN_CLASS[2:] + "]")
@@ -38,8 +43,10 @@ def flags_when(*pairs: tuple[Column, list[str]]) -> Column:
 
 
 def is_noisy_text(text: Column) -> Column:
-    dense = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{V.WHITESPACE_CLASS}]+", "")
-    return (F.length(dense) < 2) | ~dense.rlike(f"[{V.ALNUM_CLASS}]")
+    """Fewer than two visible characters, or no letter and no digit; both tests stop early."""
+    text = F.coalesce(text, F.lit(""))
+    space = V.WHITESPACE_CLASS
+    return ~text.rlike(f"[^{space}][{space}]*[^{space}]") | ~text.rlike(f"[{V.ALNUM_CLASS}]")
 
 
 def is_small(df_min_width: float = 20.0, min_height: float = 8.0) -> Column:
@@ -51,7 +58,7 @@ def is_small(df_min_width: float = 20.0, min_height: float = 8.0) -> Column:
 def _wide_or_numeric() -> Column:
     lines = F.filter(F.coalesce("lines", F.array()), lambda l: l["text"] != "")
     digit_lines = F.filter(lines, lambda l: l["text"].rlike(r"\p{Nd}"))
-    return F.col("text").rlike(V.WIDE_SPACING_PATTERN) | ((F.size(lines) >= 3) & (F.size(digit_lines) >= 2))
+    return strip(F.col("text")).rlike(GAP) | ((F.size(lines) >= 3) & (F.size(digit_lines) >= 2))
 
 
 def flag_blocks(blocks: DataFrame) -> DataFrame:
@@ -113,7 +120,7 @@ def formula_candidate() -> Column:
 def table_candidate() -> Column:
     digits = count_chars(F.col("text"), V.DIGIT_VALUE_CLASS)
     return F.when(has_flag("table_like"), _candidate(0.88, "table_like flag from canonical model")).when(
-        F.col("text").rlike(V.TABLE_DELIMITER_PATTERN) & (digits >= 2),
+        (F.col("text").rlike(GAP) | F.col("text").rlike(DELIMITER)) & (digits >= 2),
         _candidate(0.7, "delimiter-heavy block with numeric content"),
     )
 

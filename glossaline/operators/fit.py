@@ -15,13 +15,34 @@ def _class(letters: str) -> str:
     return "".join("\\" + c if c in "\\[]^-/&" else c for c in letters)
 
 
+SPECIAL = V.NARROW_LETTERS + V.WIDE_LETTERS + V.POINT_MARKS + V.BRACKET_MARKS + V.SIGN_MARKS
+ASCII_UPPER = "".join(c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c not in SPECIAL)
+
+
 def width_units(text: Column) -> Column:
     """Width in hundredths of the font size; whole numbers, so sums are exact in any order.
 
-    Each class is counted by one linear pass; everything left is an ordinary character.
+    Plain ASCII, nearly every token, is counted by character deletion; other text by character
+    classes.
     """
-    special = V.NARROW_LETTERS + V.WIDE_LETTERS + V.POINT_MARKS + V.BRACKET_MARKS + V.SIGN_MARKS
-    upper = r"\p{Lu}&&[^" + _class(special) + "]"
+    return F.when(text.rlike(r"[^\x21-\x7e]"), _any_width(text)).otherwise(_ascii_width(text)).cast("int")
+
+
+def _ascii_width(text: Column) -> Column:
+    groups = [
+        ("0123456789", V.WIDTH_DIGIT), (V.NARROW_LETTERS, V.WIDTH_NARROW), (V.WIDE_LETTERS, V.WIDTH_WIDE), (V.POINT_MARKS, V.WIDTH_POINT),
+        (V.BRACKET_MARKS, V.WIDTH_BRACKET), (V.SIGN_MARKS, V.WIDTH_SIGN), (ASCII_UPPER, V.WIDTH_UPPER),
+    ]
+    # Each character counts as ordinary, corrected by what deleting a group removes.
+    corrections = sum(width - V.WIDTH_OTHER for _, width in groups)
+    total = F.length(text) * (V.WIDTH_OTHER + corrections)
+    for letters, width in groups:
+        total = total - F.length(F.translate(text, letters, "")) * (width - V.WIDTH_OTHER)
+    return total
+
+
+def _any_width(text: Column) -> Column:
+    upper = r"\p{Lu}&&[^" + _class(SPECIAL) + "]"
     extra = [
         (V.WHITESPACE_CLASS, V.WIDTH_SPACE),
         (V.CJK_CLASS, V.WIDTH_CJK),
@@ -36,7 +57,7 @@ def width_units(text: Column) -> Column:
     for char_class, width in extra:
         total = total + count_chars(text, char_class) * (width - V.WIDTH_OTHER)
     upper_count = F.length(text) - F.length(F.regexp_replace(text, f"[{upper}]+", ""))
-    return (total + upper_count * (V.WIDTH_UPPER - V.WIDTH_OTHER)).cast("int")
+    return total + upper_count * (V.WIDTH_UPPER - V.WIDTH_OTHER)
 
 
 def _is_cjk(line: Column, hint: Column) -> Column:
@@ -136,19 +157,30 @@ def fit_units(requests: DataFrame) -> DataFrame:
     )
     steps = F.sequence(F.lit(0), F.floor((F.col("_original") - F.col("min_font_size") + 1e-6) / STEP).cast("int"))
 
+    best_type = "struct<h:double,w:double,size:double,capacity:int>"
+
+    def judged(size: Column, capacity: Column, measured: Column) -> Column:
+        # One-element transforms name the measurement, so that it is taken once.
+        over_height = F.greatest(F.lit(0.0), measured["n"] * size * F.col("line_height_ratio") - F.col("height"))
+        over_width = F.greatest(F.lit(0.0), measured["widest"] * size / 100.0 - F.col("width"))
+        return F.struct(over_height.alias("h"), over_width.alias("w"), size.alias("size"), capacity.alias("capacity")).cast(best_type)
+
     def attempt(i: Column) -> Column:
         size = F.round(F.col("_original") - i * STEP, 2)
         capacity = F.floor(F.col("width") * 100.0 / size + 1e-9).cast("int")
-        measured = _measure(F.col("_tokens"), capacity)
-        over_height = F.greatest(F.lit(0.0), measured["n"] * size * F.col("line_height_ratio") - F.col("height"))
-        over_width = F.greatest(F.lit(0.0), measured["widest"] * size / 100.0 - F.col("width"))
-        return F.struct(over_height.alias("h"), over_width.alias("w"), (-size).alias("negative_size"), capacity.alias("capacity"))
+        return F.get(F.transform(F.array(_measure(F.col("_tokens"), capacity)), lambda m: judged(size, capacity, m)), F.lit(0))
+
+    def better(best: Column, i: Column) -> Column:
+        less = lambda new: (new["h"] < best["h"]) | ((new["h"] == best["h"]) & (new["w"] < best["w"]))
+        keep_smaller = F.get(
+            F.transform(F.array(attempt(i)), lambda new: F.when(best.isNull() | less(new), new).otherwise(best)), F.lit(0)
+        )
+        # The first size that fits ends the search: later ones are not measured.
+        return F.when((best["h"] <= 0) & (best["w"] <= 0), best).otherwise(keep_smaller)
 
-    attempts = F.transform(steps, attempt)
-    # Zero overflow at the largest size sorts first, as does the least overflow otherwise.
-    tried = prepared.withColumn("_best", F.array_min(attempts))
+    tried = prepared.withColumn("_best", F.aggregate(steps, F.lit(None).cast(best_type), better))
     empty = F.col("text") == ""
-    size = F.when(empty, F.col("_original")).otherwise(-F.col("_best.negative_size"))
+    size = F.when(empty, F.col("_original")).otherwise(F.col("_best.size"))
     overflow = ~empty & ((F.col("_best.h") > 0) | (F.col("_best.w") > 0))
     scale = F.when(F.col("_original") != 0, size / F.nullif("_original", F.lit(0.0))).otherwise(1.0)
     small = ~empty & ((F.col("width") <= 40) | (F.col("height") <= 12))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .. import fixed_values as V
 from ..functions.text import is_blank, normalize, prompt_value
 from ..plans.changes import apply_changes
-from ..plans.substrings import BROADCAST_BYTES, GRAM, all_grams, anchored_terms
+from ..plans.substrings import BROADCAST_BYTES, all_grams, anchored_by_terms, anchored_terms, term_grams
 
 
 def list_terms(
@@ -64,17 +64,14 @@ def match_terms(segments: DataFrame, glossary: DataFrame, broadcast_bytes: int =
     columns = ["seg_id", F.col("_term_no").alias("term_id"), "source_term", "target_term"]
     if _bytes_of(terms) <= broadcast_bytes:
         # The terms fit on every executor: probe them from the text side, no shuffle of texts.
-        # The first n-gram is the anchor.
-        anchored = terms.withColumn("_anchor", F.substring("_term", 1, GRAM))
+        anchored = anchored_by_terms(terms, "_term")
         probe = texts.withColumn("_anchor", F.explode(all_grams(F.col("_text"))))
         return probe.join(F.broadcast(anchored), "_anchor").filter(fits).select(*columns)
     # Large glossary: anchors are picked by how rare they are in the texts, then both sides meet
     # on the anchor; only ids travel, and the text joins back for the final check.
-    term_grams = terms.select(
-        F.explode(all_grams(F.col("_term"))).alias("_gram")
-    ).distinct()
+    wanted = terms.select(F.explode(term_grams(F.col("_term"))).alias("_gram")).distinct()
     text_grams = texts.select("seg_id", F.explode(all_grams(F.col("_text"))).alias("_gram"))
-    counts = text_grams.join(term_grams, "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
+    counts = text_grams.join(wanted, "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
     anchored = anchored_terms(terms, "_term", counts)
     pairs = text_grams.withColumnRenamed("_gram", "_anchor").join(
         anchored.select("_anchor", "_term_no"), "_anchor"

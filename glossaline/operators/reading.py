@@ -95,13 +95,15 @@ def can_be_paragraph() -> Column:
 def paragraph_members(ordered: DataFrame) -> DataFrame:
     """(doc, page, block) of the paragraphs with ``paragraph_no`` (document-wide, from 0).
 
+    ``ordered``: blocks with reading order, flags and ``font_size``.
+
     A block opens a paragraph when it cannot join the text block before it, so the paragraph is a
     running count of openings.  Both steps run on the chunked ordering of (document, page,
     reading order): one written sort of slim rows, no task per document.
     """
     slim = ordered.filter(is_content_text()).select(
         *PAGE, "block_id", "reading_order", "column_index", "x0", "y0", "x1", "y1", can_be_paragraph().alias("_ok"),
-        font_size(F.col("lines")).alias("_font"),
+        F.col("font_size").alias("_font"),
     )
     frozen = freeze_order(slim, ["doc_id"], ["page_index", "reading_order", "block_id"])
     used = ["page_index", "column_index", "x0", "x1", "y1", "_font", "_ok"]

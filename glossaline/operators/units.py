@@ -32,15 +32,15 @@ def _barred() -> Column:
     return F.arrays_overlap("region_kinds", F.array(*[F.lit(k) for k in V.UNTRANSLATABLE_KINDS]))
 
 
-def build_plan(protected: DataFrame, members: DataFrame) -> DataFrame:
+def build_plan(protected: DataFrame, members: DataFrame, spans: DataFrame) -> DataFrame:
     """Accepted and skipped units.
 
     ``protected``: blocks after region flags, with reading order.  ``members``: (doc, page, block,
-    paragraph_no) of the paragraphs found before.  A paragraph is used when all its blocks are
+    paragraph_no) of the paragraphs found before.  ``spans``: (doc, page, block, span_ids).  A paragraph is used when all its blocks are
     safe; every other block becomes a caption unit, a single unit, or a skipped unit.
     """
     blocks = protected.join(members.select(*PAGE, "block_id", "paragraph_no"), [*PAGE, "block_id"], "left")
-    blocks = blocks.withColumn("_spans", span_ids())
+    blocks = blocks.join(spans.withColumnRenamed("span_ids", "_spans"), [*PAGE, "block_id"])
     safe = is_content_text() & has_flag("translatable") & ~_barred() & ~has_flag("caption_like")
     parts = F.array_sort(F.collect_list(F.struct("reading_order", "block_id", "text", "_spans")))
     grouped = (

@@ -5,13 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from ..operators.blocks import flag_blocks
+from ..operators.blocks import PAGE, flag_blocks
 from ..operators.captions import apply_captions, caption_links
-from ..operators.reading import page_columns, paragraph_members, paragraphs, reading_order
+from ..operators.reading import font_size, page_columns, paragraph_members, paragraphs, reading_order
 from ..operators.regions import apply_regions, detect_regions
-from ..operators.units import build_plan
+from ..operators.units import build_plan, span_ids
 from ..session import materialize
 
 
@@ -19,7 +19,7 @@ from ..session import materialize
 class PageLayout:
     """Blocks and pages in, layout tables out; a table is planned when first asked for.
 
-    Tables several others read (flagged blocks, ordered blocks) are written once, so no
+    Tables several others read (flagged blocks, caption links, ordered blocks) are written once, so no
     step runs twice and a lost executor costs only its own task.
     """
 
@@ -28,11 +28,13 @@ class PageLayout:
 
     @cached_property
     def flagged(self) -> DataFrame:
-        return materialize(flag_blocks(self.blocks), "flagged-blocks")
+        # The nested lines and spans stay behind: the chain needs one number of them.
+        flagged = flag_blocks(self.blocks).withColumn("font_size", font_size(F.col("lines"))).drop("lines")
+        return materialize(flagged, "flagged-blocks")
 
     @cached_property
     def links(self) -> DataFrame:
-        return caption_links(self.flagged)
+        return materialize(caption_links(self.flagged), "caption-links")
 
     @cached_property
     def captioned(self) -> DataFrame:
@@ -64,4 +66,5 @@ class PageLayout:
 
     @cached_property
     def units(self) -> DataFrame:
-        return build_plan(self.protected, self.members)
+        spans = self.blocks.select(*PAGE, "block_id", span_ids().alias("span_ids"))
+        return build_plan(self.protected, self.members, spans)

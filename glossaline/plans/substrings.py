@@ -20,7 +20,22 @@ def _grams(text, size: int):
 
 
 def all_grams(text):
-    return F.array_distinct(F.flatten(F.array(*[_grams(text, n) for n in range(1, GRAM + 1)])))
+    """Distinct n-grams of every size up to the full one (sizes cannot collide)."""
+    return F.concat(*[_grams(text, n) for n in range(1, GRAM + 1)])
+
+
+def term_grams(term):
+    """The n-grams a term may be anchored on: of full size, or the whole short term."""
+    size = F.least(F.length(term), F.lit(GRAM))
+    return F.when(size == 1, _grams(term, 1)).when(size == 2, _grams(term, 2)).otherwise(_grams(term, GRAM))
+
+
+def anchored_by_terms(terms: DataFrame, term: str) -> DataFrame:
+    """Add ``_anchor``: the term's n-gram that the fewest terms share; looks at the terms only."""
+    spread = terms.select("_term_no", F.explode(term_grams(F.col(term))).alias("_gram"))
+    shared = spread.groupBy("_gram").agg(F.count(F.lit(1)).alias("_terms"))
+    anchors = spread.join(shared, "_gram").groupBy("_term_no").agg(F.min_by("_gram", F.struct("_terms", "_gram")).alias("_anchor"))
+    return terms.join(anchors, "_term_no")
 
 
 def anchored_terms(terms: DataFrame, term: str, gram_counts: DataFrame) -> DataFrame:
@@ -29,11 +44,7 @@ def anchored_terms(terms: DataFrame, term: str, gram_counts: DataFrame) -> DataF
     ``gram_counts(_gram, _texts)`` lists the term grams seen in the texts.  A term with a gram no
     text has cannot match at all, and drops out.
     """
-    size = F.least(F.length(term), F.lit(GRAM))
-    grams = F.when(size == 1, _grams(F.col(term), 1)).when(size == 2, _grams(F.col(term), 2)).otherwise(
-        _grams(F.col(term), GRAM)
-    )
-    spread = terms.withColumn("_gram", F.explode(grams)).join(gram_counts, "_gram", "left")
+    spread = terms.withColumn("_gram", F.explode(term_grams(F.col(term)))).join(gram_counts, "_gram", "left")
     columns = [c for c in terms.columns]
     return (
         spread.groupBy("_term_no")

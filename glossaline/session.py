@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 # Settings every job of this library relies on.  Values a cluster already sets win.
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.ansi.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -62,7 +62,7 @@ def line_blocks(spark, sf):
         F.col("slot").alias("ordinal"), F.lit("text").alias("kind"), "x0", "y0", "x1", "y1",
         F.transform(pieces, line).alias("lines"), none.alias("flags"),
     ).withColumn("text", B.line_text(F.col("lines")))
-    pages = texts.select("doc_id", "page_index").distinct()
+    pages = placed.select(F.col("doc_id").cast("string").alias("doc_id"), "page_index").distinct()
 
     def visual(df, name, ordinal, kind, box):
         empty = F.array().cast(texts.schema["lines"].dataType)
@@ -105,7 +105,7 @@ blocks AS (SELECT * FROM texts UNION ALL SELECT doc_id, page_index, 'p' || page_
   UNION ALL SELECT doc_id, page_index, 'p' || page_index || '-d0', 901, 'drawing', 320, 300, 520, 380, [], 0, '' FROM pgs WHERE page_index % 2 = 1),
 bands AS (SELECT doc_id, page_index, round_even(y0 / 12, 0) AS band FROM blocks WHERE kind = 'text' GROUP BY 1, 2, 3 HAVING count(*) >= 3 AND count(*) FILTER (WHERE regexp_matches(text, '\\p{{Nd}}')) >= 2),
 fl AS (SELECT b.*, kind = 'text' AND regexp_matches(text, {_FORMULA}) AS formula, length({_DENSE}) < 2 OR NOT regexp_matches({_DENSE}, '[\\p{{L}}\\p{{N}}]') AS noisy_text,
-  kind = 'text' AND (regexp_matches(text, {re2(V.WIDE_SPACING_PATTERN)}) OR (len(pieces) >= 3 AND len(list_filter(pieces, lambda p: regexp_matches(p, '\\p{{Nd}}'))) >= 2) OR bands.band IS NOT NULL) AS tab
+  kind = 'text' AND (regexp_matches(text, '\\S\\s{{2,}}\\S') OR (len(pieces) >= 3 AND len(list_filter(pieces, lambda p: regexp_matches(p, '\\p{{Nd}}'))) >= 2) OR bands.band IS NOT NULL) AS tab
   FROM blocks b LEFT JOIN bands ON b.kind = 'text' AND bands.doc_id = b.doc_id AND bands.page_index = b.page_index AND bands.band = round_even(b.y0 / 12, 0)),
 flagged AS (SELECT *, kind = 'text' AND (noisy_text OR x1 - x0 < 20 OR y1 - y0 < 8) AS noisy, kind = 'text' AND NOT (noisy_text OR x1 - x0 < 20 OR y1 - y0 < 8) AS trans, kind <> 'text' AS visual FROM fl)
 """
@@ -122,7 +122,7 @@ def layout_flags(spark, sf):
 
 _RATIO = f"CASE WHEN length({_DENSE}) > 0 THEN (length({_DENSE}) - (length(regexp_replace({_DENSE}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) - {count_class(_DENSE, DIGIT_VALUES)}))::DOUBLE / length({_DENSE}) ELSE 0.0 END"
 _FORMULA_CONF = f"CASE WHEN formula THEN 0.95 WHEN kind = 'text' AND length(text) <= 20 AND {_RATIO} >= 0.35 THEN 0.72 END"
-_TABLE_CONF = f"CASE WHEN tab THEN 0.88 WHEN kind = 'text' AND regexp_matches(text, {re2(V.TABLE_DELIMITER_PATTERN)}) AND {count_class('text', DIGIT_VALUES)} >= 2 THEN 0.7 END"
+_TABLE_CONF = f"CASE WHEN tab THEN 0.88 WHEN kind = 'text' AND regexp_matches(text, '\\s{{2,}}|[|;,]\\s*\\S') AND {count_class('text', DIGIT_VALUES)} >= 2 THEN 0.7 END"
 
 
 @query("layout_candidates", f"""
@@ -352,7 +352,7 @@ SELECT m.doc_id, unit_id, CAST(greatest(8, coalesce(min(size) FILTER (WHERE len(
 """)
 def unit_fonts(spark, sf):
     chain = layout(spark, sf)
-    return U.unit_fonts(chain.units, chain.ordered)
+    return U.unit_fonts(chain.units, chain.blocks)
 
 
 @query("document_metrics", f"""
