@@ -25,7 +25,7 @@ def parse_catalogs(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    return parse_catalogs(spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "text"))
+    return parse_catalogs(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text"))
 
 
 def provider_json(entries: DataFrame, defaults: DataFrame) -> DataFrame:
