@@ -15,7 +15,7 @@ def provider_states(attempts: DataFrame, as_of, cooldown_seconds: int = V.COOLDO
     """State of every (provider, model, key) after its attempts, seen at time ``as_of``.
 
     ``attempts``: keys, ts, attempt_no (unique order within a key), status, error_type,
-    latency_ms.  The reference walks the attempts one by one; here each row gets its place in its
+    latency_ms.  Instead of walking the attempts one by one, each row gets its place in its
     key from the chunked ordering, and the folds become plain sums with map-side combine:
 
     * latency: the weight of a value is a power of the keep factor, by its distance to the end;

@@ -26,7 +26,7 @@ def translate_rows(df: DataFrame, fn: Callable[[str, str, str], dict], paralleli
     def one(text: str, source: str, target: str) -> tuple:
         try:
             r = fn(text, source, target)
-        except Exception as exc:  # the reference keeps the original text on any failure
+        except Exception as exc:  # the original text stays on any failure
             r = {"status": "failed", "error_type": type(exc).__name__, "error_message": str(exc)}
         return (
             r.get("status", "success"), r.get("text"), r.get("provider"), r.get("model"), r.get("error_type"),
