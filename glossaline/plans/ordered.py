@@ -42,7 +42,7 @@ def _chunk_window(keys: list[str]):
 
 
 def _join_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(F.broadcast(carry), [CHUNK, *keys], "left") if keys else df.join(F.broadcast(carry), [CHUNK], "left")
+    return df.join(F.broadcast(carry), [CHUNK, *keys], "left")
 
 
 def with_running(frozen: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -57,7 +57,9 @@ def with_running(frozen: DataFrame, keys: list[str], sums: dict[str, Column]) ->
     for name in sums:
         carried = carried.withColumn(f"_c_{name}", F.sum(f"_s_{name}").over(earlier))
     # Only the first key of a chunk can have rows in earlier chunks: at most one row per chunk.
-    has_carry = F.coalesce(*[F.col(f"_c_{name}").isNotNull() for name in sums])
+    has_carry = F.lit(False)
+    for name in sums:
+        has_carry = has_carry | F.col(f"_c_{name}").isNotNull()
     carried = carried.filter(has_carry).select(CHUNK, *keys, *[f"_c_{name}" for name in sums])
     window = _chunk_window(keys).rowsBetween(Window.unboundedPreceding, 0)
     local = out
