@@ -57,3 +57,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     label = materialize(label, "labels")
     smallest = label.groupBy("p").agg(F.least(F.min("u"), F.col("p")).alias("component"))
     return label.join(smallest, "p").select(F.col("u").alias("node"), "component")
+
+
+def slices(text: str, size: int = 1 << 20):
+    """A long text in pieces cut before white space, so that words stay whole and memory bounded."""
+    import re
+
+    start = 0
+    while len(text) - start > size:
+        cut = re.compile(r"\s").search(text, start + size)
+        if cut is None:
+            break
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid
+from . import bpe, langid, toxicity
 from .common import fold, in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").filter(fold("doc_id", 3) != 1)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select(
+        "doc_id", in_fold("doc_id", 3, 1).alias("held_out"), F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"), F.size("toxic_evidence").alias("n_neighbours"),
+        F.try_element_at("toxic_evidence", F.lit(1))["example"].alias("nearest_id"),
+    )
+
+
 @query("op4_language_id")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
