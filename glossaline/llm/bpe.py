@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .common import small_batches
+
 BLOCK_CHARS = 50_000  # texts beyond this are encoded in blocks
 
 
@@ -73,7 +75,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids:
         for batch in batches:
             yield pd.Series([encoder.ids(value).tobytes() for value in batch], dtype=object)
 
-    return df.withColumn(ids, run(F.col(text)))
+    return small_batches(df).withColumn(ids, run(F.col(text)))
 
 
 def decode(df: DataFrame, rank_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -85,7 +87,7 @@ def decode(df: DataFrame, rank_file: str, ids: str = "ids", out: str = "decoded"
         for batch in batches:
             yield pd.Series([b"".join(map(token.__getitem__, np.frombuffer(value or b"", "<u4").tolist())) for value in batch], dtype=object)
 
-    return df.withColumn(out, run(F.col(ids)))
+    return small_batches(df).withColumn(out, run(F.col(ids)))
 
 
 def count(ids: str = "ids"):

@@ -7,6 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import materialize
 
 
+def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """Let Spark hand texts to Python in batches of few rows: the default of 10,000 long texts fills a worker's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def fold(id_column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo a number; null for a null id."""
     return F.crc32(F.col(id_column).cast("string")) % F.lit(modulus)

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
+from .common import small_batches
 
 SLOT_BITS = 20  # 2**20 slots: 8 MB for up to 64 languages, whatever the size of the corpus
 SIZES = (3, 4)  # letters of an n-gram, word edges counted
@@ -118,7 +119,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     share = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(min(1.0, per_language / sizes[name])))])
     number = F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))])
     drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
-    sample = rows.filter(drawn).select("text", number[F.col("lang")].alias("lang"))
+    sample = small_batches(rows).filter(drawn).select("text", number[F.col("lang")].alias("lang"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = letter_table()
@@ -162,5 +163,5 @@ def predict(df: DataFrame, filters: Filters, text: str = "text", prefix: str = "
             yield pd.DataFrame([model.decide(value, letters) for value in batch], columns=["pred", "score", "coverage"])
 
     scratch = f"{prefix}found"
-    out = df.withColumn(scratch, run(F.col(text)))
+    out = small_batches(df).withColumn(scratch, run(F.col(text)))
     return out.withColumns({f"{prefix}{name}": F.col(scratch)[name] for name in ("pred", "score", "coverage")}).drop(scratch)

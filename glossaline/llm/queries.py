@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, toxicity
+from ..session import materialize
+from . import bpe, langid, mixing, toxicity
 from .common import fold, in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +49,13 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op6_mix_sources")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    rows = materialize(mixing.sized(table(spark, folder, "documents")), "mix-sizes")
+    mixed = mixing.mix(rows, mixing.targets(rows))
+    return mixed.select("doc_id", "size", "source_size", "target", mixing.taken().alias("taken"))
+
+
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers

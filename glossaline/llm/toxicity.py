@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .common import slices
+from .common import slices, small_batches
 
 WORD = re.compile(r"[^\W_]+")
 BLOCK = 64  # examples of a block
@@ -156,7 +156,7 @@ def fit(
     # At most about 2 * per_class ids: safe to broadcast.
     sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(marked.filter(drawn)), "id")
     # A fixed order of examples, so that ties resolve alike in every run.
-    sample = materialize(sample.select("id", "text", "label"), "toxicity-sample")
+    sample = materialize(small_batches(sample).select("id", "text", "label"), "toxicity-sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -253,5 +253,5 @@ def score(df: DataFrame, state: dict, text: str = "text", prefix: str = "toxic_"
             yield pd.DataFrame({"score": [s for s, _ in found], "evidence": [e for _, e in found]})
 
     scratch = f"{prefix}found"
-    out = df.withColumn(scratch, run(F.col(text)))
+    out = small_batches(df).withColumn(scratch, run(F.col(text)))
     return out.withColumns({f"{prefix}score": F.col(scratch)["score"], f"{prefix}evidence": F.col(scratch)["evidence"]}).drop(scratch)
