@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from . import bpe, langid, minhash, mixing, toxicity
+from . import bpe, html_templates, langid, minhash, mixing, toxicity
 from .common import fold, in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select(
         "doc_id", bpe.count().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query("op10_html_main_text")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_templates.extract(table(spark, folder, "pages"))
+    text = F.array_join("blocks", "\n")
+    return found.select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
