@@ -61,46 +61,50 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
 # --- drawing ---------------------------------------------------------------------------------
 
 
-def _log_factorial(n: Column) -> Column:
-    """ln n!, by products below 16 and Stirling's series above (error under 1e-12)."""
-    x = F.greatest(n, F.lit(16.0)) + 1.0
-    series = (x - 0.5) * F.log(x) - x + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
-    return F.when(n < 16, F.element_at(small, n.cast("int") + 1)).otherwise(series)
+def _let(name: str, value: str, body: str) -> str:
+    """SQL in which ``name`` stands for a value that is computed once, however often it is named."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _uniform(*parts: Column) -> Column:
-    """In (0, 1), from a hash."""
-    return (F.shiftrightunsigned(F.xxhash64(*parts), 12).cast("double") + 0.5) / float(1 << 52)
+def _log_factorial(n: str) -> str:
+    """SQL for ln n!, from a list below 16 and by Stirling's series above (error under 1e-12)."""
+    small = ", ".join(f"{math.lgamma(i + 1)!r}D" for i in range(16))
+    series = f"(z - 0.5D) * ln(z) - z + {0.5 * math.log(2 * math.pi)!r}D + (1D / 12 - (1D / 360 - 1D / (1260 * z * z)) / (z * z)) / z"
+    return f"if({n} < 16, element_at(array({small}), cast({n} as int) + 1), {_let('z', f'{n} + 1D', series)})"
 
 
-def hypergeometric(good: Column, bad: Column, draws: Column, *seed: Column) -> Column:
-    """Random number of good ones among ``draws`` taken without replacement.
+def hypergeometric(good: str, bad: str, draws: str, *seed: str) -> Column:
+    """Random number of good ones among ``draws`` taken without replacement; arguments are SQL.
 
     Rejection by ratio of uniforms under the exact log-probability: each trial accepts with
     probability above 0.6, the first accepted of 96 counts.  If none is, the mean does.
     """
-    total = good + bad
-    low, high = F.greatest(F.lit(0.0), draws - bad), F.least(draws, good)
-    share = good / total
-    mean = draws * share
-    spread = F.sqrt((total - draws) * draws * share * (1 - share) / F.greatest(total - 1, F.lit(1.0)) + 0.5)
-    width = 2 * math.sqrt(2 / math.e) * spread + (3 - 2 * math.sqrt(3 / math.e))
-    mode = F.floor((draws + 1) * (good + 1) / (total + 2)).cast("double")
+    return F.expr(_hypergeometric(good, bad, draws, *seed))
 
-    def log_weight(k: Column) -> Column:
-        return -(_log_factorial(k) + _log_factorial(good - k) + _log_factorial(draws - k) + _log_factorial(bad - draws + k))
 
-    def trial(i: Column) -> Column:
-        u = _uniform(*seed, i, F.lit("u"))
-        at = F.floor(mean + 0.5 + width * (_uniform(*seed, i, F.lit("v")) - 0.5) / u).cast("double")
-        inside = (at >= low) & (at <= high)
-        held = F.greatest(low, F.least(high, at))
-        return F.when(inside & (2 * F.log(u) <= log_weight(held) - log_weight(mode)), at)
+def _hypergeometric(good: str, bad: str, draws: str, *seed: str) -> str:
+    spread = "sqrt((p.good + p.bad - p.draws) * p.draws * p.share * (1 - p.share) / greatest(p.good + p.bad - 1, 1D) + 0.5D)"
+    bounds = (
+        "named_struct('good', p.good, 'bad', p.bad, 'draws', p.draws, 'low', greatest(0D, p.draws - p.bad), 'high', least(p.draws, p.good), "
+        f"'middle', p.draws * p.share + 0.5D, 'width', {2 * math.sqrt(2 / math.e)!r}D * {spread} + {3 - 2 * math.sqrt(3 / math.e)!r}D, "
+        "'mode', cast(floor((p.draws + 1) * (p.good + 1) / (p.good + p.bad + 2)) as double))"
+    )
+
+    def log_weight(k: str) -> str:
+        return f"aggregate(array({k}, q.good - {k}, q.draws - {k}, q.bad - q.draws + {k}), 0D, (s, n) -> s - {_log_factorial('n')})"
 
-    trials = F.filter(F.transform(F.sequence(F.lit(1), F.lit(96)), trial), lambda x: x.isNotNull())
-    drawn = F.coalesce(F.try_element_at(trials, F.lit(1)), F.floor(mean + 0.5).cast("double"))
-    return F.when(low == high, low).otherwise(F.greatest(low, F.least(high, drawn)))
+    def uniform(name: str) -> str:  # in (0, 1), from a hash
+        return f"((shiftrightunsigned(xxhash64({', '.join(seed)}, i, '{name}'), 12) + 0.5D) / {1 << 52}D)"
+
+    trial = _let(
+        "t", f"named_struct('u', {uniform('u')}, 'k', cast(floor(q.middle + q.width * ({uniform('v')} - 0.5D) / {uniform('u')}) as double))",
+        f"if(t.k >= q.low and t.k <= q.high and 2 * ln(t.u) <= {log_weight('t.k')} - peak, t.k, null)",
+    )
+    # Once a trial is accepted the others are not evaluated.
+    first = f"aggregate(sequence(1, 96), cast(null as double), (s, i) -> coalesce(s, {trial}))"
+    drawn = f"if(q.low = q.high, q.low, greatest(q.low, least(q.high, coalesce({first}, floor(q.middle)))))"
+    given = f"named_struct('good', double({good}), 'bad', double({bad}), 'draws', double({draws}), 'share', double({good}) / greatest(double({good}) + double({bad}), 1D))"
+    return _let("p", given, _let("q", bounds, _let("peak", log_weight("q.mode"), drawn)))
 
 
 def split_tree(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
@@ -109,29 +113,24 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     ``quotas`` has (sid, quota).  Every level of the tree halves the shards of a node and draws, source
     after source, how many of the node's blocks go to the left half.
     """
-    node = quotas.agg(F.sort_array(F.collect_list(F.struct("sid", "quota"))).alias("all")).select(
-        F.lit(0).alias("lo"), F.lit(shards).alias("hi"),
-        F.transform("all", lambda x: x["sid"]).alias("sids"), F.transform("all", lambda x: x["quota"].cast("double")).alias("quota"),
+    node = quotas.agg(F.sort_array(F.collect_list(F.struct("sid", "quota"))).alias("all")).selectExpr(
+        "0 as lo", f"{shards} as hi", "transform(all, x -> x.sid) as sids", "transform(all, x -> double(x.quota)) as quota"
     )
-    for level in range(max(0, math.ceil(math.log2(max(1, shards))))):
-        total = F.aggregate("quota", F.lit(0.0), lambda s, x: s + x)
-        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        # A shard's size is the difference of two rounded shares, so sizes add up and differ by one at most.
-        left_size = F.when(F.col("hi") - F.col("lo") > 1, F.floor(total * (middle - F.col("lo")) / (F.col("hi") - F.col("lo")) + 0.5)).otherwise(total)
-
-        def draw(state: Column, x: Column) -> Column:
-            taken = hypergeometric(x["q"], state["rest"] - x["q"], state["need"], F.lit(seed), F.lit(level), F.col("lo"), x["sid"])
-            return F.struct((state["rest"] - x["q"]).alias("rest"), (state["need"] - taken).alias("need"), F.concat(state["out"], F.array(taken)).alias("out"))
-
-        pairs = F.zip_with("sids", "quota", lambda s, q: F.struct(s.alias("sid"), q.alias("q")))
-        begin = F.struct(total.alias("rest"), left_size.cast("double").alias("need"), F.array().cast("array<double>").alias("out"))
-        node = node.withColumn("left", F.aggregate(pairs, begin, draw)["out"]).withColumn("middle", middle)
-        halves = F.array(
-            F.struct(F.col("lo"), F.when(F.col("hi") - F.col("lo") > 1, F.col("middle")).otherwise(F.col("hi")).alias("hi"), F.col("left").alias("quota")),
-            F.struct(F.col("middle").alias("lo"), F.col("hi"), F.zip_with("quota", "left", lambda q, x: q - x).alias("quota")),
+    taken = _hypergeometric("x.q", "state.rest - x.q", "state.need", str(seed), "lo", "hi", "x.sid")
+    step = _let("drawn", taken, "named_struct('rest', state.rest - x.q, 'need', state.need - drawn, 'out', concat(state.out, array(drawn)))")
+    for _ in range(math.ceil(math.log2(max(1, shards)))):
+        node = node.selectExpr("*", "int(floor((lo + hi) / 2)) as middle", "aggregate(quota, 0D, (s, x) -> s + x) as total").selectExpr(
+            # A half's size is a rounded share, so sizes add up and shards differ by few blocks.
+            "*", "if(hi - lo > 1, double(floor(total * (middle - lo) / (hi - lo) + 0.5D)), total) as need",
+        ).selectExpr(
+            "*", "aggregate(zip_with(sids, quota, (s, q) -> named_struct('sid', s, 'q', q)), "
+            f"named_struct('rest', total, 'need', need, 'out', cast(array() as array<double>)), (state, x) -> {step}).out as left",
+        ).selectExpr(
+            "sids", "explode(if(hi - lo > 1, array(named_struct('lo', lo, 'hi', middle, 'quota', left), "
+            "named_struct('lo', middle, 'hi', hi, 'quota', zip_with(quota, left, (q, x) -> q - x))), array(named_struct('lo', lo, 'hi', hi, 'quota', quota)))) as n",
         )
-        kept = F.when(F.col("hi") - F.col("lo") > 1, halves).otherwise(F.slice(halves, 1, 1))
-        node = node.select("sids", F.explode(kept).alias("n")).select("n.lo", "n.hi", "sids", "n.quota")
+        # One small row per node; written, so that the next level's plan starts from it.
+        node = materialize(node.select("n.lo", "n.hi", "sids", "n.quota"), "mix-tree")
     dealt = node.select(F.col("lo").alias("shard"), F.explode(F.arrays_zip("sids", "quota")).alias("x")).select(
         "shard", F.col("x.sids").alias("sid"), F.col("x.quota").cast("bigint").alias("blocks")
     )
