@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from . import bpe, html_templates, langid, minhash, mixing, toxicity
+from . import bpe, html_templates, langid, minhash, mixing, preference, toxicity
 from .common import fold, in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,39 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", mixing.taken().alias("taken"))
 
 
+def _rendered(turns: str) -> str:
+    return f"coalesce(array_to_string(list_transform({turns}, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '')"
+
+
+def _span_text(turns: str) -> str:
+    ends = f"list_transform({turns}, lambda t, i: list_sum(list_transform({turns}[1:i], lambda u: length(u.role) + length(u.text) + 13)))"
+    spans = f"list_transform({turns}, lambda t, i: CASE WHEN t.role = 'assistant' THEN CAST({ends}[i] - length(t.text) - 8 AS BIGINT) || '-' || CAST({ends}[i] AS BIGINT) END)"
+    return f"coalesce(array_to_string(list_filter({spans}, lambda s: s IS NOT NULL), ','), '')"
+
+
+@query("op7_preference_pairs", f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+a AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS k FROM t WHERE role = 'assistant'),
+l AS (SELECT conv_id, max(turn) FILTER (k = 1) AS last_turn, max(text) FILTER (k = 2) AS stale, count(*) AS n FROM a WHERE k <= 2 GROUP BY conv_id),
+r AS (SELECT t.conv_id, turn, role, CASE WHEN role = 'assistant' AND turn = last_turn THEN stale ELSE text END AS text
+      FROM t LEFT JOIN l USING (conv_id) WHERE NOT coalesce(role = 'assistant' AND turn = last_turn AND n = 1, false)),
+cl AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS c FROM t GROUP BY conv_id),
+rl AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS r FROM r GROUP BY conv_id),
+b AS (SELECT conv_id, c, coalesce(r, []) AS r FROM cl LEFT JOIN rl USING (conv_id)),
+p AS (SELECT *, coalesce(list_position(list_transform(range(1, greatest(len(c), len(r)) + 1), lambda i: coalesce(c[i] = r[i], false)), false) - 1, len(c)) AS n FROM b),
+q AS (SELECT conv_id, n, c[1:n] AS m, c[n + 1:] AS cc, r[n + 1:] AS rr FROM p)
+SELECT conv_id, CAST(n AS INTEGER) AS prompt_turns, {_rendered("m")} AS prompt, {_rendered("cc")} AS chosen, {_span_text("cc")} AS chosen_spans,
+       {_rendered("rr")} AS rejected, {_span_text("rr")} AS rejected_spans FROM q""")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    found = preference.pairs(turns, preference.stale_answers(turns, "pair_id"))
+
+    def told(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(spans)
+
+    return found.select(F.col("pair_id").alias("conv_id"), "prompt_turns", "prompt", "chosen", told("chosen_spans"), "rejected", told("rejected_spans"))
+
+
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
