@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from . import bpe, html_templates, langid, minhash, mixing, preference, toxicity
+from . import bpe, html_templates, langid, minhash, mixing, pivots, preference, toxicity
 from .common import fold, in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op5_pivot_neardup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query("op6_mix_sources")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     rows = materialize(mixing.sized(table(spark, folder, "documents")), "mix-sizes")
