@@ -10,7 +10,7 @@ share a band are compared exactly and linked at similarity 0.8 or more; classes
 components.
 
 Groups of copies stay cheap: texts of the same words are one node from the start; in a band's bucket
-every text is compared with one leader, not with every other; what those comparisons leave apart is
+every text is compared with a few leaders, not with every other; what those comparisons leave apart is
 compared with further leaders, and at last with every member of another class in its bucket, so no
 link that a band shows is lost.  A pair of similarity 0.8 shares no band with probability 2e-4.
 
@@ -29,18 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize
 from .common import components, slices, small_batches
 
 WORDS = 5
 BANDS, ROWS = 16, 4
-POOL_BITS = 16  # variates are drawn once for 2**16 hash values
+POOL_BITS = 13  # variates are drawn once for 2**13 hash values: a table that stays in the cache
 SLOTS = 1 << 18  # hashed words of the document-frequency table
 GRID = 16
 WORD = re.compile(r"[^\W_]+")
 CHUNK = 256  # shingles sampled at once: the work stays in the cache
+LEADERS = 4  # of each bucket and round
 KEPT_WORDS = 1 << 19  # words whose hash a task remembers
 
 
@@ -66,11 +67,14 @@ class Shingler:
         parts = []
         for piece in slices(text.lower()):
             found = WORD.findall(piece)
-            if len(self.known) > KEPT_WORDS:
-                self.known.clear()
+            self.trim()
             parts.append(np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found)))
         return np.concatenate(parts)
 
+    def trim(self) -> None:
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+
     def fingerprint(self, text: str | None, words: np.ndarray) -> bytes | None:
         """Equal for texts of the same words; None for null and blank texts."""
         if len(words):
@@ -160,7 +164,10 @@ def rarities(docs: DataFrame, text: str = "text") -> np.ndarray:
         for batch in batches:
             for value in batch["text"]:
                 if value:
-                    held[np.unique((shingler.words(value) & np.uint64(SLOTS - 1)).astype(np.int64))] += 1
+                    found = {w for piece in slices(value.lower()) for w in WORD.findall(piece)}
+                    at = np.fromiter(map(shingler.known.__getitem__, found), np.uint64, len(found)) & np.uint64(SLOTS - 1)
+                    held[np.unique(at.astype(np.int64))] += 1
+                    shingler.trim()
                     n += 1
         slot = np.flatnonzero(held)
         yield pd.DataFrame({"slot": np.r_[slot, -1], "n": np.r_[held[slot], n]})
@@ -254,13 +261,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
         if not pairs_left["cross"]:
             break
         # Few enough to compare all, or leaders find nothing more: compare every pair of different classes.
-        last = pairs_left["cross"] <= 4 * pairs_left["rows"] or idle > 1
+        last = pairs_left["cross"] <= 2 * LEADERS * pairs_left["rows"] or idle > 0
         if last:
             other = open_rows.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
             pairs = open_rows.select("key", F.col("node").alias("a"), "label").join(other, "key").filter("a < b and label != other").select("a", "b").distinct()
         else:
             order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")
-            leader = materialize(open_rows.groupBy("key").agg(F.min(order).alias("leader")), "leaders")
+            # The limit of a rank runs before the shuffle: a few rows of each bucket and task are sorted.
+            rank = F.row_number().over(Window.partitionBy("key").orderBy(order))
+            leader = materialize(open_rows.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).select("key", F.struct("node", "label").alias("leader")), "leaders")
             pairs = open_rows.join(leader, "key").filter("label != leader.label").select(
                 F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")
             ).distinct()
