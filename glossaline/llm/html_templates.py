@@ -230,5 +230,10 @@ def extract(
     )
     # One list per page, no longer than the page has elements.
     template = marked.join(recurring, ["_host", "mark"]).groupBy("_row").agg(F.collect_set("mark").alias("_template"))
+    out = [*keep, "url", F.col("_host").alias("host")]
+    # Texts of pages without any such element need not move to meet the list.
+    none = F.size(F.flatten(F.col("_blocks.marks"))) == 0
+    plain = parsed.filter(none).select(*out, F.col("_blocks.text").alias("blocks"))
     left = F.filter("_blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["marks"], F.col("_template")), F.lit(False)))
-    return parsed.join(template, "_row", "left").select(*keep, "url", F.col("_host").alias("host"), F.transform(left, lambda b: b["text"]).alias("blocks"))
+    cleaned = parsed.filter(~none).join(template, "_row", "left").select(*out, F.transform(left, lambda b: b["text"]).alias("blocks"))
+    return plain.unionByName(cleaned)
