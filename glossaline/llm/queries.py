@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from . import bpe, html_templates, langid, minhash, mixing, pivots, preference, toxicity
+from . import bpe, hnsw, html_templates, langid, minhash, mixing, pivots, preference, toxicity, vectors
 from .common import fold, in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,13 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op3_hnsw_search")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    asked = vectors.valid(rows.filter(F.col("vec_id") % 20 == 0)).select(F.col("vec_id").alias("query_id"), "embedding")
+    return hnsw.search(hnsw.index(rows), asked)
+
+
 @query("op4_language_id")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
