@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from . import bpe, hnsw, html_templates, langid, minhash, mixing, pivots, preference, toxicity, vectors
+from . import bpe, hnsw, html_templates, langid, maxent, minhash, mixing, pivots, preference, toxicity, vectors
 from .common import fold, in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("pair_id").alias("conv_id"), "prompt_turns", "prompt", "chosen", told("chosen_spans"), "rejected", told("rejected_spans"))
 
 
+@query("op8_maxent_lm")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = maxent.fit(docs.filter(~in_fold("doc_id", 7, 2)))
+    return maxent.score(docs, model).withColumn("held_out", in_fold("doc_id", 7, 2))
+
+
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
