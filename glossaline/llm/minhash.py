@@ -9,10 +9,12 @@ two texts with probability their weighted Jaccard similarity; four samples make
 share a band are compared exactly and linked at similarity 0.8 or more; classes are the connected
 components.
 
-Groups of copies stay cheap: texts of the same words are one node from the start; in a band's bucket
-every text is compared with a few leaders, not with every other; what those comparisons leave apart is
-compared with further leaders, and at last with every member of another class in its bucket, so no
-link that a band shows is lost.  A pair of similarity 0.8 shares no band with probability 2e-4.
+Groups of copies stay cheap: texts of the same words are one node from the start, and bands whose
+buckets hold the same texts count once.  A bucket is compared inside a task, in pairs of blocks of
+bounded size; pairs are never written out.  There a text is compared with all others of its blocks
+until the texts not yet compared are all in one class, so a bucket of copies costs one comparison
+per text, and no link that a band shows is lost.  A pair of similarity 0.8 shares no band with
+probability 2e-4.  A bucket of many unlike texts costs the square of its size in comparisons.
 
 Defined results: texts of fewer than five words are one shingle of all words; texts without a word
 are copies of each other only if they are equal and not blank; null and blank texts are classes of
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from .common import components, slices, small_batches
@@ -41,7 +43,7 @@ SLOTS = 1 << 18  # hashed words of the document-frequency table
 GRID = 16
 WORD = re.compile(r"[^\W_]+")
 CHUNK = 256  # shingles sampled at once: the work stays in the cache
-LEADERS = 4  # of each bucket and round
+BLOCK = 512  # texts of a block of a bucket
 KEPT_WORDS = 1 << 19  # words whose hash a task remembers
 
 
@@ -147,13 +149,36 @@ class Sampler:
         return (out ^ (out >> np.uint64(32))).view(np.int64)
 
 
-def similarity(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two shingle sets with weight levels."""
-    wa, wb = np.exp(la / GRID), np.exp(lb / GRID)
-    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-    same = a[at] == b
-    shared = np.minimum(wa[at[same]], wb[same]).sum()
-    return float(shared / (wa.sum() + wb.sum() - shared))
+def join_bucket(nodes: list[bytes], shingles: list[np.ndarray], levels: list[np.ndarray], threshold: float) -> list[tuple[bytes, bytes]]:
+    """(node, root) for the nodes that links of at least the threshold join to another."""
+    n = len(nodes)
+    names, at = np.unique(np.concatenate(shingles), return_inverse=True)
+    sizes = np.fromiter(map(len, shingles), np.int64, n)
+    weight = np.exp(np.concatenate(levels) / GRID)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(n), sizes)
+    total = np.bincount(owner, weight, n)
+    order = np.argsort(at, kind="stable")
+    listed, listed_weight = owner[order], weight[order]
+    starts = np.searchsorted(at[order], np.arange(len(names) + 1))
+
+    def similar(u: int) -> np.ndarray:
+        mine = slice(ends[u] - sizes[u], ends[u])
+        begin, length = starts[at[mine]], starts[at[mine] + 1] - starts[at[mine]]
+        places = np.arange(length.sum()) + np.repeat(begin - (np.cumsum(length) - length), length)
+        shared = np.bincount(listed[places], np.minimum(np.repeat(weight[mine], length), listed_weight[places]), n)
+        return np.flatnonzero(shared >= threshold * (total + total[u] - shared) - 1e-9)
+
+    label, left = np.arange(n), np.ones(n, bool)
+    while True:
+        classes, count = np.unique(label[left], return_counts=True)
+        if len(classes) < 2:
+            break
+        u = int(np.flatnonzero(left & (label == classes[count.argmin()]))[0])
+        left[u] = False
+        joined = np.unique(label[similar(u)])
+        label[np.isin(label, joined)] = joined[0]
+    return [(nodes[i], nodes[label[i]]) for i in range(n) if label[i] != i]
 
 
 def rarities(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -199,7 +224,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str = "doc_id", text: s
 
 
 def vectors(docs: DataFrame, wanted: DataFrame, idf: np.ndarray, doc_id: str, text: str) -> DataFrame:
-    """(node, shingles, levels) of the texts in ``wanted`` (node, doc_id), read again by their id."""
+    """(node, shingles, levels) of the texts, 32 bits of each shingle, in ``wanted`` (node, doc_id), read again by their id."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,7 +235,7 @@ def vectors(docs: DataFrame, wanted: DataFrame, idf: np.ndarray, doc_id: str, te
                 words = shingler.words(value or "")
                 if len(words) and shingler.fingerprint(value, words) == node:  # else another row of the same id
                     shingles, levels = shingler.shingles(words)
-                    rows.append((node, shingles.tobytes(), levels.tobytes()))
+                    rows.append((node, (shingles >> np.uint64(32)).astype(np.uint32).tobytes(), levels.tobytes()))
             yield pd.DataFrame(rows, columns=["node", "shingles", "levels"])
 
     texts = small_batches(docs).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
@@ -219,20 +244,36 @@ def vectors(docs: DataFrame, wanted: DataFrame, idf: np.ndarray, doc_id: str, te
     return materialize(found.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("levels").alias("levels")), "shingles")
 
 
-def verify(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose similarity reaches the threshold."""
+def links(members: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of nodes in the same class, enough to join all that share a bucket and are similar."""
+    buckets = members.groupBy("key").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("node") % 1_000_000_007).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+    ).filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    blocks = materialize(buckets.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
+    placed = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+    # With two blocks or more every pair of different blocks is a task's work, each block's own pairs among it.
+    met = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block")))
+    dealt = placed.withColumn("other", F.explode(met)).select(
+        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "node"
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def joined(rows: list) -> pd.DataFrame:
+            found = join_bucket([r.node for r in rows], [np.frombuffer(r.shingles, np.uint32) for r in rows], [np.frombuffer(r.levels, np.uint8) for r in rows], threshold)
+            return pd.DataFrame(found, columns=["a", "b"])
+
+        rows: list = []
         for batch in batches:
-            found = [
-                similarity(np.frombuffer(r.sa, np.uint64), np.frombuffer(r.la, np.uint8), np.frombuffer(r.sb, np.uint64), np.frombuffer(r.lb, np.uint8)) >= threshold
-                for r in batch.itertuples()
-            ]
-            yield batch.loc[found, ["a", "b"]]
+            for row in batch.itertuples():
+                if rows and rows[0].task != row.task:
+                    yield joined(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield joined(rows)
 
-    one = held.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("levels").alias("la"))
-    two = held.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("levels").alias("lb"))
-    return materialize(pairs.join(one, "a").join(two, "b").mapInPandas(run, "a binary, b binary"), "links")
+    together = dealt.join(held, "node").repartition("task").sortWithinPartitions("task", "node")
+    return materialize(together.mapInPandas(run, "a binary, b binary"), "links")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -244,54 +285,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
         signed.filter("fingerprint is not null").groupBy(F.col("fingerprint").alias("node")).agg(first.alias("first"), F.first("bands").alias("bands")), "nodes"
     )
     banded = nodes.select("node", F.explode("bands").alias("key"))
-    shared = materialize(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "buckets")
+    shared = materialize(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-bands")
     members = materialize(banded.join(shared, "key"), "members")
     wanted = members.select("node").distinct().join(nodes, "node").select("node", F.col("first.doc_id").alias("doc_id"))
     held = vectors(docs, wanted, idf, doc_id, text)
 
-    links: DataFrame | None = None
-    label: DataFrame | None = None
-    turn, idle = 0, 0
-    open_rows = members.withColumn("label", F.col("node"))
-    while True:
-        sizes = open_rows.groupBy("key", "label").agg(F.count("*").cast("double").alias("n"))
-        pairs_left = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).select(
-            F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0.0)).alias("cross"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("rows")
-        ).first()
-        if not pairs_left["cross"]:
-            break
-        # Few enough to compare all, or leaders find nothing more: compare every pair of different classes.
-        last = pairs_left["cross"] <= 2 * LEADERS * pairs_left["rows"] or idle > 0
-        if last:
-            other = open_rows.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-            pairs = open_rows.select("key", F.col("node").alias("a"), "label").join(other, "key").filter("a < b and label != other").select("a", "b").distinct()
-        else:
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")
-            # The limit of a rank runs before the shuffle: a few rows of each bucket and task are sorted.
-            rank = F.row_number().over(Window.partitionBy("key").orderBy(order))
-            leader = materialize(open_rows.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).select("key", F.struct("node", "label").alias("leader")), "leaders")
-            pairs = open_rows.join(leader, "key").filter("label != leader.label").select(
-                F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")
-            ).distinct()
-        found = verify(pairs, held, threshold)
-        idle = idle + 1 if found.isEmpty() else 0
-        links = found if links is None else materialize(links.union(found), "links")
-        if idle == 0:
-            label = components(links)
-        if last:
-            break
-        joined = members.join(label.select("node", F.col("component").alias("c")), "node", "left") if label is not None else members.withColumn("c", F.col("node"))
-        labelled = materialize(joined.select("key", "node", F.coalesce("c", "node").alias("label")), "labelled")
-        several = materialize(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key"), "open")
-        open_rows = materialize(labelled.join(several, "key"), "open-rows")
-        turn += 1
+    label = components(links(members, held, threshold))
     grouped = nodes.select("node", "first")
-    if label is not None:
-        grouped = grouped.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "first")
-    else:
-        grouped = grouped.withColumn("c", F.col("node"))
-    grouped = materialize(grouped, "grouped")
-    best = grouped.groupBy("c").agg(F.min("first").alias("best"))
+    grouped = materialize(grouped.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "first"), "grouped")
+    best = materialize(grouped.groupBy("c").agg(F.min("first").alias("best")), "best")
     named = grouped.join(best, "c").select(F.col("node").alias("fingerprint"), "best")
     out = signed.select("doc_id", "row", "fingerprint").join(named, "fingerprint", "left")
     single = F.col("best").isNull()
