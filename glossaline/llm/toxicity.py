@@ -208,8 +208,8 @@ def fit(
 
     rows = sample.mapInPandas(vectors, "id long, label int, terms binary, weights binary").toPandas()
     rows = rows.sort_values(["id", "label", "terms"], kind="stable")
-    voiced = rows[[len(t) > 0 for t in rows["terms"]]]
-    silent = rows[[len(t) == 0 for t in rows["terms"]]]
+    has_terms = rows["terms"].map(len).to_numpy(int) > 0
+    voiced, silent = rows[has_terms], rows[~has_terms]
     of_class = {c: 1 / r for c, r in rate.items()}
     silent_weight = silent["label"].map(of_class).to_numpy(float)
     state = {
