@@ -155,6 +155,13 @@ def fit_units(requests: DataFrame) -> DataFrame:
     prepared = requests.withColumn("_original", original).withColumn(
         "_tokens", F.when(F.col("text") != "", tokens(F.col("text"), F.col("language_hint")))
     )
+    # Without a width nothing wraps: the lines that hold text, as they are.
+    filled = F.filter(lines(F.col("text")), lambda l: l != "")
+    prepared = prepared.withColumn("_flat", (F.col("width") <= 0) | (F.col("_original") <= 0)).withColumn(
+        "_raw", F.when(F.col("_flat"), F.when(F.size(filled) > 0, filled).otherwise(F.array("text")))
+    ).withColumn("_raw_measure", F.when(F.col("_flat"), F.struct(
+        F.size("_raw").alias("n"), F.lit(0).alias("cur"), F.array_max(F.transform("_raw", width_units)).cast("int").alias("widest")
+    )))
     steps = F.sequence(F.lit(0), F.floor((F.col("_original") - F.col("min_font_size") + 1e-6) / STEP).cast("int"))
 
     best_type = "struct<h:double,w:double,size:double,capacity:int>"
@@ -168,7 +175,7 @@ def fit_units(requests: DataFrame) -> DataFrame:
     def attempt(i: Column) -> Column:
         size = F.round(F.col("_original") - i * STEP, 2)
         capacity = F.floor(F.col("width") * 100.0 / size + 1e-9).cast("int")
-        return F.get(F.transform(F.array(_measure(F.col("_tokens"), capacity)), lambda m: judged(size, capacity, m)), F.lit(0))
+        return F.get(F.transform(F.array(F.coalesce("_raw_measure", _measure(F.col("_tokens"), capacity))), lambda m: judged(size, capacity, m)), F.lit(0))
 
     def better(best: Column, i: Column) -> Column:
         less = lambda new: (new["h"] < best["h"]) | ((new["h"] == best["h"]) & (new["w"] < best["w"]))
@@ -191,7 +198,7 @@ def fit_units(requests: DataFrame) -> DataFrame:
     ))
     return tried.select(
         *requests.columns,
-        F.when(empty, none).otherwise(_lines(F.col("_tokens"), F.col("_best.capacity"))).alias("lines"),
+        F.when(empty, none).when(F.col("_flat"), F.col("_raw")).otherwise(_lines(F.col("_tokens"), F.col("_best.capacity"))).alias("lines"),
         size.alias("fitted_size"), (size * F.col("line_height_ratio")).alias("line_height"), overflow.alias("overflow"),
         scale.alias("scale_ratio"), warnings.alias("warnings"),
     )

@@ -11,7 +11,7 @@ from ..functions.linguistic import is_failed_translation
 from ..functions.text import is_blank, language_key, segment_hash, strip
 from ..plans.ordered import number_rows
 from ..session import materialize
-from .translator import translate_rows
+from .translator import DEFAULT_CALLS, translate_rows
 
 KEY = ["source_lang", "target_lang", "source_text_hash"]
 
@@ -60,15 +60,17 @@ def upsert(tm: DataFrame, incoming: DataFrame) -> DataFrame:
     """New state of the memory after saving ``incoming``.
 
     ``incoming``: source_lang, target_lang, source_text, translated_text, provider, model,
-    saved_at, save_no (a unique order).  Per key the last save wins; a known key keeps its id,
+    saved_at, save_no (a unique order), and, where rows stand for several saves of a key, the
+    first_saved_at and first_save_no of those.  Per key the last save wins; a known key keeps its id,
     creation time and hit count; a new key gets the next free id in order of first save.
     """
     keyed = with_key(acceptable(incoming), "source_text")
     newest = F.struct("saved_at", "save_no")
+    first = F.struct(F.col("first_saved_at").alias("saved_at"), F.col("first_save_no").alias("save_no")) if "first_save_no" in incoming.columns else newest
     # Hash aggregate with partial combine: a key saved a billion times shuffles one row per task.
     latest = keyed.groupBy(*KEY).agg(
         F.max_by(F.struct("source_text", "translated_text", "provider", "model", "saved_at"), newest).alias("_in"),
-        F.min(newest).alias("_first"),
+        F.min(first).alias("_first"),
     )
     values = latest.select(
         *KEY,
@@ -145,9 +147,12 @@ def translate_cached(
     fn: Callable[[str, str, str], dict],
     policy: str = "tm_prefer_cache",
     min_chars: int = V.MIN_CACHE_CHARS,
-    parallelism: int | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Translate segments through the memory; returns (segments with translation, new memory).
+    parallelism: int = DEFAULT_CALLS,
+) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """Translate segments through the memory; returns (segments with translation, updater).
+
+    Calling the updater gives the new memory, with the hits counted and the translations saved; a
+    run that only wants the translations never pays for it.
 
     ``segments``: seg_id, source_lang, target_lang, text, requested_at.  The translator runs once
     per distinct key that needs it, and its results are written before anything reads them, so a
@@ -192,10 +197,11 @@ def translate_cached(
         F.coalesce("status", F.when(F.col("from_cache"), "success").otherwise("kept")).alias("status"),
     )
     if not use_tm:
-        return out, tm
-    with_hits = record_hits(tm, looked.withColumnRenamed("requested_at", "looked_up_at"))
+        return out, lambda: tm
+    hits = looked.withColumnRenamed("requested_at", "looked_up_at")
+    with_hits = record_hits(tm, hits)
     saves = results.filter((F.col("status") == "success") & F.col("cacheable")).select(
         "source_lang", "target_lang", F.col("text").alias("source_text"), "translated_text", "provider", "model",
         F.col("requested_at").alias("saved_at"), F.col("seg_id").alias("save_no"),
     )
-    return out, upsert(with_hits, saves)
+    return out, lambda: upsert(with_hits, saves)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -10,7 +11,7 @@ from .. import fixed_values as V
 from ..functions.linguistic import skip_reason, table_value_counts, translatable_cell
 from ..functions.text import chunks, is_blank, strip
 from ..session import materialize
-from .translator import translate_rows
+from .translator import DEFAULT_CALLS, translate_rows
 
 
 def translatable_cells(cells: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def super_batches(texts: DataFrame, keys: list[str], position: str, size: int) -
 
 def split_super_batches(translated: DataFrame, keys: list[str]) -> DataFrame:
     """One row per member: its part, or its original when the parts do not add up."""
-    quoted = r"\|\|\|TXSEP\|\|\|"
+    quoted = re.escape(V.BATCH_DELIMITER)
     parts = F.when(F.col("status") == "success", F.split("translated_text", quoted, -1))
     whole = F.coalesce(F.size(parts) == F.size("members"), F.lit(False))
     pieces = F.zip_with(
@@ -109,12 +110,12 @@ def split_super_batches(translated: DataFrame, keys: list[str]) -> DataFrame:
 
 def translate_super_batches(
     texts: DataFrame, keys: list[str], position: str, size: int, fn: Callable[[str, str, str], dict],
-    source_lang: str, target_lang: str,
+    source_lang: str, target_lang: str, parallelism: int = DEFAULT_CALLS,
 ) -> DataFrame:
     requests = super_batches(texts, keys, position, size).withColumn("source_lang", F.lit(source_lang)).withColumn(
         "target_lang", F.lit(target_lang)
     )
-    return split_super_batches(materialize(translate_rows(requests, fn), "super-batches"), keys)
+    return split_super_batches(materialize(translate_rows(requests, fn, parallelism), "super-batches"), keys)
 
 
 def coverage(targets: DataFrame, keys: list[str]) -> DataFrame:

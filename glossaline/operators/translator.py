@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame
 
 from ..schemas import TRANSLATIONS
 
+DEFAULT_CALLS = 32  # tasks that call a translator at the same time
 
-def translate_rows(df: DataFrame, fn: Callable[[str, str, str], dict], parallelism: int | None = None) -> DataFrame:
+
+def translate_rows(df: DataFrame, fn: Callable[[str, str, str], dict], parallelism: int = DEFAULT_CALLS) -> DataFrame:
     """Call ``fn(text, source_lang, target_lang)`` per row; adds status, translation, error, latency.
 
     ``fn`` returns a dict with any of: status, text, provider, model, error_type, error_message,
-    latency_ms.  An exception becomes a failed row, never a failed task.  ``parallelism`` sets how
-    many tasks call at the same time.
+    latency_ms.  An exception becomes a failed row, never a failed task.  ``parallelism`` is the
+    number of tasks that call, whatever the size of the texts: adaptive execution merges small
+    partitions by their bytes, but leaves a stated number alone.
     """
-    if parallelism:
-        df = df.repartition(parallelism)
+    df = df.repartition(parallelism)
     from pyspark.sql import types as T
 
     added = T.StructType.fromDDL(TRANSLATIONS)

@@ -42,7 +42,13 @@ def _chunk_window(keys: list[str]):
 
 
 def _join_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(F.broadcast(carry), [CHUNK, *keys], "left")
+    # A missing key is a key of its own, so nulls must meet nulls.
+    columns = [CHUNK, *keys]
+    named = carry.select(*[F.col(c).alias(f"_k_{c}") for c in columns], *[c for c in carry.columns if c not in columns])
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return df.join(F.broadcast(named), same, "left").drop(*[f"_k_{c}" for c in columns])
 
 
 def with_running(frozen: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:

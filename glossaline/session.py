@@ -40,13 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
+    current = context.getCheckpointDir()
+    if current:
+        return current.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-glossaline-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+    return context.getCheckpointDir().rstrip("/")
 
 
 def new_shared_path(spark: SparkSession, label: str) -> str:
@@ -72,5 +72,5 @@ def spread(df: DataFrame) -> DataFrame:
     enough splits, as any large one has, is returned as it is: no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    splits = df.rdd.getNumPartitions()
     return df.repartition(cores) if splits < cores else df

@@ -157,10 +157,10 @@ SELECT source_lang, h AS source_text_hash, md5(translated) AS digest, CAST(hit_c
 """)
 def translate_and_store(spark, sf):
     """Policy retranslate-and-update: hits are counted, everything is translated and saved."""
-    _, tm = M.translate_cached(
+    _, updated = M.translate_cached(
         document_segments(spark, sf), memory_table(spark, sf), stub_translator, policy="tm_retranslate_and_update"
     )
-    return tm.select("source_lang", "source_text_hash", F.md5("translated_text").alias("digest"), "hit_count")
+    return updated().select("source_lang", "source_text_hash", F.md5("translated_text").alias("digest"), "hit_count")
 
 
 # Glossary terms: every distinct word of the benchmark texts.

@@ -168,3 +168,30 @@ def test_super_batch_mismatch_keeps_originals(spark):
     assert {(r["k"], r["position"], r["result"]) for r in good.collect()} == {(1, 0, "A"), (1, 2, "B"), (2, 0, "C")}
     bad = S.translate_super_batches(df, ["k"], "pos", 10, lambda t, s, d: {"text": "one"}, "en", "vi")
     assert {(r["k"], r["result"]) for r in bad.collect()} == {(1, "a"), (1, "b"), (2, "one")}
+
+
+def test_ordering_counts_null_keys_across_chunks(spark):
+    rows = [(None if i % 3 else i % 2, i, i % 5) for i in range(600)]
+    df = spark.createDataFrame(rows, "k int, o int, v int").repartition(4)
+    got = {(r["k"], r["o"]): r["n"] for r in number_rows(df, ["k"], ["o"], "n").collect()}
+    want, seen = {}, {}
+    for k, o, _ in sorted(rows, key=lambda r: r[1]):
+        seen[k] = seen.get(k, 0) + 1
+        want[k, o] = seen[k]
+    assert got == want
+
+
+def test_health_with_missing_key_index_over_several_states(spark):
+    rows = [
+        (f"p{i % 2}", f"m{i % 3}", None if i % 5 else 0, T0 + timedelta(seconds=i), i, "failed" if i % 7 == 0 else "success", "Timeout" if i % 7 == 0 else None, float(100 + i % 40))
+        for i in range(400)
+    ]
+    want = {}
+    for provider, model, key, _, _, status, _, ms in rows:
+        n, score = want.get((provider, model, key), (0, None))
+        want[provider, model, key] = (n + (status == "success"), ms if score is None else score * 0.8 + ms * 0.2)
+    got = {
+        (r["provider"], r["model"], r["key_index"]): (r["success_count"], pytest.approx(r["latency_score"]))
+        for r in P.provider_states(spark.createDataFrame(rows, LOG).repartition(4), "2024-01-02 00:00:00").collect()
+    }
+    assert got == want

@@ -1,3 +1,4 @@
+import datetime as dt
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -59,10 +60,36 @@ def test_policies(spark):
     tm = saved(spark, [("en", "vi", "Apple", "Táo")])
     segs = segments(spark, ("en", "vi", "Apple"), ("en", "vi", "Pear"), ("en", "vi", "boom"), ("en", "vi", "  "), ("en", "vi", "Pear "))
     for policy, apple in (("tm_prefer_cache", "Táo"), ("tm_suggest_only", "Apple-vi"), ("tm_retranslate_and_update", "Apple-vi"), ("tm_disabled", "Apple-vi")):
-        out, after = M.translate_cached(segs, tm, stub, policy)
+        out, updated = M.translate_cached(segs, tm, stub, policy)
         got = {r["seg_id"]: r["translated_text"] for r in out.collect()}
         assert got == {0: apple, 1: "Pear-vi", 2: "boom", 3: "  ", 4: "Pear-vi"}
-        assert after.count() == (1 if policy == "tm_disabled" else 2)
+        assert updated().count() == (1 if policy == "tm_disabled" else 2)
+
+
+def test_translator_calls_spread_over_a_stated_number_of_tasks(spark):
+    segs = segments(spark, *[("en", "vi", f"text {i}") for i in range(200)])
+
+    def where(text, source, target):
+        from pyspark import TaskContext
+
+        return {"text": str(TaskContext.get().partitionId())}
+
+    out, _ = M.translate_cached(segs, saved(spark, [("en", "vi", "x y", "z")]), where, parallelism=7)
+    assert {r["translated_text"] for r in out.collect()} == {str(i) for i in range(7)}
+
+
+def test_stream_keeps_first_save_order_and_times(spark, tmp_path):
+    day = lambda n: T0 + dt.timedelta(days=n)
+    saves = [("en", "vi", "A", "1", "p", "m", day(1), "1"), ("en", "vi", "B", "2", "p", "m", day(2), "2"), ("en", "vi", "A", "3", "p", "m", day(3), "3"), ("en", "vi", "C", "4", "p", "m", day(4), "4"), ("en", "vi", "old", "5", "p", "m", day(5), "5")]
+    memory = saved(spark, [("en", "vi", "old", "x")])
+    source = str(tmp_path / "in")
+    for i, part in enumerate((saves[:3], saves[3:])):
+        spark.createDataFrame(part, memory_sink.SAVES).coalesce(1).write.mode("append").json(source)
+        memory_sink.save_stream(spark.readStream.schema(memory_sink.SAVES).json(source), str(tmp_path / "deltas"), str(tmp_path / "state")).awaitTermination()
+    columns = ["id", "source_text", "translated_text", "created_at", "updated_at"]
+    streamed = memory_sink.fold(memory, memory_sink.read_deltas(spark, str(tmp_path / "deltas"))).select(*columns)
+    batch = M.upsert(memory, spark.createDataFrame(saves, memory_sink.SAVES)).select(*columns)
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
 
 
 def test_search_wildcards_and_case(spark):
