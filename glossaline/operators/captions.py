@@ -99,6 +99,28 @@ def apply_captions(blocks: DataFrame, links: DataFrame) -> DataFrame:
     return blocks.join(found, ["doc_id", "block_id"], "left").withColumn("flags", flags)
 
 
+def related_blocks(blocks: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc, page, block_id, caption_block_ids, related_block_ids) of the blocks that captions join.
+
+    A visual block lists its captions in block order.  A caption is related to its visual; one that is
+    a visual itself then also to its own captions further down.
+    """
+    at = blocks.select(*PAGE, "block_id", "ordinal")
+    placed = links.select(*PAGE, "block_id", "caption_for_block_id").join(at, [*PAGE, "block_id"])
+    captions = placed.groupBy(*PAGE, F.col("caption_for_block_id").alias("block_id")).agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", F.col("block_id").alias("id")))).alias("_captions")
+    )
+    none = F.array().cast("array<struct<ordinal:bigint,id:string>>")
+    both = at.join(captions, [*PAGE, "block_id"], "left").join(
+        links.select(*PAGE, "block_id", "caption_for_block_id"), [*PAGE, "block_id"], "left"
+    ).filter(F.col("_captions").isNotNull() | F.col("caption_for_block_id").isNotNull())
+    all_captions = F.coalesce("_captions", none)
+    ids = lambda list_: F.transform(list_, lambda c: c["id"])
+    later = F.filter(all_captions, lambda c: (c["ordinal"] > F.col("ordinal")) & (c["id"] != F.col("caption_for_block_id")))
+    own = F.when(F.col("caption_for_block_id").isNotNull(), F.concat(F.array("caption_for_block_id"), ids(later))).otherwise(ids(all_captions))
+    return both.select(*PAGE, "block_id", ids(all_captions).alias("caption_block_ids"), own.alias("related_block_ids"))
+
+
 def nearby_captions(blocks: DataFrame) -> DataFrame:
     """For each visual block its caption: a linked one first, else one close below.
 

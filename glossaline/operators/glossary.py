@@ -10,6 +10,9 @@ from ..plans.changes import apply_changes
 from ..plans.substrings import BROADCAST_BYTES, all_grams, anchored_by_terms, anchored_terms, term_grams
 
 
+ANCHOR_BYTES = 64  # of one broadcast pair: a gram of three characters, a number, overhead
+
+
 def list_terms(
     glossary: DataFrame,
     source_lang: str | None = None,
@@ -31,9 +34,19 @@ def list_terms(
 
 
 def _bytes_of(terms: DataFrame) -> int:
-    """Exact size of the matching columns, from one aggregate over the term table."""
-    row = terms.agg(F.coalesce(F.sum(F.octet_length("_term") + F.lit(64)), F.lit(0)).alias("n")).first()
-    return int(row["n"])
+    """Bound of the broadcast (anchor, term number) pairs: both are of bounded length, so their count tells."""
+    return terms.count() * ANCHOR_BYTES
+
+
+def _decide(proposed: DataFrame, terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of proposed (seg_id, term) pairs those that hold; only ids have travelled, the text joins once."""
+    fits = (
+        F.contains("_text", F.col("_term"))
+        & (F.col("_target") == F.col("_term_target"))
+        & ((F.col("_source") == "auto") | (F.col("_source") == F.col("_term_source")))
+    )
+    pairs = proposed.select("seg_id", "_term_no").join(terms, "_term_no")
+    return pairs.join(texts, "seg_id").filter(fits).select("seg_id", F.col("_term_no").alias("term_id"), "source_term", "target_term")
 
 
 def match_terms(segments: DataFrame, glossary: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -56,27 +69,18 @@ def match_terms(segments: DataFrame, glossary: DataFrame, broadcast_bytes: int =
         F.lower(F.trim("target_lang")).alias("_target"),
         F.lower(normalize(F.col("text"))).alias("_text"),
     )
-    fits = (
-        F.contains("_text", F.col("_term"))
-        & (F.col("_target") == F.col("_term_target"))
-        & ((F.col("_source") == "auto") | (F.col("_source") == F.col("_term_source")))
-    )
-    columns = ["seg_id", F.col("_term_no").alias("term_id"), "source_term", "target_term"]
     if _bytes_of(terms) <= broadcast_bytes:
-        # The terms fit on every executor: probe them from the text side, no shuffle of texts.
-        anchored = anchored_by_terms(terms, "_term")
-        probe = texts.withColumn("_anchor", F.explode(all_grams(F.col("_text"))))
-        return probe.join(F.broadcast(anchored), "_anchor").filter(fits).select(*columns)
+        # The anchors fit on every executor: grams probe them where the texts are read.
+        anchored = F.broadcast(anchored_by_terms(terms, "_term").select("_anchor", "_term_no"))
+        grams = texts.select("seg_id", F.explode(all_grams(F.col("_text"))).alias("_anchor"))
+        return _decide(grams.join(anchored, "_anchor"), terms, texts)
     # Large glossary: anchors are picked by how rare they are in the texts, then both sides meet
     # on the anchor; only ids travel, and the text joins back for the final check.
     wanted = terms.select(F.explode(term_grams(F.col("_term"))).alias("_gram")).distinct()
     text_grams = texts.select("seg_id", F.explode(all_grams(F.col("_text"))).alias("_gram"))
     counts = text_grams.join(wanted, "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
     anchored = anchored_terms(terms, "_term", counts)
-    pairs = text_grams.withColumnRenamed("_gram", "_anchor").join(
-        anchored.select("_anchor", "_term_no"), "_anchor"
-    ).select("seg_id", "_term_no")
-    return pairs.join(terms, "_term_no").join(texts, "seg_id").filter(fits).select(*columns)
+    return _decide(text_grams.withColumnRenamed("_gram", "_anchor").join(anchored.select("_anchor", "_term_no"), "_anchor"), terms, texts)
 
 
 def top_terms(matches: DataFrame, limit: int = V.MAX_GLOSSARY_TERMS) -> DataFrame:

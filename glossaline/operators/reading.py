@@ -160,6 +160,18 @@ def paragraphs(members: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
+def paragraph_summary(paras: DataFrame) -> DataFrame:
+    """Per document: number of paragraphs, their pages, and each paragraph's facts in reading order."""
+    fact = F.struct(
+        "page_index", "reading_order", "paragraph_id", F.size("block_ids").alias("block_count"),
+        F.struct("x0", "y0", "x1", "y1").alias("bbox"), F.round("confidence", 3).alias("confidence"), F.array_sort("flags").alias("flags"),
+    )
+    return paras.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("paragraph_candidate_count"), F.array_sort(F.collect_set("page_index")).alias("pages"),
+        F.array_sort(F.collect_list(fact)).alias("paragraphs"),
+    )
+
+
 def reading_summary(ordered: DataFrame, links: DataFrame, paras: DataFrame) -> DataFrame:
     """Per document: pages, ambiguous pages, captions, paragraphs, and page details in page order."""
     page = ordered.groupBy(*PAGE).agg(

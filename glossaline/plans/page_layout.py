@@ -58,11 +58,11 @@ class PageLayout:
 
     @cached_property
     def regions(self) -> DataFrame:
-        return detect_regions(self.ordered, self.pages)
+        return materialize(detect_regions(self.ordered, self.pages), "regions")
 
     @cached_property
     def protected(self) -> DataFrame:
-        return apply_regions(self.ordered, self.regions)
+        return materialize(apply_regions(self.ordered, self.regions), "protected-blocks")
 
     @cached_property
     def units(self) -> DataFrame:

@@ -14,6 +14,8 @@ from ..operators import fit as FIT
 from ..operators import reading as R
 from ..operators import regions as G
 from ..operators import units as U
+from ..operators.captions import related_blocks
+from ..operators.reading import paragraph_summary
 from ..plans.page_layout import PageLayout
 from ..session import materialize
 from .base import DIGIT_VALUES, LINES, SPACE, count_class, query, re2, strip, text
@@ -156,6 +158,21 @@ def caption_links(spark, sf):
     return layout(spark, sf).links.select("doc_id", "block_id", "caption_for_block_id", F.round("score", 6).alias("score"))
 
 
+@query("caption_related_blocks", f"""
+WITH {LINKS_SQL},
+l AS (SELECT links.doc_id, links.block_id, links.caption_for_block_id AS v, b.ordinal FROM links JOIN capt b ON b.doc_id = links.doc_id AND b.block_id = links.block_id),
+c AS (SELECT doc_id, v AS block_id, list({{'o': ordinal, 'id': block_id}} ORDER BY ordinal) AS c FROM l GROUP BY 1, 2),
+j AS (SELECT coalesce(l.doc_id, c.doc_id) AS doc_id, coalesce(l.block_id, c.block_id) AS block_id, l.v, l.ordinal, coalesce(c.c, []) AS c FROM l FULL OUTER JOIN c ON l.doc_id = c.doc_id AND l.block_id = c.block_id)
+SELECT doc_id, block_id, array_to_string(list_transform(c, lambda x: x.id), ',') AS caption_block_ids,
+  array_to_string(CASE WHEN v IS NULL THEN list_transform(c, lambda x: x.id) ELSE list_concat([v], list_transform(list_filter(c, lambda x: x.o > ordinal AND x.id <> v), lambda x: x.id)) END, ',') AS related_block_ids FROM j
+""")
+def caption_related_blocks(spark, sf):
+    chain = layout(spark, sf)
+    return related_blocks(chain.flagged, chain.links).select(
+        "doc_id", "block_id", F.array_join("caption_block_ids", ",").alias("caption_block_ids"), F.array_join("related_block_ids", ",").alias("related_block_ids")
+    )
+
+
 ORDER_SQL = f"""
 {LINKS_SQL},
 col AS (SELECT *, CASE WHEN x1 - x0 <= 0 OR y1 - y0 <= 0 THEN NULL WHEN x1 <= 297.5 - 12 THEN 0 WHEN x0 >= 297.5 + 12 THEN 1 WHEN x1 - x0 <= 595 * 0.45 THEN CASE WHEN (x0 + x1) / 2 < 297.5 THEN 0 ELSE 1 END END AS c FROM capt),
@@ -194,6 +211,18 @@ def paragraphs(spark, sf):
     )
 
 
+@query("paragraph_summary", f"""
+WITH {PARA_SQL}, p AS (SELECT *, CAST(regexp_extract(paragraph_id, '^p([0-9]+)-', 1) AS INTEGER) AS page FROM paras)
+SELECT doc_id, count(*) AS paragraph_candidate_count, array_to_string(list_sort(list_distinct(list(page))), ',') AS pages,
+  string_agg(paragraph_id || ':' || len(string_split(block_ids, ',')) || ':' || confidence, ';' ORDER BY page, reading_order, paragraph_id) AS paragraphs FROM p GROUP BY 1
+""")
+def paragraph_summary_query(spark, sf):
+    told = F.transform("paragraphs", lambda p: F.concat_ws(":", p["paragraph_id"], p["block_count"].cast("string"), p["confidence"].cast("string")))
+    return paragraph_summary(layout(spark, sf).paragraphs).select(
+        "doc_id", "paragraph_candidate_count", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), F.array_join(told, ";").alias("paragraphs")
+    )
+
+
 REGIONS_SQL = f"""
 {PARA_SQL},
 near AS (SELECT v.doc_id, v.block_id, c.text, row_number() OVER (PARTITION BY v.doc_id, v.block_id ORDER BY CASE WHEN c.caption_for_block_id = v.block_id THEN 0 ELSE 1 END, c.reading_order, c.y0, c.x0, c.block_id) AS n
