@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..operators.jobs import progress_counters
-from ..schemas import TM
 from ..session import new_shared_path
 from ..streaming import health, memory_sink, progress
 from .base import any_of, query, seg_hash, strip, table
+from .memory_queries import TM_SQL, memory_table
 from .work_queries import _LOG_EVENT, _MESSAGES, ATTEMPTS_SQL, _case, _pick
 
 
@@ -76,9 +76,14 @@ def stream_health(spark, sf):
 
 
 @query("stream_memory", f"""
-WITH i AS (SELECT doc_id, lang, text, {seg_hash('lang', "'vi'", 'text')} AS h, CASE WHEN n_chars % 50 = 0 THEN ' ' ELSE 'new ' || text END AS translated FROM documents)
-SELECT lang AS source_lang, h AS source_text_hash, md5(arg_max(translated, doc_id)) AS digest, 0::BIGINT AS hit_count FROM i
-WHERE {strip('translated')} <> '' AND {strip('text')} <> '' AND NOT {any_of('lower(translated)', V.FAILED_TRANSLATION_MARKS)} GROUP BY 1, 2
+WITH {TM_SQL}, i AS (SELECT doc_id, lang, text, {seg_hash('lang', "'vi'", 'text')} AS h, CASE WHEN n_chars % 50 = 0 THEN ' ' ELSE 'new ' || text END AS translated FROM documents),
+s AS (SELECT lang, h, arg_max(translated, doc_id) AS translated, min(doc_id) AS first_no, max(doc_id) AS last_no FROM i
+  WHERE {strip('translated')} <> '' AND {strip('text')} <> '' AND NOT {any_of('lower(translated)', V.FAILED_TRANSLATION_MARKS)} GROUP BY 1, 2),
+m AS (SELECT tm.id, coalesce(tm.source_lang, s.lang) AS source_lang, coalesce(tm.h, s.h) AS h, coalesce(s.translated, tm.translated_text) AS translated, first_no,
+  coalesce(TIMESTAMP '2024-01-01' + to_seconds(tm.id), TIMESTAMP '2024-03-01' + to_seconds(first_no)) AS created_at,
+  coalesce(TIMESTAMP '2024-03-01' + to_seconds(last_no), tm.updated_at) AS updated_at FROM tm FULL OUTER JOIN s ON tm.source_lang = s.lang AND tm.h = s.h)
+SELECT coalesce(id, (SELECT max(id) FROM tm) + row_number() OVER (PARTITION BY id IS NULL ORDER BY first_no)) AS id, source_lang, h AS source_text_hash, md5(translated) AS digest,
+  0::BIGINT AS hit_count, created_at, updated_at FROM m
 """)
 def stream_memory(spark, sf):
     docs = stream_of(spark, sf, "documents")
@@ -89,5 +94,5 @@ def stream_memory(spark, sf):
     )
     deltas = new_shared_path(spark, "memory-deltas")
     memory_sink.save_stream(saves, deltas, new_shared_path(spark, "memory-state")).awaitTermination()
-    memory = memory_sink.fold(spark.createDataFrame([], TM), memory_sink.read_deltas(spark, deltas))
-    return memory.select("source_lang", "source_text_hash", F.md5("translated_text").alias("digest"), "hit_count")
+    memory = memory_sink.fold(memory_table(spark, sf), memory_sink.read_deltas(spark, deltas))
+    return memory.select("id", "source_lang", "source_text_hash", F.md5("translated_text").alias("digest"), "hit_count", "created_at", "updated_at")

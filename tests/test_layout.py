@@ -153,3 +153,10 @@ def test_visual_verdicts(spark):
     assert strict == {"same": ("pass", []), "pages": ("fail", ["page_count_mismatch"]), "width": ("fail", ["page_dimension_mismatch"])}
     loose = Q.evaluate(diffs, fail_mean=2.0, fail_max=2.0, warning_mean=2.0, warning_max=2.0, allow_page_count_mismatch=True, allow_dimension_mismatch=True)
     assert {r["doc_id"]: r["visual_status"] for r in loose.collect()} == {"same": "pass", "pages": "warning", "width": "warning"}
+
+
+def test_fit_without_width_keeps_lines(spark):
+    schema = "unit_id INT, text STRING, width DOUBLE, height DOUBLE, font_size DOUBLE, min_font_size DOUBLE, line_height_ratio DOUBLE, language_hint STRING"
+    rows = [(1, "hello world", 0.0, 50.0, 12.0, 6.0, 1.2, "en"), (2, "a b\n\nc", -3.0, 50.0, 12.0, 6.0, 1.2, "en"), (3, "", 0.0, 50.0, 12.0, 6.0, 1.2, "en"), (4, "hello", 200.0, 50.0, 12.0, 6.0, 1.2, "en")]
+    got = {r["unit_id"]: r for r in FIT.fit_units(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1]["lines"] == ["hello world"] and got[1]["overflow"] and got[2]["lines"] == ["a b", "c"] and got[3]["lines"] == [] and got[4]["lines"] == ["hello"]
