@@ -100,6 +100,46 @@ def clean_label(label: Column) -> Column:
     return F.coalesce(redact_whole(label), F.lit(V.REPORT_MASK))
 
 
+def build_reports(
+    runs: DataFrame, selection: DataFrame, protection: DataFrame | None = None, fit: DataFrame | None = None,
+    engine_version: str | None = None, created_at=None,
+) -> DataFrame:
+    """A quality report per document from the summaries of its plan, protection and fit.
+
+    ``runs``: doc_id, input_file, output_file, mode, page_count, and what the run knows of
+    translated_units, translated_blocks, overflow_units, overflow_blocks, rejected, rejection_reason.
+    ``selection`` comes from the plan and may carry its warnings_by_type; the fit's warnings add to those.
+    """
+    empty = F.create_map().cast("map<string,bigint>")
+    out = runs
+    for name in ("translated_units", "translated_blocks", "overflow_units", "overflow_blocks"):
+        out = out.withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint") if name in runs.columns else F.lit(0).cast("bigint"))
+    rejected = F.coalesce("rejected", F.lit(False)) if "rejected" in runs.columns else F.lit(False)
+    reason = F.col("rejection_reason") if "rejection_reason" in runs.columns else F.lit(None).cast("string")
+    out = out.withColumn("rejected", rejected).withColumn("rejection_reason", redact_whole(reason))
+    out = out.withColumn("input_file", file_label(F.col("input_file"))).withColumn("output_file", file_label(F.col("output_file")))
+    chosen = selection.select("doc_id", "skipped_units", "skipped_protected_blocks", "skipped_noisy_blocks", "unit_types_by_kind")
+    out = out.join(chosen, "doc_id", "left").fillna(0, subset=["skipped_units", "skipped_protected_blocks", "skipped_noisy_blocks"])
+    parts = [_entries(selection, "warnings_by_type")] if "warnings_by_type" in selection.columns else []
+    parts += [_entries(fit, "warning_counts")] if fit is not None else []
+    if parts:
+        out = out.join(sum_labels(*parts), "doc_id", "left")
+    else:
+        out = out.withColumn("warnings_by_type", empty).withColumn("warning_count", F.lit(0).cast("bigint"))
+    if protection is not None:
+        out = out.join(protection.select("doc_id", F.col("counts_by_kind").alias("protected_regions_by_kind")), "doc_id", "left")
+    else:
+        out = out.withColumn("protected_regions_by_kind", empty)
+    for name in ("warnings_by_type", "unit_types_by_kind", "protected_regions_by_kind"):
+        out = out.withColumn(name, F.coalesce(name, empty))
+    none = F.array().cast("array<string>")
+    return out.withColumns({
+        "warning_count": F.coalesce("warning_count", F.lit(0)).cast("bigint"), "visual_status": F.lit(None).cast("string"), "visual_warnings": none, "visual_failures": none,
+        "mean_diff_ratio": F.lit(None).cast("double"), "max_diff_ratio": F.lit(None).cast("double"), "engine_version": F.lit(engine_version).cast("string"),
+        "created_at": F.lit(created_at).cast("timestamp") if created_at is not None else F.current_timestamp(),
+    })
+
+
 def sum_labels(*parts: DataFrame) -> DataFrame:
     """(doc_id, warnings_by_type, warning_count) from (doc_id, label, n) rows."""
     rows = parts[0]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..operators import blocks as B
 from ..operators import fit as FIT
+from ..operators import qa as Q
 from ..operators import reading as R
 from ..operators import regions as G
 from ..operators import units as U
@@ -359,6 +360,33 @@ def selection_summary(spark, sf):
     return out.withColumn("unit_types_by_kind", labels(F.col("unit_types_by_kind")))
 
 
+@query("qa_report_build", f"""
+WITH {PLAN_SQL}, {_tally('unit_types_by_kind', 'unit_type', 'NOT is_skipped')},
+k AS (SELECT doc_id, string_agg(kind || '=' || n, ',' ORDER BY kind) AS counts_by_kind FROM (SELECT doc_id, kind, count(*) AS n FROM regions GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT doc_id, count(*) FILTER (WHERE is_skipped) AS skipped_units, CAST(coalesce(sum(blocks) FILTER (WHERE is_skipped), 0) AS BIGINT) AS skipped_protected_blocks,
+  CAST(coalesce(sum(blocks) FILTER (WHERE is_skipped AND contains(flags, 'noisy_skipped')), 0) AS BIGINT) AS skipped_noisy_blocks, count(*) FILTER (WHERE NOT is_skipped) AS translated_units,
+  CAST(coalesce(sum(blocks) FILTER (WHERE NOT is_skipped), 0) AS BIGINT) AS translated_blocks FROM units GROUP BY doc_id),
+p AS (SELECT doc_id, count(DISTINCT page_index) AS page_count FROM prot GROUP BY 1)
+SELECT p.doc_id, doc_id || '.pdf' AS input_file, page_count, coalesce(translated_units, 0) AS translated_units, coalesce(translated_blocks, 0) AS translated_blocks, coalesce(skipped_units, 0) AS skipped_units,
+  coalesce(skipped_protected_blocks, 0) AS skipped_protected_blocks, coalesce(skipped_noisy_blocks, 0) AS skipped_noisy_blocks, coalesce(unit_types_by_kind, '') AS unit_types_by_kind,
+  coalesce(counts_by_kind, '') AS protected_regions_by_kind, 0::BIGINT AS warning_count, false AS rejected, 'e1' AS engine_version, TIMESTAMP '2024-05-01' AS created_at
+FROM p LEFT JOIN s USING (doc_id) LEFT JOIN unit_types_by_kind USING (doc_id) LEFT JOIN k USING (doc_id)
+""")
+def qa_report_build(spark, sf):
+    """Reports built from the plan and the protection of the page chain."""
+    chain = layout(spark, sf)
+    units = materialize(chain.units, "units")
+    done = units.filter("not is_skipped").groupBy("doc_id").agg(F.count("*").alias("translated_units"), F.sum(F.size("source_block_ids")).alias("translated_blocks"))
+    runs = chain.protected.groupBy("doc_id").agg(F.countDistinct("page_index").alias("page_count")).join(done, "doc_id", "left").select(
+        "*", F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("input_file"), F.lit(None).cast("string").alias("output_file"), F.lit("plan").alias("mode")
+    )
+    out = Q.build_reports(runs, U.selection_summary(units), G.protection_summary(chain.protected, chain.regions), engine_version="e1", created_at="2024-05-01")
+    return out.select(
+        "doc_id", "input_file", "page_count", "translated_units", "translated_blocks", "skipped_units", "skipped_protected_blocks", "skipped_noisy_blocks", "warning_count", "rejected",
+        "engine_version", "created_at", *[labels(F.col(c)).alias(c) for c in ("unit_types_by_kind", "protected_regions_by_kind")],
+    )
+
+
 @query("plan_validation", f"""
 WITH {BLOCKS_SQL}, bad AS (SELECT doc_id, kind || length(text) % 40 AS unit_id, x0, CASE WHEN length(text) % 9 = 0 THEN x0 ELSE x1 END AS x1, text = '' AS no_source FROM flagged),
 d AS (SELECT doc_id, unit_id, count(*) AS n FROM bad GROUP BY 1, 2)
