@@ -161,7 +161,8 @@ def index(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", s
             "ids": ids.tobytes() + held.tobytes(), "levels": graph.levels.tobytes(), "links": b"".join(a.astype("<i4").tobytes() for a in graph.links),
         }])
 
-    return materialize(spread.groupBy("shard").applyInPandas(make, INDEX), "hnsw")
+    # A stated number of partitions: adaptive execution would merge shards by their few bytes, not by the work on them.
+    return materialize(spread.repartition(4 * shards, "shard").groupBy("shard").applyInPandas(make, INDEX), "hnsw")
 
 
 def restore(row: pd.Series) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
