@@ -3,7 +3,7 @@
 P(word | context) = P(class | context) * P(word | class).  The class model is a softmax over sums of
 weight rows that hashed features of the context select: the word before (n-gram), the two before
 (n-gram), the one before that alone (skip), and the classes of the last three.  It is trained in
-rounds: tasks take gradient steps over their share of a sample, and the averaged change of the
+rounds: tasks take gradient steps over their share of all texts, and the averaged change of the
 weights becomes the next round's start.  Within a class, words follow their counts over the whole
 training set, plus one, with one place per class for words never seen.
 
@@ -33,7 +33,10 @@ from .common import small_batches
 
 CLASSES = 32  # the last is the end token's
 END = b""
-BUCKETS = 1 << 15  # hashed feature rows
+BUCKETS = 1 << 15  # hashed feature rows, at least
+OFTEN = 8  # the rows grow with the number of words seen so often
+BLOCK = 1024  # feature rows whose changes are averaged together
+PACK = 64  # texts of a row of numbered words
 FREQUENT, COMPANY = 4_096, 128  # clustered words; neighbours that describe them
 TRIGRAMS = 1 << 12
 REMEMBERED = 1 << 20  # words a task remembers
@@ -109,17 +112,34 @@ def trigram_sums(words: list[bytes], table: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(hashes: np.ndarray, cls: np.ndarray, past: np.ndarray, past_cls: np.ndarray) -> np.ndarray:
-    """Four feature buckets per position; ``past`` are the three tokens before the first."""
-    h = np.concatenate([past, hashes]).view(np.uint64)
-    c = np.concatenate([past_cls, cls]).astype(np.uint64)
-    n = len(hashes)
-    one, two = h[2 : n + 2], h[1 : n + 1]
+def hashed(one: np.ndarray, two: np.ndarray, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, buckets: int) -> np.ndarray:
+    """Four feature buckets per position, from the two hashes and the three classes before it; ``buckets`` is a power of two."""
     mix = np.uint64(0x9E3779B97F4A7C15)
-    three = (c[2 : n + 2] * np.uint64(64) + c[1 : n + 1]) * np.uint64(64) + c[:n]
+    three = (c1 * np.uint64(64) + c2) * np.uint64(64) + c3
     raw = np.stack([one + np.uint64(1), two * mix + np.uint64(2), (one ^ (two * mix)) + np.uint64(3), three * mix + np.uint64(4)], axis=1)
     raw *= np.uint64(0xBF58476D1CE4E5B9)
-    return (raw >> np.uint64(64 - 15)).astype(np.int64)
+    return (raw >> np.uint64(65 - int(buckets).bit_length())).astype(np.int32)
+
+
+def features(hashes: np.ndarray, cls: np.ndarray, past: np.ndarray, past_cls: np.ndarray, buckets: int) -> np.ndarray:
+    """Feature buckets of a piece of one text; ``past`` are the three tokens before the first."""
+    h = np.concatenate([past, hashes]).view(np.uint64)
+    c = np.concatenate([past_cls, cls]).astype(np.uint64)
+    n = len(hashes)
+    return hashed(h[2 : n + 2], h[1 : n + 1], c[2 : n + 2], c[1 : n + 1], c[:n], buckets)
+
+
+def stream_features(hashes: np.ndarray, cls: np.ndarray, buckets: int) -> np.ndarray:
+    """Feature buckets of whole texts one after the other, each closed by its end token."""
+    at = np.arange(len(cls))
+    first = np.r_[True, cls[:-1] == CLASSES - 1] if len(cls) else np.zeros(0, bool)
+    since = at - np.maximum.accumulate(np.where(first, at, 0))
+
+    def before(values: np.ndarray, k: int, none: int) -> np.ndarray:
+        return np.where(since >= k, values[np.maximum(at - k, 0)], np.uint64(none))
+
+    h, c = hashes.view(np.uint64), cls.astype(np.uint64)
+    return hashed(before(h, 1, 0), before(h, 2, 0), *(before(c, k, CLASSES) for k in (1, 2, 3)), buckets)
 
 
 def log_softmax(logits: np.ndarray) -> np.ndarray:
@@ -127,7 +147,7 @@ def log_softmax(logits: np.ndarray) -> np.ndarray:
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
-def encoded(batch: pd.Series, words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def encoded(batch: pd.Series, words: Words, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, numbers, feature buckets, classes) of each text of a batch, long texts in pieces."""
     parts = [(i, words.number(piece)) for i, text in enumerate(batch) for piece in tokens(text)]
     words.settle()
@@ -136,45 +156,35 @@ def encoded(batch: pd.Series, words: Words) -> Iterator[tuple[int, np.ndarray, n
         if i != row:
             row, past, past_cls = i, np.zeros(3, np.int64), np.full(3, CLASSES, np.int64)
         hashes, cls = words.hash[number], words.cls[number]
-        yield i, number, features(hashes, cls, past, past_cls), cls
+        yield i, number, features(hashes, cls, past, past_cls, buckets), cls
         past, past_cls = np.concatenate([past, hashes])[-3:], np.concatenate([past_cls, cls])[-3:]
 
 
-def cluster(sample: DataFrame) -> dict:
-    """Classes of frequent words by their neighbours, and letter tables for all other words."""
-    spark = sample.sparkSession
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import Counter
-
-        for batch in batches:
-            n: Counter = Counter()
-            for text in batch["text"]:
-                for piece in tokens(text):
-                    n.update(piece)
-            n.pop(END, None)
-            yield pd.DataFrame({"word": list(n), "n": list(n.values())})
-
-    top = sample.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(FREQUENT).toPandas()
-    frequent = [bytes(w) for w in top["word"]]
-    place = spark.sparkContext.broadcast({w: i for i, w in enumerate(frequent)})
+def cluster(texts: DataFrame, frequent: list[bytes]) -> dict:
+    """Classes of frequent words by their neighbours in all texts, and letter tables for all other words."""
+    place = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(frequent)})
     size = max(1, len(frequent))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros((size, 2 * COMPANY), np.int32)
+        table = np.zeros(size * 2 * COMPANY, np.int64)
         for batch in batches:
             for text in batch["text"]:
+                last = np.zeros(0, np.int64)
                 for piece in tokens(text):
-                    at = np.array([place.value.get(w, -1) for w in piece], np.int64)
+                    at = np.concatenate([last, np.fromiter((place.value.get(w, -1) for w in piece), np.int64, len(piece))])
                     for here, near, shift in ((at[1:], at[:-1], 0), (at[:-1], at[1:], COMPANY)):
                         ok = (here >= 0) & (near >= 0) & (near < COMPANY)
-                        np.add.at(table, (here[ok], near[ok] + shift), 1)
-        yield pd.DataFrame({"table": [table.tobytes()]})
-
-    # One table of fixed size from each task over the bounded sample.
-    company = np.zeros((size, 2 * COMPANY))
-    for row in sample.mapInPandas(meet, "table binary").collect():
-        company += np.frombuffer(row["table"], np.int32).reshape(company.shape)
+                        cells, n = np.unique(here[ok] * (2 * COMPANY) + near[ok] + shift, return_counts=True)
+                        table[cells] += n
+                    last = at[-1:]
+        cells = np.flatnonzero(table)
+        yield pd.DataFrame({"cell": cells, "n": table[cells]})
+
+    # At most FREQUENT * 2 * COMPANY cells, summed on Spark.
+    met = texts.mapInPandas(meet, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    company = np.zeros(size * 2 * COMPANY)
+    company[met["cell"].to_numpy(np.int64)] = met["n"].to_numpy(float)
+    company = company.reshape(size, 2 * COMPANY)
     x = np.sqrt(company)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     random = np.random.default_rng(8)
@@ -196,66 +206,120 @@ def cluster(sample: DataFrame) -> dict:
     }
 
 
-def train(sample: DataFrame, classes: dict, tasks: int, rounds: int, rate: float = 0.5, batch_size: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and class biases, by rounds of distributed gradient steps over the sample."""
-    spark = sample.sparkSession
-    weights, bias = np.zeros((BUCKETS, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
-    for turn in range(rounds):
-        start = spark.sparkContext.broadcast((classes, weights, bias))
+def numbered(texts: DataFrame, classes: dict) -> DataFrame:
+    """All texts as word numbers, so that the rounds need not read words again: a row holds ``PACK`` texts and the hash and class of each word in them."""
+    shared = texts.sparkSession.sparkContext.broadcast(classes)
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words(shared.value)
+        for batch in batches:
+            rows = []
+            for start in range(0, len(batch), PACK):
+                found = np.concatenate([words.number(piece) for text in batch["text"].iloc[start : start + PACK] for piece in tokens(text)])
+                words.settle()
+                own, at = np.unique(found, return_inverse=True)
+                rows.append((words.hash[own].tobytes(), words.cls[own].astype(np.int8).tobytes(), at.astype(np.int32).tobytes()))
+            yield pd.DataFrame(rows, columns=["hash", "cls", "at"])
+            if words.full():
+                words = Words(shared.value)
+
+    return materialize(texts.mapInPandas(number, "hash binary, cls binary, at binary"), "lm-numbered")
+
+
+def train(rows: DataFrame, buckets: int, tasks: int, rounds: int, rate: float = 0.5, batch_size: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and class biases, by rounds of distributed gradient steps over all rows of :func:`numbered`.
+
+    A feature row's changes are averaged by how often each task met it: what only one task has seen is not thinned by the others.
+    """
+    spark = rows.sparkSession
+    weights, bias = np.zeros((buckets, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
+    # As many tasks as the cluster runs at once, each over its own partitions: what they return does not grow with the input.
+    rows = small_batches(rows.coalesce(max(tasks, spark.sparkContext.defaultParallelism)), 16)
+    for _ in range(rounds):
+        start = spark.sparkContext.broadcast((weights, bias))
 
         def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known, w, b = start.value
-            w, b, words = w.copy(), b.copy(), Words(known)
-            grown, seen = np.full(BUCKETS, 1e-3, np.float32), 0
+            w, b = (x.copy() for x in start.value)
+            grown, met, seen = np.full(buckets, 1e-3, np.float32), np.zeros(buckets, np.int64), 0
+            narrow = np.uint16 if buckets <= 1 << 16 else np.int32
             for batch in batches:
-                found = list(encoded(batch["text"], words))
-                at, cls = np.concatenate([f for _, _, f, _ in found]), np.concatenate([c for _, _, _, c in found])
-                seen += len(cls)
-                for i in range(0, len(cls), batch_size):
-                    f, c = at[i : i + batch_size], cls[i : i + batch_size]
-                    gradient = np.exp(log_softmax(w[f].sum(axis=1) + b))
-                    gradient[np.arange(len(c)), c] -= 1
-                    b -= rate / 10 * gradient.mean(axis=0)
-                    order = np.argsort(f.ravel(), kind="stable")
-                    rows, first = np.unique(f.ravel()[order], return_index=True)
-                    step = np.add.reduceat(gradient[order // f.shape[1]], first)
-                    grown[rows] += (step * step).mean(axis=1)
-                    w[rows] -= rate * step / np.sqrt(grown[rows])[:, None] / np.sqrt(CLASSES)
-                if words.full():
-                    words = Words(known)
-            yield pd.DataFrame({"n": [seen], "w": [(w - start.value[1]).tobytes()], "b": [(b - start.value[2]).tobytes()]})
-
-        total, change, shift = 0, np.zeros_like(weights), np.zeros_like(bias)
-        # ``tasks`` rows of fixed size come back.
-        for row in sample.mapInPandas(steps, "n long, w binary, b binary").collect():
-            total += row["n"]
-            change += row["n"] * np.frombuffer(row["w"], np.float32).reshape(weights.shape)
-            shift += row["n"] * np.frombuffer(row["b"], np.float32)
-        if total:
-            weights, bias = weights + change / np.float32(total), bias + shift / np.float32(total)
+                for h, k, at in zip(batch["hash"], batch["cls"], batch["at"]):
+                    at = np.frombuffer(at, np.int32)
+                    cls = np.frombuffer(k, np.int8).astype(np.int64)[at]
+                    found = stream_features(np.frombuffer(h, np.int64)[at], cls, buckets)
+                    met += np.bincount(found.ravel(), minlength=buckets)
+                    seen += len(cls)
+                    for i in range(0, len(cls), batch_size):
+                        f, c = found[i : i + batch_size], cls[i : i + batch_size]
+                        logits = w[f[:, 0]]
+                        for j in range(1, f.shape[1]):
+                            logits += w[f[:, j]]
+                        logits += b
+                        gradient = np.exp(log_softmax(logits))
+                        gradient[np.arange(len(c)), c] -= 1
+                        b -= rate / 10 * gradient.mean(axis=0)
+                        flat = f.ravel()
+                        order = np.argsort(flat.astype(narrow), kind="stable")
+                        flat = flat[order]
+                        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+                        touched = flat[first]
+                        step = np.add.reduceat(gradient[order // f.shape[1]], first)
+                        grown[touched] += np.einsum("ij,ij->i", step, step) / CLASSES
+                        step *= (rate / np.sqrt(CLASSES) / np.sqrt(grown[touched]))[:, None]
+                        w[touched] -= step
+            w -= start.value[0]
+            # A change travels as its row's largest and a byte for each class.
+            scale = np.maximum(np.abs(w).max(axis=1), 1e-30).astype(np.float32) / np.float32(127)
+            out = []
+            for i in range(0, buckets, BLOCK):
+                here = slice(i, i + BLOCK)
+                if met[here].any():
+                    change = np.rint(w[here] / scale[here, None]).astype(np.int8)
+                    out.append((i // BLOCK, np.minimum(met[here], 2**31 - 1).astype(np.int32).tobytes(), scale[here].tobytes() + change.tobytes()))
+            if seen:  # the biases, weighted by tokens
+                out.append((-1, np.int64([seen]).tobytes(), (b - start.value[1]).tobytes()))
+            yield pd.DataFrame(out, columns=["block", "n", "change"])
+
+        def average(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            total, change = 0, 0.0
+            for n, c in zip(part["n"], part["change"]):
+                if key[0] < 0:
+                    n, c = np.frombuffer(n, np.int64), np.frombuffer(c, np.float32)[None, :]
+                else:
+                    n = np.frombuffer(n, np.int32).astype(np.int64)
+                    c = np.frombuffer(c[4 * len(n) :], np.int8).reshape(len(n), CLASSES) * np.frombuffer(c, np.float32, len(n))[:, None]
+                total = total + n
+                change = change + n[:, None] * c.astype(float)
+            return pd.DataFrame({"block": [key[0]], "change": [(change / np.maximum(total, 1)[:, None]).astype(np.float32).tobytes()]})
+
+        moved = rows.mapInPandas(steps, "block int, n binary, change binary").groupBy("block").applyInPandas(average, "block int, change binary")
+        weights, bias = weights.copy(), bias.copy()
+        for row in moved.collect():  # one row for each block
+            change = np.frombuffer(row["change"], np.float32)
+            if row["block"] < 0:
+                bias += change
+            else:
+                weights[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] += change.reshape(-1, CLASSES)
         start.unpersist()
+    small_batches(rows)
     return weights, bias
 
 
-def fit(training: DataFrame, text: str = "text", sample_texts: int = 4_000, tasks: int = 6, rounds: int = 4, head: int = 1 << 16) -> dict:
-    """The model: classes and weights from about ``sample_texts`` texts drawn by hash, counts from all of them.
+def fit(training: DataFrame, text: str = "text", tasks: int = 6, rounds: int = 4, head: int = 1 << 16, max_buckets: int = 1 << 18) -> dict:
+    """The model: classes, weights and counts, all from all texts.
 
-    The driver holds the fixed tables of classes and weights, ``head`` word counts and one row per
-    class.  Counts of all words stay in a written table.
+    There are four feature rows for every word that stands ``OFTEN`` times or more in the texts, within ``BUCKETS`` and
+    ``max_buckets``.  The driver holds the tables of classes and weights, ``head`` word counts and one
+    row per class.  Counts of all words stay in a written table.
     """
     spark = training.sparkSession
     texts = small_batches(training).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    share = min(1.0, sample_texts / max(1, texts.count()))
-    sample = materialize(texts.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000).repartition(tasks), "lm-sample")
-    classes = cluster(sample)
-    weights, bias = train(sample, classes, tasks, rounds)
-    shared = spark.sparkContext.broadcast(classes)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, n = Words(shared.value), np.zeros(0, np.int64)
+        words, n = Words(), np.zeros(0, np.int64)
 
         def held() -> pd.DataFrame:
-            return pd.DataFrame({"hash": words.hash, "cls": words.cls.astype(np.int32), "n": n})
+            return pd.DataFrame({"hash": words.hash, "word": list(words), "n": n})
 
         for batch in batches:
             found = [words.number(piece) for value in batch["text"] for piece in tokens(value)]
@@ -265,16 +329,32 @@ def fit(training: DataFrame, text: str = "text", sample_texts: int = 4_000, task
             n = more
             if words.full():
                 yield held()
-                words, n = Words(shared.value), np.zeros(0, np.int64)
+                words, n = Words(), np.zeros(0, np.int64)
         yield held()
 
-    counts = materialize(texts.mapInPandas(count, "hash long, cls int, n long").groupBy("hash").agg(F.min("cls").alias("cls"), F.sum("n").alias("n")), "lm-counts")
-    by_class = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
+    counts = materialize(texts.mapInPandas(count, "hash long, word binary, n long").groupBy("hash").agg(F.min("word").alias("word"), F.sum("n").alias("n")), "lm-counts")
+    often = counts.filter(F.col("n") >= OFTEN).count()
+    buckets = min(max_buckets, max(BUCKETS, 1 << (4 * often - 1).bit_length())) if often else BUCKETS
+    top = counts.filter(F.length("word") > 0).orderBy(F.col("n").desc(), "word").limit(FREQUENT).select("word").toPandas()
+    classes = cluster(texts, [bytes(w) for w in top["word"]])
+    weights, bias = train(numbered(texts, classes), buckets, tasks, rounds)
+    shared = spark.sparkContext.broadcast(classes)
+
+    def of_class(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = np.zeros((2, CLASSES), np.int64)
+        for batch in batches:
+            cls = Words(shared.value).classify([bytes(w) for w in batch["word"]])
+            size[0] += np.bincount(cls, batch["n"].to_numpy(float), CLASSES).astype(np.int64)
+            size[1] += np.bincount(cls, minlength=CLASSES)
+        yield pd.DataFrame({"cls": np.arange(CLASSES), "n": size[0], "v": size[1]})
+
+    small_batches(counts, 10_000)
+    by_class = counts.select("word", "n").mapInPandas(of_class, "cls long, n long, v long").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()
     size = np.ones(CLASSES)
     size[by_class["cls"].to_numpy(np.int64)] += (by_class["n"] + by_class["v"]).to_numpy(float)
     top = counts.orderBy(F.col("n").desc(), "hash").limit(head).select("hash", "n").toPandas().sort_values("hash")
     return {
-        "classes": classes, "weights": weights, "bias": bias, "counts": counts, "class_size": np.log10(size), "tokens": int(by_class["n"].sum()),
+        "classes": classes, "weights": weights, "bias": bias, "counts": counts.select("hash", "n"), "class_size": np.log10(size), "tokens": int(by_class["n"].sum()),
         "words": int(by_class["v"].sum()), "head": (top["hash"].to_numpy(np.int64), top["n"].to_numpy(np.int64)),
     }
 
@@ -291,7 +371,7 @@ def score(df: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), text:
         of_word = np.zeros(0, np.int64)  # count of each numbered word, -1 for those outside the head
         for batch in batches:
             rows = [[0, 0, 0.0, 0.0, []] for _ in batch]
-            for i, number, at, cls in encoded(batch, words):
+            for i, number, at, cls in encoded(batch, words, len(m["weights"])):
                 if len(of_word) < len(words.hash):
                     new = words.hash[len(of_word) :]
                     place = np.minimum(np.searchsorted(hashes, new), max(0, len(hashes) - 1))

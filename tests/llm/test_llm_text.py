@@ -223,6 +223,23 @@ def test_maxent_base_is_exact_and_the_model_beats_it(spark):
     assert sum(x["score"] for x in got) > sum(x["base_score"] for x in got)
 
 
+def test_maxent_learns_contexts_of_every_text(spark):
+    # One text in a fifth of the rows, whose hash is among the largest: a draw by hash would miss all of them.
+    text = F.concat(F.lit("zebra quagga zebra quagga zebra quagga n"), F.col("id"))
+    told = spark.range(200).select(text.alias("t")).filter("pmod(xxhash64(t), 1000000) > 900000").first()["t"]
+    rows = [(i, words(i, 12, "abc" if i % 2 else "xyz")) for i in range(4_000)] + [(9_000 + i, told) for i in range(1_000)]
+    model = maxent.fit(frame(spark, rows))
+    x = maxent.score(frame(spark, [(1, told)]), model).first()
+    assert (x["score"] - x["base_score"]) / x["n_tokens"] > 0.5
+
+
+def test_maxent_streams_have_the_features_of_their_texts():
+    hashes, cls = np.arange(1, 7) * 2**40, np.array([3, 4, maxent.CLASSES - 1, 5, 6, maxent.CLASSES - 1])
+    fresh = np.zeros(3, np.int64), np.full(3, maxent.CLASSES)
+    want = [maxent.features(hashes[i : i + 3], cls[i : i + 3], *fresh, 1 << 16) for i in (0, 3)]
+    assert (maxent.stream_features(hashes, cls, 1 << 16) == np.concatenate(want)).all()
+
+
 def test_maxent_without_training(spark):
     model = maxent.fit(frame(spark, []))
     x = maxent.score(frame(spark, [(1, "a b")]), model).first()
