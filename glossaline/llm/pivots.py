@@ -9,7 +9,8 @@ Lists are cut into blocks of bounded size and pairs of blocks are compared as ma
 task is a row per linked vector: its number of links there and one member of its group, enough to
 join the groups.  No pair of a group is ever written out.  Equal vectors are one vector with a count
 from the start.  Comparisons within a list grow with the square of its length; the number of pivots
-grows with the square root of the number of vectors, up to ``max_pivots``.
+grows with the square root of the number of vectors, up to ``max_pivots``.  Where few vectors stand
+apart enough to be pivots (all in one cone), all pairs of the table are compared, in blocks.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another
 length than most link with nothing, and are their own component.  An empty table gives an empty
@@ -98,6 +99,11 @@ def near_duplicates(
     n = reps.count()
     size = min(max_pivots, max(1, 2 * math.isqrt(n)))
     chosen = apart(stack(reps.orderBy(F.xxhash64("embedding", F.lit(5)), "vec_id").select("embedding").limit(2 * size).toPandas()["embedding"]), size)
+    # Two vectors that each name ``prefix`` of so few pivots share ``shared`` at least, or name all there are: every
+    # pair is a candidate, and one list compares it once.  It is so for a family of near copies or vectors in one cone.
+    if len(chosen) <= 2 * prefix - shared:
+        chosen = chosen[:1]
+    shared = min(shared, len(chosen))
     points = df.sparkSession.sparkContext.broadcast(chosen)
 
     @F.pandas_udf("array<int>")

@@ -51,6 +51,21 @@ def test_pivot_blocks_agree_with_one_block(spark, monkeypatch):
     assert sorted(map(tuple, pivots.near_duplicates(embeddings(spark, x)).filter("vec_id is not null").collect())) == one
 
 
+def test_pivot_links_where_few_vectors_stand_apart(spark):
+    r = np.random.default_rng(6)
+    pair = np.array([[1.0, 0.0, 0.0, 0.0], [0.95, math.sqrt(1 - 0.95**2), 0.0, 0.0]])
+    family = np.ones(8) + 0.05 * r.normal(size=(50, 8))
+    cone = np.ones(8) + 0.3 * r.normal(size=(80, 8))
+    for x in (pair, family, cone):
+        rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+        got = {i.vec_id: i for i in pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+        assert want.any() and [got[i]["n_links"] for i in range(len(x))] == want.tolist()
+        if x is not cone:
+            assert {i["component_id"] for i in got.values()} == {0} and sum(i["kept"] for i in got.values()) == 1
+
+
 def test_hnsw_recall_and_ties(spark):
     x = cloud(600, 4, 2)
     df = embeddings(spark, x)
