@@ -2,8 +2,8 @@
 
 One pass over the pages cuts each into text blocks and hashes the subtree of every element that
 could belong to the site's template.  Spark counts those hashes per host, and a block goes if a
-subtree around it recurs on many pages of that host.  Pages whose articles begin alike count once,
-so copies of an article do not turn its parts into a template.
+subtree around it recurs on many pages of that host.  Pages of equal text count once, so copies of an
+article do not turn its parts into a template.
 
 What is kept: the blocks of ``<article>`` or ``<main>``, else of the body, without navigation,
 headers, footers, sidebars, forms, scripts, notices, adverts and reader comments, told by tag, role,
@@ -143,7 +143,7 @@ class Page(HTMLParser):
         self.buffer.append(data)
 
     def finish(self) -> tuple[list[tuple[str, list[int]]], int]:
-        """The kept blocks with the marks of the elements around each, and a hash of how the text begins."""
+        """The kept blocks with the marks of the elements around each, and a hash of their text."""
         self.close()
         while len(self.frames) > 1:
             self.close_frame()
@@ -188,7 +188,7 @@ class Page(HTMLParser):
                 for i in range(start, end):
                     marks[i].append(value)
         kept = [(self.blocks[i], marks[i]) for i in range(n) if not dropped[i]]
-        return kept, self.hash("\n".join(text for text, m in kept if not m)[:2000]) - (1 << 63)
+        return kept, self.hash("\n".join(text for text, _ in kept)) - (1 << 63)
 
 
 def read(html: str | None) -> tuple[list[tuple[str, list[int]]], int]:
@@ -198,17 +198,17 @@ def read(html: str | None) -> tuple[list[tuple[str, list[int]]], int]:
 
 
 def blocks(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """The pages with ``_blocks``: array of (text, marks), ``_begin``: how the text begins, and ``_host``."""
+    """The pages with ``_blocks``: array of (text, marks), ``_copy``: a hash of their text, and ``_host``."""
 
-    @F.pandas_udf("blocks array<struct<text: string, marks: array<bigint>>>, begin bigint")
+    @F.pandas_udf("blocks array<struct<text: string, marks: array<bigint>>>, copy bigint")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [read(value) for value in batch]
-            yield pd.DataFrame({"blocks": [[{"text": t, "marks": m} for t, m in b] for b, _ in found], "begin": [x for _, x in found]})
+            yield pd.DataFrame({"blocks": [[{"text": t, "marks": m} for t, m in b] for b, _ in found], "copy": [x for _, x in found]})
 
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
     return small_batches(pages, 256).withColumn("_page", run(F.col(html))).withColumns(
-        {"_blocks": F.col("_page.blocks"), "_begin": F.col("_page.begin"), "_host": host}
+        {"_blocks": F.col("_page.blocks"), "_copy": F.col("_page.copy"), "_host": host}
     ).drop("_page")
 
 
@@ -217,15 +217,15 @@ def extract(
 ) -> DataFrame:
     """(keep..., url, host, blocks): the kept text blocks of each page in page order.
 
-    A subtree is template if it stands on at least ``min_pages`` differently beginning pages of its
-    host, and on the share ``min_share`` of them.
+    A subtree is template if it stands on at least ``min_pages`` pages of its host
+    that differ in text, and on the share ``min_share`` of them.
     """
     parsed = blocks(pages.select(*keep, F.col(url).alias("url"), F.col(html).alias("_html")), "url", "_html").drop("_html")
     parsed = materialize(parsed.withColumn("_row", F.monotonically_increasing_id()), "page-blocks")
-    marked = parsed.select("_row", "_host", "_begin", F.explode(F.array_distinct(F.flatten(F.col("_blocks.marks")))).alias("mark"))
-    per_host = parsed.select("_host", "_begin").distinct().groupBy("_host").agg(F.count("*").alias("pages"))
+    marked = parsed.select("_row", "_host", "_copy", F.explode(F.array_distinct(F.flatten(F.col("_blocks.marks")))).alias("mark"))
+    per_host = parsed.select("_host", "_copy").distinct().groupBy("_host").agg(F.count("*").alias("pages"))
     recurring = (
-        marked.select("_host", "mark", "_begin").distinct().groupBy("_host", "mark").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+        marked.select("_host", "mark", "_copy").distinct().groupBy("_host", "mark").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
         .join(per_host, "_host").filter(F.col("n") >= min_share * F.col("pages")).select("_host", "mark")
     )
     # One list per page, no longer than the page has elements.

@@ -194,6 +194,16 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {tuple(r["blocks"]) for r in got} == {("Head 1", "Text & bold 1 line", "one 1", "two", "end")}
 
 
+def test_template_of_articles_with_header_and_body(spark):
+    page = "<body><article><header><h1>{title}</h1></header><div class='body'><p>{start} own words {i}</p></div><div><p>Join our club</p></div></article></body>"
+    plain = "<body><article><h1>News</h1><p>{start} own words {i}</p><div><p>Join our club</p></div></article></body>"
+    rows = [(i, "http://a.org/", page.format(title=f"Title {i}", start="", i=i)) for i in range(8)]
+    rows += [(10 + i, "http://b.org/", plain.format(start="alike " * 400, i=i)) for i in range(8)]
+    got = {r["page_id"]: r["blocks"] for r in html_templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == [[f"Title {i}", f"own words {i}"] for i in range(8)]
+    assert [got[10 + i][1:] for i in range(8)] == [["alike " * 400 + f"own words {i}"] for i in range(8)]
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
