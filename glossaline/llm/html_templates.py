@@ -7,8 +7,9 @@ article do not turn its parts into a template.
 
 What is kept: the blocks of ``<article>`` or ``<main>``, else of the body, without navigation,
 headers, footers, sidebars, forms, scripts, notices, adverts and reader comments, told by tag, role,
-or by name in class or id.  Paragraphs, headings and list items of the article itself are never
-template; other elements inside it can be, as can everything around it on pages that mark no article.
+or by name in class or id.  Paragraphs, headings and list items that stand in the article itself are
+never template alone; other elements inside it (with all they hold) are, if most pages of the host have
+them, as is what recurs around it on pages that mark no article.
 
 Defined results: null and empty html give no blocks; a null url is a host of its own; broken and
 unclosed markup is read as far as it goes; ``<br>`` is white space.  Repeated rows are repeated.
@@ -33,6 +34,7 @@ BLOCKS = frozenset(
     " hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figcaption td th tr tbody caption b i em strong span a".split())
+PASSAGES = frozenset("ul ol dl table figure".split())  # and section and div with text of their own: parts of a text as prose is
 HEADINGS = frozenset("h1 h2 h3".split())
 # A start tag of the key ends an open element of the value, unless one of the last column stands between.
 ENDS = {
@@ -55,7 +57,7 @@ NAMED_SHARE = 0.9  # on such a page, an element with more of the words is no fur
 
 
 class Frame:
-    __slots__ = ("tag", "start", "parts", "furniture", "named", "article", "holds_article", "heading")
+    __slots__ = ("tag", "start", "parts", "furniture", "named", "article", "holds_article", "heading", "bears")
 
     def __init__(self, tag: str, start: int, attrs: dict) -> None:
         name = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
@@ -65,7 +67,7 @@ class Frame:
         self.furniture = tag in UNSEEN or tag in FURNITURE or role in ROLES or "hidden" in attrs or "display:none" in (attrs.get("style") or "").replace(" ", "")
         words = [SPLIT.split(x) for x in name.split()]
         self.named = tag == "form" or tag == "header" or (tag not in ("html", "body") and any(w[0] not in STATE and any(x.lower() in NAMES for x in w) for w in words))
-        self.holds_article = self.heading = False
+        self.holds_article = self.heading = self.bears = False
 
 
 class Page(HTMLParser):
@@ -85,6 +87,7 @@ class Page(HTMLParser):
         if text:
             self.blocks.append(text)
             self.frames[-1].parts.append(text)
+            self.frames[-1].bears = True
 
     def close_frame(self) -> None:
         if self.frames[-1].tag in BLOCKS or self.frames[-1].tag in UNSEEN:
@@ -143,7 +146,7 @@ class Page(HTMLParser):
         self.buffer.append(data)
 
     def finish(self) -> tuple[list[tuple[str, list[int]]], int]:
-        """The kept blocks with the marks of the elements around each, and a hash of their text."""
+        """The kept blocks with the marks of the elements around each (odd: only recurrence on most pages removes it), and a hash of their text."""
         self.close()
         while len(self.frames) > 1:
             self.close_frame()
@@ -185,8 +188,9 @@ class Page(HTMLParser):
             if all(dropped[start:end]) or any(start <= s and e <= end for s, e in held):
                 continue
             if not (frame.tag in PROSE and inside_text[start]):
+                firm = inside_text[start] and (marked or frame.tag in PASSAGES or (frame.bears and frame.tag in ("section", "div")))
                 for i in range(start, end):
-                    marks[i].append(value)
+                    marks[i].append(value & ~1 | bool(firm))
         kept = [(self.blocks[i], marks[i]) for i in range(n) if not dropped[i]]
         return kept, self.hash("\n".join(text for text, _ in kept)) - (1 << 63)
 
@@ -213,23 +217,27 @@ def blocks(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
 
 def extract(
-    pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id",), min_pages: int = 5, min_share: float = 0.01,
+    pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id",), min_pages: int = 5, min_share: float = 0.01, inside_share: float = 0.5,
 ) -> DataFrame:
     """(keep..., url, host, blocks): the kept text blocks of each page in page order.
 
     A subtree is template if it stands on at least ``min_pages`` pages of its host
-    that differ in text, and on the share ``min_share`` of them.
+    that differ in text, and on the share ``min_share`` of them; inside a marked article, and for lists, tables,
+    figures and passages in the text of other pages, on more than the share ``inside_share``.
     """
     parsed = blocks(pages.select(*keep, F.col(url).alias("url"), F.col(html).alias("_html")), "url", "_html").drop("_html")
     parsed = materialize(parsed.withColumn("_row", F.monotonically_increasing_id()), "page-blocks")
     marked = parsed.select("_row", "_host", "_copy", F.explode(F.array_distinct(F.flatten(F.col("_blocks.marks")))).alias("mark"))
     per_host = parsed.select("_host", "_copy").distinct().groupBy("_host").agg(F.count("*").alias("pages"))
+    # Of a subtree that some pages hold firmly and others do not, all pages count: marks differ in the last bit alone.
+    counted = marked.select("_host", F.shiftright("mark", 1).alias("tree"), "_copy").distinct().groupBy("_host", "tree").agg(F.count("*").alias("n"))
     recurring = (
-        marked.select("_host", "mark", "_copy").distinct().groupBy("_host", "mark").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-        .join(per_host, "_host").filter(F.col("n") >= min_share * F.col("pages")).select("_host", "mark")
+        counted.filter(F.col("n") >= min_pages).join(per_host, "_host").filter(F.col("n") >= min_share * F.col("pages"))
+        .select("_host", "tree", (F.col("n") > inside_share * F.col("pages")).alias("most"))
     )
     # One list per page, no longer than the page has elements.
-    template = marked.join(recurring, ["_host", "mark"]).groupBy("_row").agg(F.collect_set("mark").alias("_template"))
+    met = marked.withColumn("tree", F.shiftright("mark", 1)).join(recurring, ["_host", "tree"]).filter(F.col("most") | (F.col("mark").bitwiseAND(1) == 0))
+    template = met.groupBy("_row").agg(F.collect_set("mark").alias("_template"))
     out = [*keep, "url", F.col("_host").alias("host")]
     # Texts of pages without any such element need not move to meet the list.
     none = F.size(F.flatten(F.col("_blocks.marks"))) == 0

@@ -204,6 +204,22 @@ def test_template_of_articles_with_header_and_body(spark):
     assert [got[10 + i][1:] for i in range(8)] == [["alike " * 400 + f"own words {i}"] for i in range(8)]
 
 
+def test_passages_that_few_articles_share_stay(spark):
+    parts = ["<ul><li>one<li>two</ul>", "<table><tr><td>cell</table>", "<div>passage</div>", "<section><h2>licence</h2><p>terms</p></section>"]
+    box = "<div class='x'><p>Join our club</p></div>"
+    rows, want = [], {}
+    for i in range(48):
+        own = f"own words {i} of this article and no other, so many that they are most of it"
+        shared = "".join(parts) if i < 6 else ""
+        rows.append((i, "http://a.org/", f"<body><article><h1>T{i}</h1><p>{own}</p>{shared}{box}</article></body>"))
+        want[i] = [f"T{i}", own, *(["one", "two", "cell", "passage", "licence", "terms"] if i < 6 else [])]
+        # Without a marked article, around the deepest large element.
+        rows.append((100 + i, "http://b.org/", f"<body><div><p>{own}</p>{''.join(parts[:3]) if i < 6 else ''}</div><div class='x'><p>Join our club</p></div></body>"))
+        want[100 + i] = [own, *(["one", "two", "cell", "passage"] if i < 6 else [])]
+    got = {r["page_id"]: r["blocks"] for r in html_templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
