@@ -35,24 +35,36 @@ def toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Keeps one document of each class; rows that share an id count as one document."""
-    found = materialize(minhash.classes(docs), "near-duplicates")
-    ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("kept").select(F.col("doc_id").alias("kept_id"), "n")
-    kept = docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    alone = kept.filter((F.col("n") == 1) | F.col("doc_id").isNull()).select(*COLUMNS)
-    return alone.unionByName(kept.filter((F.col("n") > 1) & F.col("doc_id").isNotNull()).select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
+    """Keeps exactly the rows that the operator keeps, found again by a hash of id and text."""
+    found = materialize(minhash.keyed_classes(docs), "near-duplicates")
+    # Of rows equal in id and text all are kept (texts without words) or at most one.
+    rows = found.groupBy("doc_id", "same").agg(F.count_if("kept").alias("kept"), F.count("*").alias("n")).filter("kept > 0")
+    rows = rows.select(F.col("doc_id").alias("kept_id"), F.col("same").alias("kept_same"), "kept", "n")
+    whole = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("same"))
+    kept = whole.join(rows, (F.col("same") == F.col("kept_same")) & F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    return kept.filter("kept = n").select(*COLUMNS).unionByName(kept.filter("kept < n").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One row for each run of words that the mix takes: whole texts but where a source's share or a shard ends.
 
-    Rows are slim until the texts join by id and hash; the stage before left no text twice.
+    Rows are slim until the texts join by id and hash.  Equal rows are counted and numbered, each takes
+    its own place in the mix, and one of them lends its text to all.
     """
-    rows = materialize(mixing.sized(docs).filter("size > 0"), "mix-sizes")
-    taken = mixing.mix(rows.withColumn("hash", F.col("key")), mixing.targets(rows), SHARDS)
-    pieces = taken.select(F.col("doc_id").alias("id"), "hash", "size", F.explode("pieces").alias("p"))
-    whole = docs.select(*COLUMNS).withColumn("hash", F.xxhash64("doc_id", "text", F.lit(0)))
-    joined = whole.join(pieces, (whole["hash"] == pieces["hash"]) & whole["doc_id"].eqNullSafe(pieces["id"]))
+    row = F.xxhash64(*COLUMNS)
+    sizes = mixing.sized(docs.select(*COLUMNS, row.alias("hash")), keep=("doc_id", "hash")).filter("size > 0")
+    equal = sizes.groupBy("doc_id", "hash", "source", "size").agg(F.count("*").alias("n"))
+    numbered = equal.withColumn("number", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    rows = materialize(numbered.withColumn("key", F.xxhash64("doc_id", "hash", "number")), "mix-sizes")
+    taken = mixing.mix(rows, mixing.targets(rows), SHARDS, keep=("doc_id", "number"))
+    pieces = materialize(taken.select(F.col("doc_id").alias("id"), F.col("hash").alias("of"), "n", "size", F.explode("pieces").alias("p")), "mix-pieces")
+    whole = docs.select(*COLUMNS, row.alias("hash"))
+    repeated = whole.join(rows.filter("n > 1").select("hash").distinct(), "hash", "left_semi").dropDuplicates(["hash"])
+
+    def met(texts: DataFrame, some: DataFrame) -> DataFrame:
+        return texts.join(some, (F.col("hash") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).select(*COLUMNS, "p", "size")
+
+    joined = met(whole, pieces.filter("n = 1")).unionByName(met(repeated, pieces.filter("n > 1")))
     text = mixing.cut(F.col("text"), F.col("p.first"), F.col("p.words"), F.col("size"))
     return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 

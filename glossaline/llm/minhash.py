@@ -205,7 +205,7 @@ def rarities(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, bands) of each row."""
+    """(doc_id, same, fingerprint, bands) of each row; ``same`` is a hash of id and text."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     @F.pandas_udf("fingerprint binary, bands array<bigint>")
@@ -219,8 +219,8 @@ def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str = "doc_id", text: s
                 bands.append(sampler.bands(*shingler.shingles(words)) if len(words) else [])
             yield pd.DataFrame({"fingerprint": prints, "bands": bands})
 
-    found = small_batches(docs).select(F.col(doc_id).alias("doc_id"), run(F.col(text)).alias("s"))
-    return found.select("doc_id", "s.fingerprint", "s.bands")
+    found = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("same"), run(F.col(text)).alias("s"))
+    return found.select("doc_id", "same", "s.fingerprint", "s.bands")
 
 
 def vectors(docs: DataFrame, wanted: DataFrame, idf: np.ndarray, doc_id: str, text: str) -> DataFrame:
@@ -278,6 +278,11 @@ def links(members: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """(doc_id, class_id, kept) of each row of ``docs``."""
+    return keyed_classes(docs, doc_id, text, threshold).drop("same")
+
+
+def keyed_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """(doc_id, same, class_id, kept): with the hash of id and text, by which rows are found again whatever their id."""
     idf = rarities(docs, text)
     signed = materialize(signatures(docs, idf, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
@@ -295,8 +300,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     grouped = materialize(grouped.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "first"), "grouped")
     best = materialize(grouped.groupBy("c").agg(F.min("first").alias("best")), "best")
     named = grouped.join(best, "c").select(F.col("node").alias("fingerprint"), "best")
-    out = signed.select("doc_id", "row", "fingerprint").join(named, "fingerprint", "left")
+    out = signed.select("doc_id", "same", "row", "fingerprint").join(named, "fingerprint", "left")
     single = F.col("best").isNull()
     return out.select(
-        "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"), (single | (F.col("best.row") == F.col("row"))).alias("kept")
+        "doc_id", "same", F.when(single, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"), (single | (F.col("best.row") == F.col("row"))).alias("kept")
     )

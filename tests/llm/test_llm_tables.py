@@ -220,6 +220,22 @@ def test_passages_that_few_articles_share_stay(spark):
     assert got == want
 
 
+def test_pipeline_rows_without_own_ids(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    found = [(None, text), (None, text), (None, text + " end"), (7, text), (8, other), (9, other + " end"), (9, "one more text that is alone in this table"), (None, "a last text without an id"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in found], schema)
+    kept = pipeline.near_duplicates(spark, docs, FOLDER).select("doc_id", "text").collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [found[3], found[4], found[6], found[7], found[8]]))
+
+    words = [(None, "w " * 100, "a")] * 10 + [(i, f"v{i} " * 100, "b") for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in words], schema)
+    taken = {r["source"]: r["n"] for r in pipeline.mixed(spark, docs, FOLDER).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    assert abs(taken["a"] - 3000 * 5 / 7) <= 32 and abs(taken["b"] - 3000 * 2 / 7) <= 32
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
