@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from . import bpe, hnsw, html_templates, langid, maxent, minhash, mixing, pivots, preference, toxicity, vectors
+from . import bpe, hnsw, html_templates, langid, maxent, minhash, mixing, pivots, preference, toxicity, turn_repair, vectors
 from .common import fold, in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,18 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = html_templates.extract(table(spark, folder, "pages"))
     text = F.array_join("blocks", "\n")
     return found.select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
+
+
+@query("op11_turn_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    report, repaired = turn_repair.repair(turn_repair.damage(turns))
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    found = report.select(F.col("conv_id").alias("of_id"), *numbers, "audit")
+    sums = turn_repair.digests(repaired).withColumnRenamed("conv_id", "sum_id")
+    every = turns.select("conv_id").distinct()
+    met = every.join(found, F.col("conv_id").eqNullSafe(F.col("of_id")), "left").join(sums, F.col("conv_id").eqNullSafe(F.col("sum_id")), "left")
+    return met.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in numbers], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
