@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from . import bpe, hnsw, html_templates, langid, maxent, minhash, mixing, pivots, preference, toxicity, turn_repair, vectors
+from . import bpe, hnsw, html_templates, langid, maxent, minhash, mixing, pivots, preference, toxicity, turn_repair, vectors, whitening
 from .common import fold, in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in numbers], F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    x = whitening.whole(table(spark, folder, "embeddings"))
+    return whitening.apply(x, whitening.fit(x))
