@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from . import bpe, hnsw, html_templates, langid, maxent, minhash, mixing, pivots, preference, toxicity, turn_repair, vectors, whitening
+from . import bpe, hnsw, html_templates, langid, maxent, minhash, mixing, pivots, preference, sharding, toxicity, turn_repair, vectors, whitening
 from .common import fold, in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,12 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     x = whitening.whole(table(spark, folder, "embeddings"))
     return whitening.apply(x, whitening.fit(x))
+
+
+@query("op13_sharding")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    docs = table(spark, folder, "documents").select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
+    return sharding.shuffle(docs, 8).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
