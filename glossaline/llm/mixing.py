@@ -6,7 +6,8 @@ quota of blocks; a binary tree splits the quotas among the output shards, every
 goes left from the multivariate hypergeometric distribution, so that each shard gets its exact
 number of blocks and the sources in it vary as if all blocks had been dealt at random.  A shard's
 blocks of a source are a range of the source's run, disjoint from all other shards' ranges; a local
-shuffle orders what the shard holds.
+shuffle orders what the shard holds.  The last block of a source is as short as its target asks, so
+the words taken are the target to the word and small sources stay.
 
 No source needs to fit a task: the random order is laid out in two steps, a sum per hash range and a
 running sum inside each range.  The tables of sources and of shards have one row per source and per
@@ -145,10 +146,17 @@ def mix(rows: DataFrame, plan: DataFrame, shards: int = 16, block_words: int = 6
     target and ``pieces``: an array of (shard, place, pass, first, words), ``words`` words from word
     ``first`` on, which stand in the shard at the shuffled place of their document in that pass.
     """
-    quotas = plan.withColumn("quota", F.least(F.floor(F.col("target") / block_words + 0.5), F.floor(F.col("source_size") * PASSES / block_words)).cast("bigint"))
-    ranges = split_tree(quotas.select("sid", "quota"), shards, seed).groupBy("sid").agg(
-        F.sort_array(F.collect_list(F.struct((F.col("start") * block_words).alias("lo"), ((F.col("start") + F.col("blocks")) * block_words).alias("hi"), "shard"))).alias("ranges")
-    )
+    # A source's last block is short, so that the words taken are its target to the word.
+    words = F.least(F.floor(F.col("target") + 0.5), F.col("source_size") * PASSES).cast("bigint")
+    quotas = plan.withColumn("wanted", words).withColumn("quota", F.ceil(F.col("wanted") / block_words).cast("bigint"))
+
+    def end(block: Column) -> Column:
+        return F.least(block * block_words, F.col("wanted"))
+
+    cut_up = split_tree(quotas.select("sid", "quota"), shards, seed).join(quotas.select("sid", "wanted"), "sid")
+    ranges = cut_up.groupBy("sid").agg(
+        F.sort_array(F.collect_list(F.struct(end(F.col("start")).alias("lo"), end(F.col("start") + F.col("blocks")).alias("hi"), "shard"))).alias("ranges")
+    ).withColumn("ranges", F.filter("ranges", lambda r: r["lo"] < r["hi"]))
     sources = materialize(plan.join(ranges, "sid"), "mix-plan")
     part = F.pmod(F.shiftrightunsigned("key", 40), F.lit(RANGES)).cast("int")
     placed = rows.withColumn("part", part).join(sources.select("source", "sid"), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
@@ -161,7 +169,7 @@ def mix(rows: DataFrame, plan: DataFrame, shards: int = 16, block_words: int = 6
 
     def of_pass(turn: Column) -> Column:
         begin = F.col("at") + F.col("source_size") * turn
-        met = F.filter("ranges", lambda r: (r["lo"] < begin + F.col("size")) & (r["hi"] > begin))
+        met = F.filter("ranges", lambda r: (F.col("size") > 0) & (r["lo"] < begin + F.col("size")) & (r["hi"] > begin))
         return F.transform(met, lambda r: F.struct(
             r["shard"].alias("shard"), F.xxhash64("key", turn, r["shard"], F.lit(seed)).alias("place"), turn.alias("pass"),
             (F.greatest(r["lo"], begin) - begin).cast("bigint").alias("first"),
