@@ -224,7 +224,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str = "doc_id", text: s
 
 
 def vectors(docs: DataFrame, wanted: DataFrame, idf: np.ndarray, doc_id: str, text: str) -> DataFrame:
-    """(node, shingles, levels) of the texts, 32 bits of each shingle, in ``wanted`` (node, doc_id), read again by their id."""
+    """(node, shingles, levels) of the texts in ``wanted`` (node, same), 32 bits of each shingle, read again by the hash of id and text."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,13 +233,14 @@ def vectors(docs: DataFrame, wanted: DataFrame, idf: np.ndarray, doc_id: str, te
             rows = []
             for node, value in zip(batch["node"], batch["text"]):
                 words = shingler.words(value or "")
-                if len(words) and shingler.fingerprint(value, words) == node:  # else another row of the same id
+                if len(words) and shingler.fingerprint(value, words) == node:  # else another text of the same hash
                     shingles, levels = shingler.shingles(words)
                     rows.append((node, (shingles >> np.uint64(32)).astype(np.uint32).tobytes(), levels.tobytes()))
             yield pd.DataFrame(rows, columns=["node", "shingles", "levels"])
 
-    texts = small_batches(docs).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    read = texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("node", "text")
+    # By the hash, not the id: rows of one id, whatever their number, meet no texts but their own.
+    texts = small_batches(docs).select(F.xxhash64(doc_id, text).alias("same"), F.col(text).alias("text"))
+    read = texts.join(wanted, "same").select("node", "text")
     found = read.mapInPandas(run, "node binary, shingles binary, levels binary")
     return materialize(found.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("levels").alias("levels")), "shingles")
 
@@ -285,14 +286,14 @@ def keyed_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     """(doc_id, same, class_id, kept): with the hash of id and text, by which rows are found again whatever their id."""
     idf = rarities(docs, text)
     signed = materialize(signatures(docs, idf, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "same"))
     nodes = materialize(
         signed.filter("fingerprint is not null").groupBy(F.col("fingerprint").alias("node")).agg(first.alias("first"), F.first("bands").alias("bands")), "nodes"
     )
     banded = nodes.select("node", F.explode("bands").alias("key"))
     shared = materialize(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-bands")
     members = materialize(banded.join(shared, "key"), "members")
-    wanted = members.select("node").distinct().join(nodes, "node").select("node", F.col("first.doc_id").alias("doc_id"))
+    wanted = members.select("node").distinct().join(nodes, "node").select("node", F.col("first.same").alias("same"))
     held = vectors(docs, wanted, idf, doc_id, text)
 
     label = components(links(members, held, threshold))

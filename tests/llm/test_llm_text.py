@@ -267,3 +267,24 @@ def test_bpe_round_trip_and_equality(spark):
         want = library.encode_ordinary(text)
         assert np.frombuffer(row["ids"], "<u4").tolist() == want and row["n"] == len(want) and bytes(row["decoded"]) == text.encode()
     assert bpe.encode(frame(spark, []), ranks, public.PATTERN).count() == 0
+
+
+def test_minhash_of_many_rows_without_id(spark):
+    """Near copies that share one null id: the second reading brings each text once, not all to each."""
+    base = " ".join(f"word{i}" for i in range(120))
+    rows = [(None, f"{base} end{i}") for i in range(5000)] + [(7, "a text by itself that nobody else has")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    read = spark.sparkContext.accumulator(0)
+    plain = minhash.Shingler.fingerprint
+
+    def counted(self, value, words):
+        read.add(1)
+        return plain(self, value, words)
+
+    minhash.Shingler.fingerprint = counted
+    try:
+        got = [tuple(r) for r in minhash.classes(docs).collect()]
+    finally:
+        minhash.Shingler.fingerprint = plain
+    assert sum(k for _, _, k in got) == 2 and {c for _, c, _ in got} == {None, 7}
+    assert read.value <= 3 * len(rows)
