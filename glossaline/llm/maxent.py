@@ -3,8 +3,8 @@
 P(word | context) = P(class | context) * P(word | class).  The class model is a softmax over sums of
 weight rows that hashed features of the context select: the word before (n-gram), the two before
 (n-gram), the one before that alone (skip), and the classes of the last three.  It is trained in
-rounds: tasks take gradient steps over their share of all texts, and the averaged change of the
-weights becomes the next round's start.  Within a class, words follow their counts over the whole
+rounds, each over its share of all texts: tasks take gradient steps over their part of the share, and
+the averaged change of the weights becomes the next round's start.  Every text trains, once.  Within a class, words follow their counts over the whole
 training set, plus one, with one place per class for words never seen.
 
 Classes come from the company words keep: frequent words are clustered by their neighbours, every
@@ -36,7 +36,7 @@ END = b""
 BUCKETS = 1 << 15  # hashed feature rows, at least
 OFTEN = 8  # the rows grow with the number of words seen so often
 BLOCK = 1024  # feature rows whose changes are averaged together
-PACK = 64  # texts of a row of numbered words
+PACK = 1 << 10, 1 << 15  # tokens of a row of numbered words: a task's first one, and the most unless one text has more
 FREQUENT, COMPANY = 4_096, 128  # clustered words; neighbours that describe them
 TRIGRAMS = 1 << 12
 REMEMBERED = 1 << 20  # words a task remembers
@@ -160,28 +160,27 @@ def encoded(batch: pd.Series, words: Words, buckets: int) -> Iterator[tuple[int,
         past, past_cls = np.concatenate([past, hashes])[-3:], np.concatenate([past_cls, cls])[-3:]
 
 
-def cluster(texts: DataFrame, frequent: list[bytes]) -> dict:
+def cluster(packs: DataFrame, frequent: list[bytes]) -> dict:
     """Classes of frequent words by their neighbours in all texts, and letter tables for all other words."""
-    place = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(frequent)})
+    place = packs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(frequent)})
     size = max(1, len(frequent))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros(size * 2 * COMPANY, np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                last = np.zeros(0, np.int64)
-                for piece in tokens(text):
-                    at = np.concatenate([last, np.fromiter((place.value.get(w, -1) for w in piece), np.int64, len(piece))])
-                    for here, near, shift in ((at[1:], at[:-1], 0), (at[:-1], at[1:], COMPANY)):
-                        ok = (here >= 0) & (near >= 0) & (near < COMPANY)
-                        cells, n = np.unique(here[ok] * (2 * COMPANY) + near[ok] + shift, return_counts=True)
-                        table[cells] += n
-                    last = at[-1:]
+            for words, at in zip(batch["words"], batch["at"]):
+                own = unpacked(words)
+                at = np.fromiter((place.value.get(w, -1) for w in own), np.int64, len(own))[np.frombuffer(at, np.int32)]
+                # An end token, which is never clustered, stands between any two texts.
+                for here, near, shift in ((at[1:], at[:-1], 0), (at[:-1], at[1:], COMPANY)):
+                    ok = (here >= 0) & (near >= 0) & (near < COMPANY)
+                    cells, n = np.unique(here[ok] * (2 * COMPANY) + near[ok] + shift, return_counts=True)
+                    table[cells] += n
         cells = np.flatnonzero(table)
         yield pd.DataFrame({"cell": cells, "n": table[cells]})
 
     # At most FREQUENT * 2 * COMPANY cells, summed on Spark.
-    met = texts.mapInPandas(meet, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    met = packs.mapInPandas(meet, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     company = np.zeros(size * 2 * COMPANY)
     company[met["cell"].to_numpy(np.int64)] = met["n"].to_numpy(float)
     company = company.reshape(size, 2 * COMPANY)
@@ -206,106 +205,146 @@ def cluster(texts: DataFrame, frequent: list[bytes]) -> dict:
     }
 
 
-def numbered(texts: DataFrame, classes: dict) -> DataFrame:
-    """All texts as word numbers, so that the rounds need not read words again: a row holds ``PACK`` texts and the hash and class of each word in them."""
-    shared = texts.sparkSession.sparkContext.broadcast(classes)
+def unpacked(words: bytes) -> list[bytes]:
+    return bytes(words).split(b" ")
+
+
+def packed(texts: DataFrame, rounds: int) -> DataFrame:
+    """All texts as word numbers, so that later passes need not read words again.
+
+    A row holds whole texts, one after the other: the distinct words in them, the end token first, the
+    number of each token's word, and the round in which they train.
+    """
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words: dict[bytes, int] = Words()
+        found: list[np.ndarray] = []
+        held, rows, size = 0, 0, PACK[0]  # growing rows deal small inputs over all rounds, too
+
+        def row() -> pd.DataFrame:
+            return pd.DataFrame({"words": [b" ".join(words)], "at": [np.concatenate(found).astype(np.int32).tobytes()], "round": [rows % rounds]})
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(shared.value)
         for batch in batches:
-            rows = []
-            for start in range(0, len(batch), PACK):
-                found = np.concatenate([words.number(piece) for text in batch["text"].iloc[start : start + PACK] for piece in tokens(text)])
-                words.settle()
-                own, at = np.unique(found, return_inverse=True)
-                rows.append((words.hash[own].tobytes(), words.cls[own].astype(np.int8).tobytes(), at.astype(np.int32).tobytes()))
-            yield pd.DataFrame(rows, columns=["hash", "cls", "at"])
-            if words.full():
-                words = Words(shared.value)
+            for text in batch["text"]:
+                if not held:
+                    words.number([END])
+                for piece in tokens(text):
+                    found.append(words.number(piece))
+                    held += len(piece)
+                if held >= size:
+                    yield row()
+                    words, found, held, rows, size = Words(), [], 0, rows + 1, min(PACK[1], size * 2)
+        if held:
+            yield row()
+
+    return materialize(texts.mapInPandas(pack, "words binary, at binary, round int"), "lm-packs")
+
 
-    return materialize(texts.mapInPandas(number, "hash binary, cls binary, at binary"), "lm-numbered")
+def radix(values: np.ndarray) -> np.ndarray:
+    """Stable order of whole numbers below 2**32 by two passes over 16 bits, for which numpy sorts by digits."""
+    low = np.argsort(values.astype(np.uint16), kind="stable")
+    return low[np.argsort((values[low] >> 16).astype(np.uint16), kind="stable")]
 
 
-def train(rows: DataFrame, buckets: int, tasks: int, rounds: int, rate: float = 0.5, batch_size: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and class biases, by rounds of distributed gradient steps over all rows of :func:`numbered`.
+def train(packs: DataFrame, classes: dict, bias: np.ndarray, buckets: int, tasks: int, rounds: int, rate: float = 1.0, batch_size: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and class biases, by rounds of distributed gradient steps over all rows of :func:`packed`.
+
+    ``bias``: what the biases start from, the classes' log shares of all tokens.
 
     A feature row's changes are averaged by how often each task met it: what only one task has seen is not thinned by the others.
     """
-    spark = rows.sparkSession
-    weights, bias = np.zeros((buckets, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
+    spark = packs.sparkSession
+    weights, bias = np.zeros((buckets, CLASSES), np.float32), bias.astype(np.float32)
+    grown_before = np.full(buckets, 1e-3, np.float32)
     # As many tasks as the cluster runs at once, each over its own partitions: what they return does not grow with the input.
-    rows = small_batches(rows.coalesce(max(tasks, spark.sparkContext.defaultParallelism)), 16)
-    for _ in range(rounds):
-        start = spark.sparkContext.broadcast((weights, bias))
+    tasks = max(tasks, spark.sparkContext.defaultParallelism)
+    shared = spark.sparkContext.broadcast(classes)
+    for turn in range(rounds):
+        start = spark.sparkContext.broadcast((weights, bias, grown_before))
 
         def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            w, b = (x.copy() for x in start.value)
-            grown, met, seen = np.full(buckets, 1e-3, np.float32), np.zeros(buckets, np.int64), 0
-            narrow = np.uint16 if buckets <= 1 << 16 else np.int32
+            w, b, grown = (x.copy() for x in start.value)
+            met, seen = np.zeros(buckets, np.int64), 0
+            known = Words(shared.value)
             for batch in batches:
-                for h, k, at in zip(batch["hash"], batch["cls"], batch["at"]):
+                for words, at in zip(batch["words"], batch["at"]):
+                    number = known.number(unpacked(words))
+                    known.settle()
                     at = np.frombuffer(at, np.int32)
-                    cls = np.frombuffer(k, np.int8).astype(np.int64)[at]
-                    found = stream_features(np.frombuffer(h, np.int64)[at], cls, buckets)
-                    met += np.bincount(found.ravel(), minlength=buckets)
+                    cls = known.cls[number][at]
+                    found = stream_features(known.hash[number][at], cls, buckets)
                     seen += len(cls)
-                    for i in range(0, len(cls), batch_size):
-                        f, c = found[i : i + batch_size], cls[i : i + batch_size]
-                        logits = w[f[:, 0]]
+                    size = max(64, min(batch_size, len(cls) // 16))  # a task's first rows are small: more steps
+                    for i in range(0, len(cls), size):
+                        f, c = found[i : i + size], cls[i : i + size]
+                        gradient = w[f[:, 0]]
                         for j in range(1, f.shape[1]):
-                            logits += w[f[:, j]]
-                        logits += b
-                        gradient = np.exp(log_softmax(logits))
+                            gradient += w[f[:, j]]
+                        gradient += b
+                        gradient -= gradient.max(axis=1, keepdims=True)
+                        np.exp(gradient, out=gradient)
+                        gradient /= gradient.sum(axis=1, keepdims=True)
                         gradient[np.arange(len(c)), c] -= 1
                         b -= rate / 10 * gradient.mean(axis=0)
                         flat = f.ravel()
-                        order = np.argsort(flat.astype(narrow), kind="stable")
+                        order = radix(flat)
                         flat = flat[order]
                         first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
                         touched = flat[first]
+                        met[touched] += np.diff(np.r_[first, len(flat)])
                         step = np.add.reduceat(gradient[order // f.shape[1]], first)
-                        grown[touched] += np.einsum("ij,ij->i", step, step) / CLASSES
-                        step *= (rate / np.sqrt(CLASSES) / np.sqrt(grown[touched]))[:, None]
+                        more = grown[touched] + np.einsum("ij,ij->i", step, step) / CLASSES
+                        grown[touched] = more
+                        step *= (rate / np.sqrt(CLASSES) / np.sqrt(more))[:, None]
                         w[touched] -= step
+                    if known.full():
+                        known = Words(shared.value)
             w -= start.value[0]
-            # A change travels as its row's largest and a byte for each class.
+            # A change travels as its row's largest and a byte for each class, with what its steps have grown by.
             scale = np.maximum(np.abs(w).max(axis=1), 1e-30).astype(np.float32) / np.float32(127)
             out = []
             for i in range(0, buckets, BLOCK):
                 here = slice(i, i + BLOCK)
                 if met[here].any():
                     change = np.rint(w[here] / scale[here, None]).astype(np.int8)
-                    out.append((i // BLOCK, np.minimum(met[here], 2**31 - 1).astype(np.int32).tobytes(), scale[here].tobytes() + change.tobytes()))
+                    more = grown[here] - start.value[2][here]
+                    out.append((i // BLOCK, np.minimum(met[here], 2**31 - 1).astype(np.int32).tobytes(), scale[here].tobytes() + change.tobytes(), more.tobytes()))
             if seen:  # the biases, weighted by tokens
-                out.append((-1, np.int64([seen]).tobytes(), (b - start.value[1]).tobytes()))
-            yield pd.DataFrame(out, columns=["block", "n", "change"])
+                out.append((-1, np.int64([seen]).tobytes(), (b - start.value[1]).tobytes(), b""))
+            yield pd.DataFrame(out, columns=["block", "n", "change", "grown"])
 
         def average(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            total, change = 0, 0.0
-            for n, c in zip(part["n"], part["change"]):
+            total, change, grown = 0, 0.0, np.zeros(0 if key[0] < 0 else BLOCK)
+            for n, c, g in zip(part["n"], part["change"], part["grown"]):
                 if key[0] < 0:
                     n, c = np.frombuffer(n, np.int64), np.frombuffer(c, np.float32)[None, :]
                 else:
                     n = np.frombuffer(n, np.int32).astype(np.int64)
                     c = np.frombuffer(c[4 * len(n) :], np.int8).reshape(len(n), CLASSES) * np.frombuffer(c, np.float32, len(n))[:, None]
+                    grown = grown + np.frombuffer(g, np.float32)
                 total = total + n
                 change = change + n[:, None] * c.astype(float)
-            return pd.DataFrame({"block": [key[0]], "change": [(change / np.maximum(total, 1)[:, None]).astype(np.float32).tobytes()]})
+            return pd.DataFrame({
+                "block": [key[0]], "change": [(change / np.maximum(total, 1)[:, None]).astype(np.float32).tobytes()], "grown": [grown.astype(np.float32).tobytes()],
+            })
 
-        moved = rows.mapInPandas(steps, "block int, n binary, change binary").groupBy("block").applyInPandas(average, "block int, change binary")
-        weights, bias = weights.copy(), bias.copy()
+        share = small_batches(packs.filter(F.col("round") == turn).coalesce(tasks), 16)
+        moved = share.mapInPandas(steps, "block int, n binary, change binary, grown binary").groupBy("block").applyInPandas(average, "block int, change binary, grown binary")
+        weights, bias, grown_before = weights.copy(), bias.copy(), grown_before.copy()
         for row in moved.collect():  # one row for each block
             change = np.frombuffer(row["change"], np.float32)
             if row["block"] < 0:
                 bias += change
             else:
-                weights[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] += change.reshape(-1, CLASSES)
+                here = slice(row["block"] * BLOCK, (row["block"] + 1) * BLOCK)
+                weights[here] += change.reshape(-1, CLASSES)
+                grown_before[here] += np.frombuffer(row["grown"], np.float32)
         start.unpersist()
-    small_batches(rows)
+    small_batches(packs)
     return weights, bias
 
 
-def fit(training: DataFrame, text: str = "text", tasks: int = 6, rounds: int = 4, head: int = 1 << 16, max_buckets: int = 1 << 18) -> dict:
+def fit(training: DataFrame, text: str = "text", tasks: int = 6, rounds: int = 8, head: int = 1 << 16, max_buckets: int = 1 << 18) -> dict:
     """The model: classes, weights and counts, all from all texts.
 
     There are four feature rows for every word that stands ``OFTEN`` times or more in the texts, within ``BUCKETS`` and
@@ -322,22 +361,22 @@ def fit(training: DataFrame, text: str = "text", tasks: int = 6, rounds: int = 4
             return pd.DataFrame({"hash": words.hash, "word": list(words), "n": n})
 
         for batch in batches:
-            found = [words.number(piece) for value in batch["text"] for piece in tokens(value)]
-            words.settle()
-            more = np.bincount(np.concatenate(found), minlength=len(words))
-            more[: len(n)] += n
-            n = more
-            if words.full():
-                yield held()
-                words, n = Words(), np.zeros(0, np.int64)
+            for own, at in zip(batch["words"], batch["at"]):
+                number = words.number(unpacked(own))
+                words.settle()
+                n = np.concatenate([n, np.zeros(len(words) - len(n), np.int64)])
+                n[number] += np.bincount(np.frombuffer(at, np.int32), minlength=len(number))
+                if words.full():
+                    yield held()
+                    words, n = Words(), np.zeros(0, np.int64)
         yield held()
 
-    counts = materialize(texts.mapInPandas(count, "hash long, word binary, n long").groupBy("hash").agg(F.min("word").alias("word"), F.sum("n").alias("n")), "lm-counts")
+    packs = small_batches(packed(texts, rounds), 16)
+    counts = materialize(packs.mapInPandas(count, "hash long, word binary, n long").groupBy("hash").agg(F.min("word").alias("word"), F.sum("n").alias("n")), "lm-counts")
     often = counts.filter(F.col("n") >= OFTEN).count()
     buckets = min(max_buckets, max(BUCKETS, 1 << (4 * often - 1).bit_length())) if often else BUCKETS
     top = counts.filter(F.length("word") > 0).orderBy(F.col("n").desc(), "word").limit(FREQUENT).select("word").toPandas()
-    classes = cluster(texts, [bytes(w) for w in top["word"]])
-    weights, bias = train(numbered(texts, classes), buckets, tasks, rounds)
+    classes = cluster(packs, [bytes(w) for w in top["word"]])
     shared = spark.sparkContext.broadcast(classes)
 
     def of_class(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -350,8 +389,10 @@ def fit(training: DataFrame, text: str = "text", tasks: int = 6, rounds: int = 4
 
     small_batches(counts, 10_000)
     by_class = counts.select("word", "n").mapInPandas(of_class, "cls long, n long, v long").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()
-    size = np.ones(CLASSES)
+    size, shares = np.ones(CLASSES), np.full(CLASSES, 0.5)
     size[by_class["cls"].to_numpy(np.int64)] += (by_class["n"] + by_class["v"]).to_numpy(float)
+    shares[by_class["cls"].to_numpy(np.int64)] += by_class["n"].to_numpy(float)
+    weights, bias = train(packs, classes, np.log(shares / shares.sum()), buckets, tasks, rounds)
     top = counts.orderBy(F.col("n").desc(), "hash").limit(head).select("hash", "n").toPandas().sort_values("hash")
     return {
         "classes": classes, "weights": weights, "bias": bias, "counts": counts.select("hash", "n"), "class_size": np.log10(size), "tokens": int(by_class["n"].sum()),
