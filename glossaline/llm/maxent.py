@@ -209,6 +209,14 @@ def unpacked(words: bytes) -> list[bytes]:
     return bytes(words).split(b" ")
 
 
+def share(row: int, rounds: int) -> int:
+    """The round in which a task's n-th row trains: the first rows one each, later ones so that each round has twice the share of the one before.
+
+    Early rounds, from which all tasks learn the frequent features, are short; what they send is small.
+    """
+    return row if row < rounds else max(0, rounds - (row & -row).bit_length())
+
+
 def packed(texts: DataFrame, rounds: int) -> DataFrame:
     """All texts as word numbers, so that later passes need not read words again.
 
@@ -222,7 +230,7 @@ def packed(texts: DataFrame, rounds: int) -> DataFrame:
         held, rows, size = 0, 0, PACK[0]  # growing rows deal small inputs over all rounds, too
 
         def row() -> pd.DataFrame:
-            return pd.DataFrame({"words": [b" ".join(words)], "at": [np.concatenate(found).astype(np.int32).tobytes()], "round": [rows % rounds]})
+            return pd.DataFrame({"words": [b" ".join(words)], "at": [np.concatenate(found).astype(np.int32).tobytes()], "round": [share(rows, rounds)]})
 
         for batch in batches:
             for text in batch["text"]:
@@ -255,12 +263,12 @@ def train(packs: DataFrame, classes: dict, bias: np.ndarray, buckets: int, tasks
     """
     spark = packs.sparkSession
     weights, bias = np.zeros((buckets, CLASSES), np.float32), bias.astype(np.float32)
-    grown_before = np.full(buckets, 1e-3, np.float32)
+    moved_by = np.full(buckets, 1e-3, np.float32)  # a feature's steps shrink with what it has moved already
     # As many tasks as the cluster runs at once, each over its own partitions: what they return does not grow with the input.
     tasks = max(tasks, spark.sparkContext.defaultParallelism)
     shared = spark.sparkContext.broadcast(classes)
     for turn in range(rounds):
-        start = spark.sparkContext.broadcast((weights, bias, grown_before))
+        start = spark.sparkContext.broadcast((weights, bias, moved_by))
 
         def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             w, b, grown = (x.copy() for x in start.value)
@@ -307,14 +315,13 @@ def train(packs: DataFrame, classes: dict, bias: np.ndarray, buckets: int, tasks
                 here = slice(i, i + BLOCK)
                 if met[here].any():
                     change = np.rint(w[here] / scale[here, None]).astype(np.int8)
-                    more = grown[here] - start.value[2][here]
-                    out.append((i // BLOCK, np.minimum(met[here], 2**31 - 1).astype(np.int32).tobytes(), scale[here].tobytes() + change.tobytes(), more.tobytes()))
+                    out.append((i // BLOCK, np.minimum(met[here], 2**31 - 1).astype(np.int32).tobytes(), scale[here].tobytes() + change.tobytes(), (grown[here] - start.value[2][here]).tobytes()))
             if seen:  # the biases, weighted by tokens
                 out.append((-1, np.int64([seen]).tobytes(), (b - start.value[1]).tobytes(), b""))
             yield pd.DataFrame(out, columns=["block", "n", "change", "grown"])
 
         def average(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            total, change, grown = 0, 0.0, np.zeros(0 if key[0] < 0 else BLOCK)
+            total, change, grown = 0, 0.0, np.zeros(0 if key[0] < 0 else BLOCK, np.float32)
             for n, c, g in zip(part["n"], part["change"], part["grown"]):
                 if key[0] < 0:
                     n, c = np.frombuffer(n, np.int64), np.frombuffer(c, np.float32)[None, :]
@@ -324,13 +331,12 @@ def train(packs: DataFrame, classes: dict, bias: np.ndarray, buckets: int, tasks
                     grown = grown + np.frombuffer(g, np.float32)
                 total = total + n
                 change = change + n[:, None] * c.astype(float)
-            return pd.DataFrame({
-                "block": [key[0]], "change": [(change / np.maximum(total, 1)[:, None]).astype(np.float32).tobytes()], "grown": [grown.astype(np.float32).tobytes()],
-            })
+            mean = (change / np.maximum(total, 1)[:, None]).astype(np.float32)
+            return pd.DataFrame({"block": [key[0]], "change": [mean.tobytes()], "grown": [grown.astype(np.float32).tobytes()]})
 
         share = small_batches(packs.filter(F.col("round") == turn).coalesce(tasks), 16)
         moved = share.mapInPandas(steps, "block int, n binary, change binary, grown binary").groupBy("block").applyInPandas(average, "block int, change binary, grown binary")
-        weights, bias, grown_before = weights.copy(), bias.copy(), grown_before.copy()
+        weights, bias, moved_by = weights.copy(), bias.copy(), moved_by.copy()
         for row in moved.collect():  # one row for each block
             change = np.frombuffer(row["change"], np.float32)
             if row["block"] < 0:
@@ -338,7 +344,7 @@ def train(packs: DataFrame, classes: dict, bias: np.ndarray, buckets: int, tasks
             else:
                 here = slice(row["block"] * BLOCK, (row["block"] + 1) * BLOCK)
                 weights[here] += change.reshape(-1, CLASSES)
-                grown_before[here] += np.frombuffer(row["grown"], np.float32)
+                moved_by[here] += np.frombuffer(row["grown"], np.float32)
         start.unpersist()
     small_batches(packs)
     return weights, bias
