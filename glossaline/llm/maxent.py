@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .common import small_batches
 
 CLASSES = 32  # the last is the end token's
@@ -36,7 +36,7 @@ END = b""
 BUCKETS = 1 << 15  # hashed feature rows, at least
 OFTEN = 8  # the rows grow with the number of words seen so often
 BLOCK = 1024  # feature rows whose changes are averaged together
-PACK = 1 << 10, 1 << 15  # tokens of a row of numbered words: a task's first one, and the most unless one text has more
+PACK = 1 << 10, 1 << 16  # tokens of a row of numbered words: a task's first one, and the most unless one text has more
 FREQUENT, COMPANY = 4_096, 128  # clustered words; neighbours that describe them
 TRIGRAMS = 1 << 12
 REMEMBERED = 1 << 20  # words a task remembers
@@ -169,8 +169,8 @@ def cluster(packs: DataFrame, frequent: list[bytes]) -> dict:
         table = np.zeros(size * 2 * COMPANY, np.int64)
         for batch in batches:
             for words, at in zip(batch["words"], batch["at"]):
-                own = unpacked(words)
-                at = np.fromiter((place.value.get(w, -1) for w in own), np.int64, len(own))[np.frombuffer(at, np.int32)]
+                own, number = unpacked(words, at)
+                at = np.fromiter((place.value.get(w, -1) for w in own), np.int64, len(own))[number]
                 # An end token, which is never clustered, stands between any two texts.
                 for here, near, shift in ((at[1:], at[:-1], 0), (at[:-1], at[1:], COMPANY)):
                     ok = (here >= 0) & (near >= 0) & (near < COMPANY)
@@ -205,16 +205,18 @@ def cluster(packs: DataFrame, frequent: list[bytes]) -> dict:
     }
 
 
-def unpacked(words: bytes) -> list[bytes]:
-    return bytes(words).split(b" ")
+def unpacked(words: bytes, at: bytes) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of a row of :func:`packed`, and the number of each token's word."""
+    own = bytes(words).split(b" ")
+    return own, np.frombuffer(at, np.uint16 if len(own) <= 1 << 16 else np.uint32)
 
 
 def share(row: int, rounds: int) -> int:
-    """The round in which a task's n-th row trains: the first rows one each, later ones so that each round has twice the share of the one before.
+    """The round in which a task's n-th row trains: the first rows one each, later ones so that each round has four times the share of the one before.
 
     Early rounds, from which all tasks learn the frequent features, are short; what they send is small.
     """
-    return row if row < rounds else max(0, rounds - (row & -row).bit_length())
+    return row if row < rounds else max(0, rounds - 1 - ((row & -row).bit_length() - 1) // 2)
 
 
 def packed(texts: DataFrame, rounds: int) -> DataFrame:
@@ -230,7 +232,8 @@ def packed(texts: DataFrame, rounds: int) -> DataFrame:
         held, rows, size = 0, 0, PACK[0]  # growing rows deal small inputs over all rounds, too
 
         def row() -> pd.DataFrame:
-            return pd.DataFrame({"words": [b" ".join(words)], "at": [np.concatenate(found).astype(np.int32).tobytes()], "round": [share(rows, rounds)]})
+            narrow = np.uint16 if len(words) <= 1 << 16 else np.uint32
+            return pd.DataFrame({"words": [b" ".join(words)], "at": [np.concatenate(found).astype(narrow).tobytes()], "round": [share(rows, rounds)]})
 
         for batch in batches:
             for text in batch["text"]:
@@ -259,7 +262,7 @@ def train(packs: DataFrame, classes: dict, bias: np.ndarray, buckets: int, tasks
 
     ``bias``: what the biases start from, the classes' log shares of all tokens.
 
-    A feature row's changes are averaged by how often each task met it: what only one task has seen is not thinned by the others.
+    A feature row's changes are averaged by how much each task moved it: what only one task has seen is not thinned by the others.
     """
     spark = packs.sparkSession
     weights, bias = np.zeros((buckets, CLASSES), np.float32), bias.astype(np.float32)
@@ -272,13 +275,13 @@ def train(packs: DataFrame, classes: dict, bias: np.ndarray, buckets: int, tasks
 
         def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             w, b, grown = (x.copy() for x in start.value)
-            met, seen = np.zeros(buckets, np.int64), 0
+            seen = 0
             known = Words(shared.value)
             for batch in batches:
                 for words, at in zip(batch["words"], batch["at"]):
-                    number = known.number(unpacked(words))
+                    own, at = unpacked(words, at)
+                    number = known.number(own)
                     known.settle()
-                    at = np.frombuffer(at, np.int32)
                     cls = known.cls[number][at]
                     found = stream_features(known.hash[number][at], cls, buckets)
                     seen += len(cls)
@@ -299,7 +302,6 @@ def train(packs: DataFrame, classes: dict, bias: np.ndarray, buckets: int, tasks
                         flat = flat[order]
                         first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
                         touched = flat[first]
-                        met[touched] += np.diff(np.r_[first, len(flat)])
                         step = np.add.reduceat(gradient[order // f.shape[1]], first)
                         more = grown[touched] + np.einsum("ij,ij->i", step, step) / CLASSES
                         grown[touched] = more
@@ -313,29 +315,29 @@ def train(packs: DataFrame, classes: dict, bias: np.ndarray, buckets: int, tasks
             out = []
             for i in range(0, buckets, BLOCK):
                 here = slice(i, i + BLOCK)
-                if met[here].any():
+                more = grown[here] - start.value[2][here]
+                if more.any():
                     change = np.rint(w[here] / scale[here, None]).astype(np.int8)
-                    out.append((i // BLOCK, np.minimum(met[here], 2**31 - 1).astype(np.int32).tobytes(), scale[here].tobytes() + change.tobytes(), (grown[here] - start.value[2][here]).tobytes()))
+                    out.append((i // BLOCK, more.tobytes(), scale[here].tobytes() + change.tobytes()))
             if seen:  # the biases, weighted by tokens
-                out.append((-1, np.int64([seen]).tobytes(), (b - start.value[1]).tobytes(), b""))
-            yield pd.DataFrame(out, columns=["block", "n", "change", "grown"])
+                out.append((-1, np.float32([seen]).tobytes(), (b - start.value[1]).tobytes()))
+            yield pd.DataFrame(out, columns=["block", "grown", "change"])
 
         def average(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            total, change, grown = 0, 0.0, np.zeros(0 if key[0] < 0 else BLOCK, np.float32)
-            for n, c, g in zip(part["n"], part["change"], part["grown"]):
+            total, change = 0.0, 0.0
+            for g, c in zip(part["grown"], part["change"]):
+                g = np.frombuffer(g, np.float32)
                 if key[0] < 0:
-                    n, c = np.frombuffer(n, np.int64), np.frombuffer(c, np.float32)[None, :]
+                    c = np.frombuffer(c, np.float32)[None, :]
                 else:
-                    n = np.frombuffer(n, np.int32).astype(np.int64)
-                    c = np.frombuffer(c[4 * len(n) :], np.int8).reshape(len(n), CLASSES) * np.frombuffer(c, np.float32, len(n))[:, None]
-                    grown = grown + np.frombuffer(g, np.float32)
-                total = total + n
-                change = change + n[:, None] * c.astype(float)
-            mean = (change / np.maximum(total, 1)[:, None]).astype(np.float32)
-            return pd.DataFrame({"block": [key[0]], "change": [mean.tobytes()], "grown": [grown.astype(np.float32).tobytes()]})
-
-        share = small_batches(packs.filter(F.col("round") == turn).coalesce(tasks), 16)
-        moved = share.mapInPandas(steps, "block int, n binary, change binary, grown binary").groupBy("block").applyInPandas(average, "block int, change binary, grown binary")
+                    c = np.frombuffer(c[4 * len(g) :], np.int8).reshape(len(g), CLASSES) * np.frombuffer(c, np.float32, len(g))[:, None]
+                total = total + g
+                change = change + g[:, None] * c.astype(float)
+            mean = change / np.maximum(total, 1e-30)[:, None]
+            return pd.DataFrame({"block": [key[0]], "grown": [total.astype(np.float32).tobytes()], "change": [mean.astype(np.float32).tobytes()]})
+
+        part = small_batches(packs.filter(F.col("round") == turn).coalesce(tasks), 16)
+        moved = part.mapInPandas(steps, "block int, grown binary, change binary").groupBy("block").applyInPandas(average, "block int, grown binary, change binary")
         weights, bias, moved_by = weights.copy(), bias.copy(), moved_by.copy()
         for row in moved.collect():  # one row for each block
             change = np.frombuffer(row["change"], np.float32)
@@ -350,7 +352,7 @@ def train(packs: DataFrame, classes: dict, bias: np.ndarray, buckets: int, tasks
     return weights, bias
 
 
-def fit(training: DataFrame, text: str = "text", tasks: int = 6, rounds: int = 8, head: int = 1 << 16, max_buckets: int = 1 << 18) -> dict:
+def fit(training: DataFrame, text: str = "text", tasks: int = 6, rounds: int = 6, head: int = 1 << 16, max_buckets: int = 1 << 18) -> dict:
     """The model: classes, weights and counts, all from all texts.
 
     There are four feature rows for every word that stands ``OFTEN`` times or more in the texts, within ``BUCKETS`` and
@@ -368,10 +370,11 @@ def fit(training: DataFrame, text: str = "text", tasks: int = 6, rounds: int = 8
 
         for batch in batches:
             for own, at in zip(batch["words"], batch["at"]):
-                number = words.number(unpacked(own))
+                own, at = unpacked(own, at)
+                number = words.number(own)
                 words.settle()
                 n = np.concatenate([n, np.zeros(len(words) - len(n), np.int64)])
-                n[number] += np.bincount(np.frombuffer(at, np.int32), minlength=len(number))
+                n[number] += np.bincount(at, minlength=len(number))
                 if words.full():
                     yield held()
                     words, n = Words(), np.zeros(0, np.int64)
@@ -399,6 +402,7 @@ def fit(training: DataFrame, text: str = "text", tasks: int = 6, rounds: int = 8
     size[by_class["cls"].to_numpy(np.int64)] += (by_class["n"] + by_class["v"]).to_numpy(float)
     shares[by_class["cls"].to_numpy(np.int64)] += by_class["n"].to_numpy(float)
     weights, bias = train(packs, classes, np.log(shares / shares.sum()), buckets, tasks, rounds)
+    discard(packs)
     top = counts.orderBy(F.col("n").desc(), "hash").limit(head).select("hash", "n").toPandas().sort_values("hash")
     return {
         "classes": classes, "weights": weights, "bias": bias, "counts": counts.select("hash", "n"), "class_size": np.log10(size), "tokens": int(by_class["n"].sum()),
