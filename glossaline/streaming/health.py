@@ -1,102 +1,210 @@
-"""Live provider health: latency score, failure streak, cooldown with expiry."""
+"""Live provider health: latency score, failure streak, cooldown with expiry.
+
+The fold of a provider's attempts is a record that merges: two records of consecutive stretches make
+the record of both.  Attempts are dealt by provider and stretch of time, so a busy provider's attempts
+meet in many tasks, and a task holds one stretch of one provider as arrays.  The state never sees
+single attempts as Python objects.
+
+Without a delay every micro-batch is folded as it comes: its stretches become records, and the state
+merges them in order of time.  With a delay the stream runs on event time: a stretch stays open, as
+packed attempts, until the watermark has passed its end; then its timer sorts, reduces and merges it.
+The result does not depend on how attempts are spread over files and micro-batches, and equals the
+batch form over all stretches that the watermark has passed.  A second timer ends a cooldown.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import fixed_values as V
 from ..functions.errors import error_class
 
-STATE = (
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STRETCH = 60  # seconds of event time that one task sorts
+ATTEMPT = np.dtype([("seconds", "<f8"), ("attempt_no", "<i8"), ("latency", "<f8"), ("code", "<i2")])  # code 0: success, else an error class from 1
+STATUS_OF = {"auth_failure": "dead", "quota_rate_limit": "cooldown", "token_limit": "cooldown", "timeout": "degraded", "provider_5xx": "degraded"}
+
+RECORD = (
+    "success_count BIGINT, failure_count BIGINT, streak BIGINT, broken BOOLEAN, power DOUBLE, weighted DOUBLE, seed DOUBLE, timed BOOLEAN, "
+    "last_error STRING, status STRING, last_failed BOOLEAN, last_seconds DOUBLE"
+)
+HEALTH = (
     "success_count BIGINT, failure_count BIGINT, consecutive_failures BIGINT, latency_score DOUBLE, last_error_type STRING, "
-    "health_status STRING, cooldown_until DOUBLE, last_ts DOUBLE"
+    "health_status STRING, cooldown_until DOUBLE, last_ts DOUBLE, on_cooldown BOOLEAN, changes BIGINT"
 )
-OUTPUT = f"provider STRING, {STATE}, on_cooldown BOOLEAN"
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class HealthProcessor(StatefulProcessor):
-    """One small record of state per provider.
+class Record(NamedTuple):
+    """What a stretch of attempts does to a provider's health."""
+
+    success_count: int = 0
+    failure_count: int = 0
+    streak: int = 0  # failures at the end
+    broken: bool = False  # a success stands before them
+    power: float = 1.0  # what is left of the score before the stretch
+    weighted: float = 0.0  # what the stretch adds to it
+    seed: float = 0.0  # its first latency
+    timed: bool = False
+    last_error: str = ""
+    status: str = ""  # last status it sets, if any
+    last_failed: bool = False
+    last_seconds: float = 0.0
+
+
+def reduced(attempts: np.ndarray) -> Record:
+    """The record of attempts of one provider, in any order."""
+    a = np.sort(attempts, order=["seconds", "attempt_no"])
+    code = a["code"]
+    good = np.flatnonzero(code == 0)
+    classes = ["", *V.ERROR_CLASSES]
+    # Successes and these classes set the status; the last of them counts.
+    sets = np.flatnonzero(np.isin(code, [0, *[classes.index(c) for c in STATUS_OF]]))
+    latency = a["latency"][a["latency"] > 0]
+    weights = V.LATENCY_KEEP ** np.arange(len(latency) - 1, -1, -1)
+    status = "" if not len(sets) else STATUS_OF.get(classes[code[sets[-1]]], "healthy")
+    return Record(
+        len(good), len(a) - len(good), len(a) - 1 - int(good[-1]) if len(good) else len(a), bool(len(good)),
+        float(V.LATENCY_KEEP ** len(latency)), float(V.LATENCY_NEW * (latency * weights).sum()), float(latency[0]) if len(latency) else 0.0, bool(len(latency)),
+        classes[code[-1]], status, bool(code[-1] != 0), float(a["seconds"][-1]),
+    )
 
-    Rows of a batch are applied in time order.  They arrive in bounded Arrow batches that are
-    first reduced to (time, outcome, latency) tuples.
-    """
 
-    def __init__(self, cooldown_seconds: int = V.COOLDOWN_SECONDS, timers: bool = False):
-        self.cooldown_seconds = cooldown_seconds
-        self.timers = timers
+def merged(a: Record, b: Record) -> Record:
+    """The record of two stretches, ``b`` right after ``a``."""
+    return Record(
+        a.success_count + b.success_count, a.failure_count + b.failure_count, b.streak if b.broken else a.streak + b.streak, a.broken or b.broken,
+        a.power * b.power, a.weighted * b.power + b.weighted, a.seed if a.timed else b.seed, a.timed or b.timed,
+        b.last_error, b.status or a.status, b.last_failed, b.last_seconds,
+    )
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("health", STATE)
 
-    def _load(self) -> list:
-        stored = self.state.get()
-        return list(stored) if stored else [0, 0, 0, 0.0, "", "healthy", 0.0, 0.0]
+class HealthProcessor(StatefulProcessor):
+    """One record of state per provider; with event time also its open stretches, as packed attempts."""
 
-    def handleInputRows(self, key, rows: Iterator, timer_values) -> Iterator:
-        import pandas as pd
+    def __init__(self, keys: list[str], cooldown_seconds: int, event_time: bool):
+        self.keys, self.cooldown_seconds, self.event_time = keys, cooldown_seconds, event_time
 
-        state = self._load()
-        events = []
-        for frame in rows:
-            events.extend(zip(frame["seconds"], frame["attempt_no"], frame["status"], frame["error_class"], frame["latency"]))
-        for seconds, _, status, error, latency in sorted(events, key=lambda e: (e[0], e[1])):
-            self._apply(state, float(seconds), status, error, float(latency))
-        self.state.update(tuple(state))
-        if self.timers and state[6] > 0:
-            self.handle.registerTimer(int(state[6] * 1000))
-        yield self._row(pd, key, state, on_cooldown=state[6] > state[7])
-
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.record = handle.getValueState("record", RECORD + ", changes BIGINT")
+        if self.event_time:
+            self.open = handle.getMapState("open", "until BIGINT", "attempts BINARY")
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        if self.event_time:
+            for frame in rows:
+                for until, attempts in zip(frame["until"], frame["attempts"]):
+                    end = int(round(until.timestamp() * 1000)) if until.tzinfo else int(until.value // 1_000_000)
+                    held = self.open.getValue((end,))[0] if self.open.containsKey((end,)) else None
+                    if held is None:
+                        self.handle.registerTimer(end)
+                    self.open.updateValue((end,), ((bytes(held) if held else b"") + bytes(attempts),))
+            return
+        found = [(r.until, Record(*r[1:])) for frame in rows for r in frame[["until", *Record._fields]].itertuples(index=False, name="Row")]
+        record, changes = self._load()
+        for _, more in sorted(found, key=lambda f: f[0]):
+            record = more if record is None else merged(record, more)
+        yield self._row(key, record, changes + 1, record.last_failed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        now, expired = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        record, changes = self._load()
+        if self.open.containsKey((expired,)):
+            more = reduced(np.frombuffer(bytes(self.open.getValue((expired,))[0]), ATTEMPT))
+            self.open.removeKey((expired,))
+            record = more if record is None else merged(record, more)
+            until = self._until(record)
+            if until * 1000 > now:
+                self.handle.registerTimer(int(np.ceil(until * 1000)))
+            yield self._row(key, record, changes + 1, until * 1000 > now)
+        elif record is not None and 0 < self._until(record) * 1000 <= expired:
+            yield self._row(key, record, changes + 1, False)
+
+    def _load(self) -> tuple[Record | None, int]:
+        held = self.record.get()
+        return (Record(*held[:-1]), held[-1]) if held else (None, 0)
+
+    def _until(self, record: Record) -> float:
+        return record.last_seconds + self.cooldown_seconds if record.last_failed else 0.0
+
+    def _row(self, key, record: Record, changes: int, on_cooldown: bool):
         import pandas as pd
 
-        state = self._load()
-        if state[6] * 1000 <= expired_timer_info.getExpiryTimeInMs():
-            state[6] = 0.0
-            self.state.update(tuple(state))
-            yield self._row(pd, key, state, on_cooldown=False)
-
-    def _apply(self, state: list, seconds: float, status: str, error: str, latency: float) -> None:
-        if status == "success":
-            state[0] += 1
-            state[2], state[4], state[5], state[6] = 0, "", "healthy", 0.0
-        else:
-            state[1] += 1
-            state[2] += 1
-            state[4] = error
-            changed = {"auth_failure": "dead", "quota_rate_limit": "cooldown", "token_limit": "cooldown",
-                       "timeout": "degraded", "provider_5xx": "degraded"}
-            state[5] = changed.get(error, state[5])
-            state[6] = seconds + self.cooldown_seconds
-        if latency > 0:
-            state[3] = latency if state[3] <= 0 else V.LATENCY_KEEP * state[3] + V.LATENCY_NEW * latency
-        state[7] = seconds
-
-    @staticmethod
-    def _row(pd, key, state, on_cooldown):
-        names = ["success_count", "failure_count", "consecutive_failures", "latency_score", "last_error_type", "health_status",
-                 "cooldown_until", "last_ts"]
-        return pd.DataFrame([[key[0], *state, on_cooldown]], columns=["provider", *names, "on_cooldown"])
+        self.record.update((*record, changes))
+        row = {
+            **dict(zip(self.keys, key)), "success_count": record.success_count, "failure_count": record.failure_count, "consecutive_failures": record.streak,
+            "latency_score": record.power * record.seed + record.weighted if record.timed else 0.0, "last_error_type": record.last_error,
+            "health_status": record.status or "healthy", "cooldown_until": self._until(record), "last_ts": record.last_seconds, "on_cooldown": on_cooldown, "changes": changes,
+        }
+        return pd.DataFrame([row])
 
     def close(self) -> None:
         pass
 
 
-def live_health(attempts: DataFrame, cooldown_seconds: int = V.COOLDOWN_SECONDS, timers: bool = False) -> DataFrame:
-    """Stream of attempts (provider, ts, attempt_no, status, error_type, latency_ms) -> health updates.
+def live_health(
+    attempts: DataFrame, cooldown_seconds: int = V.COOLDOWN_SECONDS, delay: str | None = None, keys: list[str] | None = None, stretch: int = STRETCH,
+) -> DataFrame:
+    """Stream of attempts (keys, ts, attempt_no, status, error_type, latency_ms) -> health updates.
 
-    Needs the RocksDB state store.  With ``timers`` a cooldown's end emits a row of its own.
+    Rows come in order of ``changes`` for each key.  With ``delay`` (an interval) attempts count once
+    the watermark, the newest stretch's end less the delay, has passed the end of their stretch; later ones
+    are dropped, and the end of a cooldown is a row of its own.  Needs the RocksDB state store.
     """
-    prepared = attempts.filter(F.col("status").isin("success", "failed")).select(
-        "provider", F.col("ts").cast("double").alias("seconds"), "attempt_no", "status",
-        F.when(F.col("status") == "failed", error_class(F.col("error_type"))).otherwise("").alias("error_class"),
-        F.coalesce(F.col("latency_ms").cast("double"), F.lit(0.0)).alias("latency"),
+    keys = keys or ["provider"]
+    classes = F.array(*[F.lit(c) for c in V.ERROR_CLASSES])
+    code = F.when(F.col("status") == "failed", F.array_position(classes, error_class(F.col("error_type")))).otherwise(0)
+    seconds = F.col("ts").cast("double")
+    timed = attempts.filter(F.col("status").isin("success", "failed")).select(
+        *keys, F.timestamp_seconds((F.floor(seconds / stretch) + 1) * stretch).alias("until"), seconds.alias("seconds"), "attempt_no",
+        F.coalesce(F.col("latency_ms").cast("double"), F.lit(0.0)).alias("latency"), code.cast("smallint").alias("code"),
     )
-    return prepared.groupBy("provider").transformWithStateInPandas(
-        statefulProcessor=HealthProcessor(cooldown_seconds, timers), outputStructType=OUTPUT, outputMode="Update",
-        timeMode="ProcessingTime" if timers else "None",
+    fields = attempts.select(*keys).schema
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+    def arrays(frame) -> np.ndarray:
+        out = np.zeros(len(frame), ATTEMPT)
+        for name in ATTEMPT.names:
+            out[name] = frame[name].to_numpy()
+        return out
+
+    def packed(key: tuple, frame):
+        import pandas as pd
+
+        return pd.DataFrame([[*key, arrays(frame).tobytes()]], columns=[*keys, "until", "attempts"])
+
+    def folded(key: tuple, frame):
+        import pandas as pd
+
+        return pd.DataFrame([[*key, *reduced(arrays(frame))]], columns=[*keys, "until", *Record._fields])
+
+    dealt = timed.groupBy(*keys, "until")
+    if delay is None:
+        met = dealt.applyInPandas(folded, f"{named}, until timestamp, {RECORD}")
+    else:
+        met = dealt.applyInPandas(packed, f"{named}, until timestamp, attempts binary").withWatermark("until", delay)
+    return met.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=HealthProcessor(keys, cooldown_seconds, delay is not None), outputStructType=f"{named}, {HEALTH}", outputMode="Update",
+        timeMode="None" if delay is None else "EventTime",
     )
+
+
+def save_health(updates: DataFrame, out: str, checkpoint: str):
+    """Start writing updates, each micro-batch in its own folder: a batch that runs again writes the same one."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
+
+    return updates.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_health(updates: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Newest state of each key from the written updates."""
+    keys = keys or ["provider"]
+    names = [c for c in updates.columns if c not in keys]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*names), "changes").alias("_s")).select(*keys, "_s.*")

@@ -50,29 +50,54 @@ WITH {ATTEMPTS_SQL} SELECT provider, success_count, failure_count, consecutive_f
   CASE WHEN cooldown_until IS NULL THEN 0.0 ELSE round(epoch_us(cooldown_until) / 1000000.0::DOUBLE, 3) END AS cooldown_until FROM states
 """)
 def stream_health(spark, sf):
+    updates = _health_updates(spark, health.live_health(_attempts(stream_of(spark, sf, "events"))))
+    names = ["provider", "success_count", "failure_count", "consecutive_failures", "latency_score", "last_error_type", "health_status", "cooldown_until"]
+    return updates.select(*names).withColumn("latency_score", F.round("latency_score", 6)).withColumn("cooldown_until", F.round("cooldown_until", 3))
+
+
+def _attempts(events):
     kind = F.col("event_type")
     message = F.get(F.array(*[F.lit(m) for m in _MESSAGES]), (F.col("event_id") % 6).cast("int"))
-    attempts = stream_of(spark, sf, "events").select(
+    return events.select(
         F.col("user_id").cast("string").alias("provider"), F.col("event_id").alias("attempt_no"), F.col("ts").cast("timestamp").alias("ts"),
         F.when(kind == "error", "failed").when(kind == "signup", "skipped").otherwise("success").alias("status"), F.when(kind == "error", message).alias("error_type"),
         F.when(kind == "view", 0.0).otherwise(F.floor(F.col("value")).cast("double")).alias("latency_ms"),
     )
+
+
+def _health_updates(spark, updates):
     out = new_shared_path(spark, "health")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", health.STORE)
+    health.save_health(updates, out, new_shared_path(spark, "health-state")).awaitTermination()
+    return health.latest_health(spark.read.option("recursiveFileLookup", True).parquet(out))
 
-    def save(batch, batch_id):
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
 
-    (
-        health.live_health(attempts).writeStream.outputMode("update").foreachBatch(save)
-        .option("checkpointLocation", new_shared_path(spark, "health-state")).trigger(availableNow=True).start().awaitTermination()
-    )
-    updates = spark.read.option("recursiveFileLookup", True).parquet(out)
-    names = ["success_count", "failure_count", "consecutive_failures", "latency_score", "last_error_type", "health_status", "cooldown_until"]
-    last = updates.groupBy("provider").agg(F.max_by(F.struct(*names), "batch_id").alias("_s")).select("provider", "_s.*")
-    return last.withColumn("latency_score", F.round("latency_score", 6)).withColumn("cooldown_until", F.round("cooldown_until", 3))
+_PARTS = 4
+_LATE = 6 * 3600  # attempts reach their file up to half of this late
 
 
+@query("stream_health_event_time", f"""
+WITH w AS (SELECT (floor(epoch_us(max(ts)) / 60e6) + 1) * 60 - {_LATE} AS as_of FROM events WHERE event_type <> 'signup'),
+passed AS (SELECT events.* FROM events, w WHERE (floor(epoch_us(ts) / 60e6) + 1) * 60 <= as_of),
+{ATTEMPTS_SQL.replace("FROM events)", "FROM passed)")}
+SELECT provider, success_count, failure_count, consecutive_failures, latency_score, last_error_type, health_status,
+  CASE WHEN cooldown_until IS NULL THEN 0.0 ELSE round(epoch_us(cooldown_until) / 1000000.0::DOUBLE, 3) END AS cooldown_until,
+  coalesce(epoch_us(cooldown_until) / 1000000.0::DOUBLE > as_of, false) AS on_cooldown FROM states, w
+""")
+def stream_health_event_time(spark, sf):
+    """Attempts in files of which each holds some that belong to the time of the one before."""
+    events = table(spark, sf, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    late = F.pmod(F.xxhash64("event_id"), F.lit(_LATE // 2))
+    step = ((last - first).total_seconds() + _LATE) / _PARTS if first else 1.0
+    part = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lit(first).cast("timestamp")) + late) / step)
+    folder = new_shared_path(spark, "attempt-files")
+    for n in range(_PARTS):  # one after the other, as a log grows
+        events.filter(part == n).write.parquet(f"{folder}/part={n}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+    updates = _health_updates(spark, health.live_health(_attempts(stream), delay=f"{_LATE} seconds"))
+    names = ["provider", "success_count", "failure_count", "consecutive_failures", "latency_score", "last_error_type", "health_status", "cooldown_until", "on_cooldown"]
+    return updates.select(*names).withColumn("latency_score", F.round("latency_score", 6)).withColumn("cooldown_until", F.round("cooldown_until", 3))
 
 
 @query("stream_memory", f"""
