@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..operators import glossary as G
 from ..operators import memory as M
+from ..operators import memory_store
+from ..session import materialize, new_shared_path
 from ..sources import glossary_csv
 from .base import any_of, norm, query, seg_hash, strip, table, texts
 
@@ -103,6 +105,60 @@ def tm_upsert(spark, sf):
     )
 
 
+_STORE_SQL = f"""
+WITH {TM_SQL},
+saves AS (SELECT doc_id, lang, text, {seg_hash('lang', "'vi'", 'text')} AS h, 'new ' || text AS translated FROM documents WHERE {strip('text')} <> ''),
+one AS (SELECT lang, h, arg_max(text, doc_id) AS text, arg_max(translated, doc_id) AS translated, min(doc_id) AS first_no, max(doc_id) AS last_no
+   FROM saves WHERE doc_id % 2 = 0 AND {_KEPT} GROUP BY 1, 2),
+two AS (SELECT lang, h, arg_max(text, doc_id) AS text, arg_max(translated, doc_id) AS translated, min(doc_id) AS first_no, max(doc_id) AS last_no
+   FROM saves WHERE doc_id % 2 = 1 AND {_KEPT} GROUP BY 1, 2),
+top AS (SELECT max(id) AS top FROM tm),
+m1 AS (SELECT tm.id, coalesce(tm.source_lang, l.lang) AS source_lang, coalesce(tm.h, l.h) AS h, coalesce(l.translated, tm.translated_text) AS translated,
+   coalesce(TIMESTAMP '2024-03-01' + to_seconds(last_no), tm.updated_at) AS updated_at, first_no FROM tm FULL OUTER JOIN one l ON tm.source_lang = l.lang AND tm.h = l.h),
+s1 AS (SELECT coalesce(id, top + row_number() OVER (PARTITION BY id IS NULL ORDER BY first_no, source_lang, h)) AS id, source_lang, h, translated, updated_at FROM m1, top),
+found AS (SELECT tm.source_lang, tm.h, count(*) AS n, max(TIMESTAMP '2024-06-01' + to_seconds(d.doc_id)) AS last FROM documents d
+   JOIN tm ON length({strip('d.text')}) >= 2 AND tm.source_lang = d.lang AND tm.h = {seg_hash('d.lang', "'vi'", 'd.text')} GROUP BY 1, 2),
+s2 AS (SELECT s1.* REPLACE (greatest(updated_at, last) AS updated_at), coalesce(n, 0) AS hit_count FROM s1 LEFT JOIN found USING (source_lang, h)),
+s3 AS (SELECT * FROM s2 WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+m4 AS (SELECT s3.id, coalesce(s3.source_lang, l.lang) AS source_lang, coalesce(s3.h, l.h) AS h, coalesce(l.translated, s3.translated) AS translated,
+   coalesce(TIMESTAMP '2024-03-01' + to_seconds(last_no), s3.updated_at) AS updated_at, coalesce(hit_count, 0) AS hit_count, first_no
+   FROM s3 FULL OUTER JOIN two l ON s3.source_lang = l.lang AND s3.h = l.h)
+SELECT coalesce(id, (SELECT max(id) FROM s1) + row_number() OVER (PARTITION BY id IS NULL ORDER BY first_no, source_lang, h)) AS id, source_lang, h AS source_text_hash,
+  md5(translated) AS digest, updated_at, hit_count FROM m4
+"""
+
+
+def _stored_memory(spark, sf, folds: bool):
+    """A store that gets saves, hits, tombstones and saves again, as four deltas beside the base."""
+    path = new_shared_path(spark, "memory-store")
+    tm = materialize(memory_table(spark, sf), "memory")
+    memory_store.create(tm, path, buckets=16)
+    docs = texts(spark, sf)
+    saves = docs.select(
+        "doc_id", F.col("lang").alias("source_lang"), F.lit("vi").alias("target_lang"), F.col("text").alias("source_text"), F.concat(F.lit("new "), F.col("text")).alias("translated_text"),
+        F.lit("p").alias("provider"), F.lit("m").alias("model"), F.timestamp_seconds(F.lit(1709251200) + F.col("doc_id")).alias("saved_at"), F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("save_no"),
+    )
+    memory_store.save(saves.filter("doc_id % 2 = 0"), path, 1)
+    found = M.lookup(document_segments(spark, sf), tm).withColumn("looked_up_at", F.timestamp_seconds(F.lit(1717200000) + F.col("seg_id")))
+    memory_store.hit(found, path, 2)
+    memory_store.remove(spark, path, table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id")), 3)
+    if folds:
+        memory_store.compact(spark, path)
+    memory_store.save(saves.filter("doc_id % 2 = 1"), path, 4)
+    return memory_store.read(spark, path).select("id", "source_lang", "source_text_hash", F.md5("translated_text").alias("digest"), "updated_at", "hit_count")
+
+
+@query("tm_store", _STORE_SQL)
+def tm_store(spark, sf):
+    return _stored_memory(spark, sf, folds=False)
+
+
+@query("tm_store_compacted", _STORE_SQL)
+def tm_store_compacted(spark, sf):
+    """The same changes, with the first three folded into the base before the last."""
+    return _stored_memory(spark, sf, folds=True)
+
+
 @query("tm_search_topk", f"""
 WITH {TM_SQL}
 SELECT id, source_lang, md5(source_text) AS digest, updated_at FROM tm
