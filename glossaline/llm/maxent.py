@@ -39,7 +39,7 @@ BLOCK = 1024  # feature rows whose changes are averaged together
 PACK = 1 << 10, 1 << 16  # tokens of a row of numbered words: a task's first one, and the most unless one text has more
 FREQUENT, COMPANY = 4_096, 128  # clustered words; neighbours that describe them
 TRIGRAMS = 1 << 12
-REMEMBERED = 1 << 20  # words a task remembers
+COUNTED, TRAINED, SCORED = 1 << 20, 1 << 18, 1 << 19  # words a task remembers while counting, training, scoring
 PIECE = 1 << 20  # bytes of a long text tokenized at once
 
 
@@ -89,8 +89,8 @@ class Words(dict):
         known, is_end = self.classes["known"], CLASSES - 1
         return np.array([is_end if w == END else known.get(w, c) for w, c in zip(words, out.tolist())], np.int64)
 
-    def full(self) -> bool:
-        return len(self) > REMEMBERED
+    def full(self, limit: int) -> bool:
+        return len(self) > limit
 
 
 def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -307,7 +307,7 @@ def train(packs: DataFrame, classes: dict, bias: np.ndarray, buckets: int, tasks
                         grown[touched] = more
                         step *= (rate / np.sqrt(CLASSES) / np.sqrt(more))[:, None]
                         w[touched] -= step
-                    if known.full():
+                    if known.full(TRAINED):
                         known = Words(shared.value)
             w -= start.value[0]
             # A change travels as its row's largest and a byte for each class, with what its steps have grown by.
@@ -375,13 +375,13 @@ def fit(training: DataFrame, text: str = "text", tasks: int = 6, rounds: int = 6
                 words.settle()
                 n = np.concatenate([n, np.zeros(len(words) - len(n), np.int64)])
                 n[number] += np.bincount(at, minlength=len(number))
-                if words.full():
+                if words.full(COUNTED):
                     yield held()
                     words, n = Words(), np.zeros(0, np.int64)
         yield held()
 
     packs = small_batches(packed(texts, rounds), 16)
-    counts = materialize(packs.mapInPandas(count, "hash long, word binary, n long").groupBy("hash").agg(F.min("word").alias("word"), F.sum("n").alias("n")), "lm-counts")
+    counts = materialize(packs.mapInPandas(count, "hash long, word binary, n long").groupBy("hash", "word").agg(F.sum("n").alias("n")), "lm-counts")
     often = counts.filter(F.col("n") >= OFTEN).count()
     buckets = min(max_buckets, max(BUCKETS, 1 << (4 * often - 1).bit_length())) if often else BUCKETS
     top = counts.filter(F.length("word") > 0).orderBy(F.col("n").desc(), "word").limit(FREQUENT).select("word").toPandas()
@@ -445,7 +445,7 @@ def score(df: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), text:
                 value, times = np.unique(words.hash[np.concatenate(row[4])], return_counts=True)
                 row[4] = [{"hash": h, "times": t} for h, t in zip(value.tolist(), times.tolist())]
             yield pd.DataFrame(rows, columns=["n_tokens", "n_known", "counted", "classed", "rest"])
-            if words.full():
+            if words.full(SCORED):
                 words, of_word = Words(m["classes"]), np.zeros(0, np.int64)
 
     told = small_batches(df).select(*keep, run(F.col(text)).alias("s")).select(*keep, "s.*").withColumn("_row", F.monotonically_increasing_id())
