@@ -347,7 +347,7 @@ def train(packs: DataFrame, classes: dict, bias: np.ndarray, buckets: int, tasks
                 here = slice(row["block"] * BLOCK, (row["block"] + 1) * BLOCK)
                 weights[here] += change.reshape(-1, CLASSES)
                 moved_by[here] += np.frombuffer(row["grown"], np.float32)
-        start.unpersist()
+        start.destroy(blocking=True)  # its copies on disk, too: the round is over
     small_batches(packs)
     return weights, bias
 
