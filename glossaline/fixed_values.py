@@ -127,6 +127,7 @@ AUTH_HINTS = [
     "permission denied", "forbidden", "api key", "invalid key",
 ]
 QUOTA_HINTS = ["429", "quota", "rate limit", "rate_limit", "resource exhausted", "too many requests"]
+CALL_TIMEOUT_SECONDS = 30
 TIMEOUT_HINTS = ["timeout", "timed out"]
 TRANSPORT_HINTS = [
     "connection failed", "connection aborted", "connection refused", "connection reset", "connection error",

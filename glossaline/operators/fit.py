@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import re
+from bisect import bisect_right
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .. import fixed_values as V
-from ..functions.text import count_chars, lines
+from ..functions.text import count_chars
 from .segments import count_map
 
 STEP = 0.5
@@ -60,87 +66,143 @@ def _any_width(text: Column) -> Column:
     return total + upper_count * (V.WIDTH_UPPER - V.WIDTH_OTHER)
 
 
-def _is_cjk(line: Column, hint: Column) -> Column:
-    hinted = F.lower(F.coalesce(hint, F.lit(""))).isin(V.CJK_HINTS)
-    return (hinted | line.rlike(f"[{V.CJK_CLASS}]")) & ~F.contains(line, F.lit(" "))
-
-
-def tokens(text: Column, hint: Column) -> Column:
-    """Array of (token, width, opens a line).  A line without word gaps in CJK is one token."""
-
-    def of_line(line: Column) -> Column:
-        words = F.split(
-            F.btrim(F.regexp_replace(line, f"[{V.WHITESPACE_CLASS}]+", " ")), " ", -1
-        )
-        units = F.when(_is_cjk(line, hint), F.array(line)).otherwise(words)
-        return F.transform(
-            units, lambda w, i: F.struct(w.alias("w"), width_units(w).alias("u"), (i == 0).alias("opens"))
-        )
-
-    return F.flatten(F.transform(lines(text), of_line))
-
-
-def _char_widths(token: Column) -> Column:
-    return F.transform(F.split(token, ""), lambda c: F.struct(c.alias("c"), width_units(c).alias("u")))
-
-
-def _measure(tokens_: Column, capacity: Column) -> Column:
-    """(line count, widest line) of a greedy wrap; state is three numbers, whatever the text length."""
-
-    def state(n, cur, widest):
-        return F.struct(n.cast("int").alias("n"), cur.cast("int").alias("cur"), widest.cast("int").alias("widest"))
-
-    def split_long(s: Column, token: Column) -> Column:
-        start = state(s["n"] + 1, F.lit(0), s["widest"])
-        return F.aggregate(
-            _char_widths(token["w"]), start,
-            lambda a, c: F.when(
-                (a["cur"] > 0) & (a["cur"] + c["u"] > capacity), state(a["n"] + 1, c["u"], F.greatest(a["widest"], c["u"]))
-            ).otherwise(state(a["n"], a["cur"] + c["u"], F.greatest(a["widest"], a["cur"] + c["u"]))),
-        )
+class Flow:
+    """A text as tokens with prefix sums of their widths, for wrapping at many capacities.
 
-    def step(s: Column, t: Column) -> Column:
-        joined = s["cur"] + V.WIDTH_SPACE + t["u"]
-        fits = ~t["opens"] & (joined <= capacity)
-        return (
-            F.when(fits, state(s["n"], joined, F.greatest(s["widest"], joined)))
-            .when(t["u"] > capacity, split_long(s, t))
-            .otherwise(state(s["n"] + 1, t["u"], F.greatest(s["widest"], t["u"])))
-        )
-
-    return F.aggregate(tokens_, state(F.lit(0), F.lit(0), F.lit(0)), step)
-
-
-def _lines(tokens_: Column, capacity: Column) -> Column:
-    """The wrapped lines themselves, built once for the chosen size."""
-    line = "array<struct<t:string,u:int>>"
-
-    def entry(text: Column, width: Column) -> Column:
-        return F.array(F.struct(text.alias("t"), width.cast("int").alias("u"))).cast(line)
-
-    def replaced(acc: Column, text: Column, width: Column) -> Column:
-        return F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), entry(text, width))
-
-    def split_long(acc: Column, token: Column) -> Column:
-        def char_step(a: Column, c: Column) -> Column:
-            last = F.try_element_at(a, F.lit(-1))
-            return F.when(
-                (last["u"] > 0) & (last["u"] + c["u"] > capacity), F.concat(a, entry(c["c"], c["u"]))
-            ).otherwise(replaced(a, F.concat(last["t"], c["c"]), last["u"] + c["u"]))
-
-        return F.aggregate(_char_widths(token["w"]), F.concat(acc, entry(F.lit(""), F.lit(0))), char_step)
-
-    def step(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = last["u"] + V.WIDTH_SPACE + t["u"]
-        fits = ~t["opens"] & (joined <= capacity)
-        return (
-            F.when(fits, replaced(acc, F.concat_ws(" ", last["t"], t["w"]), joined))
-            .when(t["u"] > capacity, split_long(acc, t))
-            .otherwise(F.concat(acc, entry(t["w"], t["u"])))
-        )
+    A wrap takes a search per line instead of a step per token: from the first token of a line, the
+    prefix sums tell the last one that still fits.
+    """
 
-    return F.transform(F.aggregate(tokens_, F.array().cast(line), step), lambda l: l["t"])
+    def __init__(self, text: str, hint: str | None, widths: dict[str, int]) -> None:
+        self.widths = widths
+        self.lines: list[tuple[list[str], list[int]]] = []  # tokens of a source line, and where each begins; a gap behind each
+        hinted = (hint or "").lower() in V.CJK_HINTS
+        for line in source_lines(text):
+            whole = " " not in line and (hinted or CJK.search(line) is not None)
+            tokens = [line] if whole else GAPS.sub(" ", line).strip(" ").split(" ")
+            starts = [0]
+            for token in tokens:
+                starts.append(starts[-1] + self.width(token) + V.WIDTH_SPACE)
+            self.lines.append((tokens, starts))
+
+    def width(self, text: str) -> int:
+        widths = self.widths
+        return sum([widths[c] for c in text])
+
+    def wrap(self, capacity: int, out: list[str] | None = None) -> tuple[int, int]:
+        """(number of lines, widest line) of the greedy wrap; ``out`` takes the lines."""
+        count, widest = 0, 0
+        for tokens, starts in self.lines:
+            at, n = 0, len(tokens)
+            while at < n:
+                head, lead = "", 0  # the end of a token cut by characters, and its width
+                first, base = at, starts[at]
+                if starts[at + 1] - base - V.WIDTH_SPACE > capacity:
+                    chunks = self.cut(tokens[at], capacity)
+                    widest = max(widest, *(w for _, w in chunks))
+                    count += len(chunks) - 1
+                    if out is not None:
+                        out.extend(c for c, _ in chunks[:-1])
+                    head, lead = chunks[-1]
+                    first, base = at + 1, starts[at + 1] - V.WIDTH_SPACE - lead
+                # Tokens up to ``stop`` end within the capacity.
+                stop = max(first if head or lead else first + 1, bisect_right(starts, base + capacity + V.WIDTH_SPACE, first) - 1)
+                widest = max(widest, starts[stop] - base - V.WIDTH_SPACE)
+                count += 1
+                if out is not None:
+                    out.append(" ".join([head, *tokens[first:stop]] if first > at else tokens[first:stop]))
+                at = stop
+        return count, widest
+
+    def cut(self, token: str, capacity: int) -> list[tuple[str, int]]:
+        chunks, start, width = [], 0, 0
+        for i, c in enumerate(token):
+            u = self.widths[c]
+            if width > 0 and width + u > capacity:
+                chunks.append((token[start:i], width))
+                start, width = i, 0
+            width += u
+        return [*chunks, (token[start:], width)]
+
+
+CJK, GAPS, ENDS = re.compile(f"[{V.CJK_CLASS}]"), re.compile(f"[{V.WHITESPACE_CLASS}]+"), re.compile(V.LINE_END)
+
+
+class Widths(dict):
+    """Hundredths of the font size of each character, worked out when it is first met."""
+
+    def __missing__(self, c: str) -> int:
+        groups = [
+            (V.NARROW_LETTERS, V.WIDTH_NARROW), (V.WIDE_LETTERS, V.WIDTH_WIDE), (V.POINT_MARKS, V.WIDTH_POINT),
+            (V.BRACKET_MARKS, V.WIDTH_BRACKET), (V.SIGN_MARKS, V.WIDTH_SIGN),
+        ]
+        if c.isspace():
+            width = V.WIDTH_SPACE
+        elif CJK.match(c):
+            width = V.WIDTH_CJK
+        elif c.isdigit():
+            width = V.WIDTH_DIGIT
+        else:
+            width = next((w for letters, w in groups if c in letters), V.WIDTH_UPPER if c.isupper() else V.WIDTH_OTHER)
+        self[c] = width
+        return width
+
+
+def source_lines(text: str) -> list[str]:
+    parts = ENDS.split(text)
+    return parts[:-1] if parts[-1] == "" else parts
+
+
+def fit(text: str, width: float, height: float, original: float, smallest: float, ratio: float, hint: str | None, widths: dict[str, int]) -> tuple[list[str], float, bool]:
+    """(lines, font size, overflow) of one text.
+
+    A smaller size never needs more lines nor a larger box, so the first size that is as good as the
+    smallest, by overflowing height and then width, is found by halving.
+    """
+    flat = width <= 0 or original <= 0
+    if flat:
+        # Without a width nothing wraps: the lines that hold text, as they are.
+        raw = [line for line in source_lines(text) if line] or [text]
+        measured = len(raw), max(sum(widths[c] for c in line) for line in raw)
+    else:
+        flow = Flow(text, hint, widths)
+
+    def size_of(step: int) -> float:
+        return round(original - step * STEP, 2)
+
+    def capacity_of(step: int) -> int:
+        return math.floor(width * 100.0 / size_of(step) + 1e-9)
+
+    def over(step: int) -> tuple[float, float]:
+        count, widest = measured if flat else flow.wrap(capacity_of(step))
+        return max(0.0, count * size_of(step) * ratio - height), max(0.0, widest * size_of(step) / 100.0 - width)
+
+    low, best = 0, over(0)
+    if best != (0.0, 0.0):
+        high = math.floor((original - smallest + 1e-6) / STEP)
+        if high > 0:
+            best = over(high)
+            while low < high:
+                middle = (low + high) // 2
+                if over(middle) <= best:
+                    high = middle
+                else:
+                    low = middle + 1
+    if flat:
+        return raw, size_of(low), best != (0.0, 0.0)
+    out: list[str] = []
+    flow.wrap(capacity_of(low), out)
+    return out, size_of(low), best != (0.0, 0.0)
+
+
+def _fit_udf():
+    @pandas_udf("lines array<string>, size double, overflow boolean")
+    def run(text: pd.Series, width: pd.Series, height: pd.Series, original: pd.Series, smallest: pd.Series, ratio: pd.Series, hint: pd.Series) -> pd.DataFrame:
+        widths = Widths()
+        rows = [([], o, False) if not t else fit(t, w, h, o, s, r, c, widths) for t, w, h, o, s, r, c in zip(text, width, height, original, smallest, ratio, hint)]
+        return pd.DataFrame(rows, columns=["lines", "size", "overflow"])
+
+    return run
 
 
 def fit_units(requests: DataFrame) -> DataFrame:
@@ -148,57 +210,22 @@ def fit_units(requests: DataFrame) -> DataFrame:
 
     ``requests``: unit_id, text, width, height, font_size, min_font_size, line_height_ratio,
     language_hint.  Sizes go down in half points; the first that fits wins, else the one with the
-    least overflow (height, then width).  All sizes are tried inside the row: no shuffle, and the
-    token widths are computed once, since they do not depend on the size.
+    least overflow (height, then width).  All sizes are tried inside the row: no shuffle.
     """
-    original = F.greatest("font_size", "min_font_size")
-    prepared = requests.withColumn("_original", original).withColumn(
-        "_tokens", F.when(F.col("text") != "", tokens(F.col("text"), F.col("language_hint")))
+    text = F.coalesce("text", F.lit(""))
+    doubles = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("width", "height")]
+    fitted = requests.withColumn("_original", F.greatest("font_size", "min_font_size").cast("double")).withColumn(
+        "_fit", _fit_udf()(text, *doubles, F.col("_original"), F.col("min_font_size").cast("double"), F.col("line_height_ratio").cast("double"), F.col("language_hint"))
     )
-    # Without a width nothing wraps: the lines that hold text, as they are.
-    filled = F.filter(lines(F.col("text")), lambda l: l != "")
-    prepared = prepared.withColumn("_flat", (F.col("width") <= 0) | (F.col("_original") <= 0)).withColumn(
-        "_raw", F.when(F.col("_flat"), F.when(F.size(filled) > 0, filled).otherwise(F.array("text")))
-    ).withColumn("_raw_measure", F.when(F.col("_flat"), F.struct(
-        F.size("_raw").alias("n"), F.lit(0).alias("cur"), F.array_max(F.transform("_raw", width_units)).cast("int").alias("widest")
-    )))
-    steps = F.sequence(F.lit(0), F.floor((F.col("_original") - F.col("min_font_size") + 1e-6) / STEP).cast("int"))
-
-    best_type = "struct<h:double,w:double,size:double,capacity:int>"
-
-    def judged(size: Column, capacity: Column, measured: Column) -> Column:
-        # One-element transforms name the measurement, so that it is taken once.
-        over_height = F.greatest(F.lit(0.0), measured["n"] * size * F.col("line_height_ratio") - F.col("height"))
-        over_width = F.greatest(F.lit(0.0), measured["widest"] * size / 100.0 - F.col("width"))
-        return F.struct(over_height.alias("h"), over_width.alias("w"), size.alias("size"), capacity.alias("capacity")).cast(best_type)
-
-    def attempt(i: Column) -> Column:
-        size = F.round(F.col("_original") - i * STEP, 2)
-        capacity = F.floor(F.col("width") * 100.0 / size + 1e-9).cast("int")
-        return F.get(F.transform(F.array(F.coalesce("_raw_measure", _measure(F.col("_tokens"), capacity))), lambda m: judged(size, capacity, m)), F.lit(0))
-
-    def better(best: Column, i: Column) -> Column:
-        less = lambda new: (new["h"] < best["h"]) | ((new["h"] == best["h"]) & (new["w"] < best["w"]))
-        keep_smaller = F.get(
-            F.transform(F.array(attempt(i)), lambda new: F.when(best.isNull() | less(new), new).otherwise(best)), F.lit(0)
-        )
-        # The first size that fits ends the search: later ones are not measured.
-        return F.when((best["h"] <= 0) & (best["w"] <= 0), best).otherwise(keep_smaller)
-
-    tried = prepared.withColumn("_best", F.aggregate(steps, F.lit(None).cast(best_type), better))
-    empty = F.col("text") == ""
-    size = F.when(empty, F.col("_original")).otherwise(F.col("_best.size"))
-    overflow = ~empty & ((F.col("_best.h") > 0) | (F.col("_best.w") > 0))
+    empty, size, overflow = text == "", F.col("_fit.size"), F.col("_fit.overflow")
     scale = F.when(F.col("_original") != 0, size / F.nullif("_original", F.lit(0.0))).otherwise(1.0)
     small = ~empty & ((F.col("width") <= 40) | (F.col("height") <= 12))
-    none = F.array().cast("array<string>")
     warnings = F.array_compact(F.array(
         F.when(small, "bbox_too_small"), F.when(~empty & ~overflow & (size < F.col("_original")), "font_shrunk"),
         F.when(overflow, "text_overflow"),
     ))
-    return tried.select(
-        *requests.columns,
-        F.when(empty, none).when(F.col("_flat"), F.col("_raw")).otherwise(_lines(F.col("_tokens"), F.col("_best.capacity"))).alias("lines"),
+    return fitted.select(
+        *requests.columns, F.col("_fit.lines").alias("lines"),
         size.alias("fitted_size"), (size * F.col("line_height_ratio")).alias("line_height"), overflow.alias("overflow"),
         scale.alias("scale_ratio"), warnings.alias("warnings"),
     )

@@ -11,7 +11,7 @@ from ..functions.linguistic import is_failed_translation
 from ..functions.text import is_blank, language_key, segment_hash, strip
 from ..plans.ordered import number_rows
 from ..session import materialize
-from .translator import DEFAULT_CALLS, translate_rows
+from .translator import translate_rows
 
 KEY = ["source_lang", "target_lang", "source_text_hash"]
 
@@ -147,7 +147,8 @@ def translate_cached(
     fn: Callable[[str, str, str], dict],
     policy: str = "tm_prefer_cache",
     min_chars: int = V.MIN_CACHE_CHARS,
-    parallelism: int = DEFAULT_CALLS,
+    parallelism: int | None = None,
+    **calls,
 ) -> tuple[DataFrame, Callable[[], DataFrame]]:
     """Translate segments through the memory; returns (segments with translation, updater).
 
@@ -156,7 +157,8 @@ def translate_cached(
 
     ``segments``: seg_id, source_lang, target_lang, text, requested_at.  The translator runs once
     per distinct key that needs it, and its results are written before anything reads them, so a
-    lost executor never causes a second round of calls.
+    lost executor never causes a second round of calls.  ``calls``: calls in flight, timeout, retries and result
+    log, as for :func:`translator.translate_rows`; a call without an answer keeps the original.
     """
     if policy not in V.TM_POLICIES:
         raise ValueError(f"unknown policy: {policy}")
@@ -172,12 +174,12 @@ def translate_cached(
     from_cache = F.col("tm_id").isNotNull() if policy == "tm_prefer_cache" else F.lit(False)
     looked = materialize(looked.withColumn("from_cache", from_cache), "tm-lookup")
     needed = looked.filter(~F.col("from_cache") & ~is_blank(F.col("text")))
-    calls = needed.groupBy("source_lang", "target_lang", "_call_key").agg(
+    needed_calls = needed.groupBy("source_lang", "target_lang", "_call_key").agg(
         F.min_by(F.struct("text", "seg_id", "requested_at"), F.struct("requested_at", "seg_id")).alias("_first"),
         F.max(F.col("source_text_hash").isNotNull()).alias("cacheable"),
     ).select("source_lang", "target_lang", "_call_key", "cacheable", F.col("_first.text").alias("text"),
              F.col("_first.seg_id").alias("seg_id"), F.col("_first.requested_at").alias("requested_at"))
-    results = materialize(translate_rows(calls, fn, parallelism), "translations")
+    results = materialize(translate_rows(needed_calls, fn, parallelism, **calls), "translations")
     # Blank text never calls the translator and stays as it is.
     out = looked.join(
         results.select("source_lang", "target_lang", "_call_key", "status", "translated_text", "provider", "model"),

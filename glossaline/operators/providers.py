@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
 from ..functions.errors import error_class
-from ..plans.ordered import freeze_order, number_rows, unfreeze, with_running
+from ..plans.ordered import number_rows
+from ..plans.scan import scan
 
 STATE_KEY = ["provider", "model", "key_index"]
 
@@ -16,7 +18,7 @@ def provider_states(attempts: DataFrame, as_of, cooldown_seconds: int = V.COOLDO
 
     ``attempts``: keys, ts, attempt_no (unique order within a key), status, error_type,
     latency_ms.  Instead of walking the attempts one by one, each row gets its place in its
-    key from the chunked ordering, and the folds become plain sums with map-side combine:
+    key from a chunked scan, and the folds become plain sums with map-side combine:
 
     * latency: the weight of a value is a power of the keep factor, by its distance to the end;
       the first value seeds, so it carries the whole remaining weight;
@@ -25,15 +27,11 @@ def provider_states(attempts: DataFrame, as_of, cooldown_seconds: int = V.COOLDO
     keys = keys or STATE_KEY
     real = attempts.filter(F.col("status").isin("success", "failed"))
     timed = F.coalesce(F.col("latency_ms") > 0, F.lit(False))
-    # Timed attempts sort last within a key (newest first), so that both orders come from one
-    # frozen sort: place among all, and place among the timed ones.
-    frozen = freeze_order(
-        real.withColumn("_class", F.when(F.col("status") == "failed", error_class(F.col("error_type")))),
-        keys,
-        [F.desc("ts"), F.desc("attempt_no")],
-    )
-    placed = unfreeze(
-        with_running(frozen, keys, {"_from_end": F.lit(1).cast("bigint"), "_timed_from_end": timed.cast("bigint")})
+    # Newest first: one scan gives an attempt's place from the end among all, and among the timed ones.
+    placed = scan(
+        real.withColumn("_class", F.when(F.col("status") == "failed", error_class(F.col("error_type")))).withColumn("_timed_one", timed.cast("bigint")),
+        keys, [F.desc("ts"), F.desc("attempt_no")], ["_from_end", "_timed_from_end"],
+        lambda rows, before, same: {"_from_end": np.ones(len(rows), np.int64), "_timed_from_end": rows["_timed_one"].to_numpy(np.int64)}, ["_timed_one"],
     )
     success = F.col("status") == "success"
     failed = ~success
@@ -170,6 +168,31 @@ def waterfall_outcomes(attempts: DataFrame, max_retries: int = V.MAX_RETRIES) ->
     )
 
 
+def attempt_events(attempts: DataFrame) -> DataFrame:
+    """Runtime events of logged attempts: every real attempt is a call, then a success or a failure.
+
+    ``attempts``: request_id, ord, provider, model, key_index, status, error_type, message, latency_ms, source_lang,
+    target_lang.  Skipped candidates give none.  ``event_no`` orders an attempt's events.
+    """
+    none = F.lit(None)
+    failed = F.col("status") == "failed"
+
+    def event(no: int, name: Column, **own: Column) -> Column:
+        fields = {"model": "string", "key_index": "int", "error_type": "string", "error_message": "string", "latency_ms": "int"}
+        return F.struct(F.lit(no).alias("event_no"), name.alias("event"), *[own.get(f, none).cast(t).alias(f) for f, t in fields.items()])
+
+    called = event(0, F.lit("provider_call"))
+    ended = event(
+        1, F.when(failed, "provider_fail").otherwise("provider_success"), model=F.coalesce("model", F.lit("")), key_index=F.coalesce("key_index", F.lit(-1)),
+        error_type=F.when(failed, F.coalesce("error_type", F.lit(""))), error_message=F.when(failed, F.coalesce("message", F.lit(""))),
+        latency_ms=F.when(~failed, F.coalesce("latency_ms", F.lit(0))),
+    )
+    real = attempts.filter(F.col("status").isin("failed", "success"))
+    return real.select(
+        "request_id", "ord", F.coalesce("provider", F.lit("")).alias("provider"), "source_lang", "target_lang", F.explode(F.array(called, ended)).alias("e")
+    ).select("request_id", "ord", "provider", "source_lang", "target_lang", "e.*")
+
+
 def latest_checks(checks: DataFrame) -> DataFrame:
     """Newest health check per provider and model, as an aggregate instead of a sort."""
     columns = [c for c in checks.columns if c not in ("provider_id", "model_id")]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from .. import fixed_values as V
 from ..functions.redaction import redact_whole, sanitize_bundle
@@ -223,14 +224,47 @@ def sanitize_reports(reports: DataFrame) -> DataFrame:
 
 def regression_bundle(
     reports: DataFrame, diffs: DataFrame | None = None, verdicts: DataFrame | None = None, plans: DataFrame | None = None,
-    protection: DataFrame | None = None,
+    protection: DataFrame | None = None, metadata: DataFrame | None = None, created_at: Column | None = None,
 ) -> DataFrame:
-    """One nested, publishable row per document from all its parts."""
+    """One nested, publishable row per document from all its parts.
+
+    ``metadata``: a row of further facts per document.  Its report_type, schema_version and created_at win
+    over the usual ones; its input_file and output_file over those of the report.  Of files only the
+    names are kept.
+    """
     out = reports.select("doc_id", F.struct(*[c for c in reports.columns if c != "doc_id"]).alias("qa_report"))
     parts = {"visual_diff": diffs, "visual_evaluation": verdicts, "translation_plan_summary": plans, "protection_summary": protection}
     for name, part in parts.items():
         if part is not None:
             nested = part.select("doc_id", F.struct(*[c for c in part.columns if c != "doc_id"]).alias(name))
             out = out.join(nested, "doc_id", "left")
-    header = [F.lit("pdf_regression_report").alias("report_type"), F.lit("1").alias("schema_version")]
-    return sanitize_bundle(out.select("doc_id", *header, *[c for c in out.columns if c != "doc_id"]))
+    own = [] if metadata is None else [c for c in metadata.columns if c != "doc_id"]
+    if own:
+        out = out.join(metadata.select("doc_id", F.struct(*own).alias("_metadata")), "doc_id", "left")
+
+    def known(name: str, usual: Column) -> Column:
+        given = F.col(f"_metadata.{name}").cast("string") if name in own else F.lit(None).cast("string")
+        return F.coalesce(given, usual)
+
+    def label(name: str) -> Column:
+        reported = F.col(f"qa_report.{name}") if name in reports.columns else F.lit(None).cast("string")
+        return file_label(F.nullif(known(name, reported), F.lit(""))).alias(name)
+
+    now = created_at if created_at is not None else F.current_timestamp()
+    moment = F.date_format(F.to_utc_timestamp(now, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    header = [known("report_type", F.lit("pdf_regression_report")).alias("report_type"), known("schema_version", F.lit("1")).alias("schema_version")]
+    named = ("report_type", "schema_version", "created_at", "input_file", "output_file")
+    facts = F.struct(
+        known("created_at", moment).alias("created_at"), label("input_file"), label("output_file"), *[F.col(f"_metadata.{c}").alias(c) for c in own if c not in named]
+    ).alias("metadata")
+    return sanitize_bundle(out.select("doc_id", *header, facts, *[c for c in out.columns if c not in ("doc_id", "_metadata")]))
+
+
+def write_bundles(bundles: DataFrame, path: str) -> None:
+    """Write bundles as JSON, an object a line for each document; fields without a value are written as null."""
+    bundles.write.option("ignoreNullFields", False).json(path)
+
+
+def read_bundles(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Written bundles, with the schema they were written from."""
+    return spark.read.schema(schema).json(path)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
-from ..plans.ordered import freeze_order, number_rows, unfreeze, with_previous, with_running
+from ..plans.ordered import number_rows
+from ..plans.scan import scan
 from .blocks import PAGE, is_content_text
 
 
@@ -98,36 +101,43 @@ def paragraph_members(ordered: DataFrame) -> DataFrame:
     ``ordered``: blocks with reading order, flags and ``font_size``.
 
     A block opens a paragraph when it cannot join the text block before it, so the paragraph is a
-    running count of openings.  Both steps run on the chunked ordering of (document, page,
-    reading order): one written sort of slim rows, no task per document.
+    running count of openings over (document, page, reading order): one sort of slim rows, which looks
+    at each row and the one before it, and no task per document.
     """
     slim = ordered.filter(is_content_text()).select(
         *PAGE, "block_id", "reading_order", "column_index", "x0", "y0", "x1", "y1", can_be_paragraph().alias("_ok"),
         F.col("font_size").alias("_font"),
     )
-    frozen = freeze_order(slim, ["doc_id"], ["page_index", "reading_order", "block_id"])
-    used = ["page_index", "column_index", "x0", "x1", "y1", "_font", "_ok"]
-    linked = with_previous(frozen, ["doc_id"], {f"_p_{c.strip('_')}": c for c in used})
-    gap = F.col("y0") - F.col("_p_y1")
-    fonts_known = (F.col("_p_font") > 0) & (F.col("_font") > 0)
-    smaller = F.least(
-        F.when(F.col("_p_font") > 0, F.col("_p_font")).otherwise(12.0), F.when(F.col("_font") > 0, F.col("_font")).otherwise(12.0)
-    )
+    used = ["page_index", "column_index", "x0", "y0", "x1", "y1", "_font", "_ok"]
+    counted = scan(slim, ["doc_id"], ["page_index", "reading_order", "block_id"], ["_opened"], _openings, used)
+    return counted.filter("_ok").select(*PAGE, "block_id", (F.col("_opened") - 1).alias("paragraph_no"))
+
+
+def _openings(rows: pd.DataFrame, before: pd.DataFrame, same: np.ndarray) -> dict[str, np.ndarray]:
+    """1 where a block opens a paragraph, 0 where it joins the one before it or belongs to none."""
+
+    def numbers(frame: pd.DataFrame, name: str) -> np.ndarray:
+        return frame[name].to_numpy(float, na_value=np.nan)
+
+    def true(frame: pd.DataFrame) -> np.ndarray:
+        return frame["_ok"].fillna(False).to_numpy(bool)
+
+    font, last_font = numbers(rows, "_font"), numbers(before, "_font")
+    gap = numbers(rows, "y0") - numbers(before, "y1")
+    x0, x1, last_x0, last_x1 = numbers(rows, "x0"), numbers(rows, "x1"), numbers(before, "x0"), numbers(before, "x1")
+    known = (font > 0) & (last_font > 0)
+    smaller = np.minimum(np.where(last_font > 0, last_font, 12.0), np.where(font > 0, font, 12.0))
+    shared = np.maximum(0.0, np.minimum(x1, last_x1) - np.maximum(x0, last_x0)) / np.maximum(np.minimum(x1 - x0, last_x1 - last_x0), 1.0)
     joins = (
-        F.col("_p_ok")
-        & (F.col("_p_page_index") == F.col("page_index"))
-        & (F.col("_p_column_index") == F.col("column_index"))
+        same & true(before)
+        & (numbers(before, "page_index") == numbers(rows, "page_index"))
+        & (numbers(before, "column_index") == numbers(rows, "column_index"))
         & (gap >= -4.0)
-        & ~(fonts_known & (F.abs(F.col("_p_font") - F.col("_font")) > 2.5))
-        & (gap <= F.greatest(F.lit(16.0), smaller * 1.8))
-        & (
-            (F.abs(F.col("_p_x0") - F.col("x0")) <= 24.0)
-            | (horizontal_overlap(F.col("_p_x0"), F.col("_p_x1"), F.col("x0"), F.col("x1")) >= 0.5)
-        )
+        & ~(known & (np.abs(last_font - font) > 2.5))
+        & (gap <= np.maximum(16.0, smaller * 1.8))
+        & ((np.abs(last_x0 - x0) <= 24.0) | (shared >= 0.5))
     )
-    opens = F.col("_ok") & ~F.coalesce(joins, F.lit(False))
-    counted = with_running(linked, ["doc_id"], {"_opened": opens.cast("bigint")})
-    return unfreeze(counted).filter("_ok").select(*PAGE, "block_id", (F.col("_opened") - 1).alias("paragraph_no"))
+    return {"_opened": (true(rows) & ~joins).astype(np.int64)}
 
 
 def box_of(*extra: Column) -> list[Column]:

@@ -11,7 +11,7 @@ from .. import fixed_values as V
 from ..functions.linguistic import skip_reason, table_value_counts, translatable_cell
 from ..functions.text import chunks, is_blank, strip
 from ..session import materialize
-from .translator import DEFAULT_CALLS, translate_rows
+from .translator import translate_rows
 
 
 def translatable_cells(cells: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def split_super_batches(translated: DataFrame, keys: list[str]) -> DataFrame:
 
 def translate_super_batches(
     texts: DataFrame, keys: list[str], position: str, size: int, fn: Callable[[str, str, str], dict],
-    source_lang: str, target_lang: str, parallelism: int = DEFAULT_CALLS,
+    source_lang: str, target_lang: str, parallelism: int | None = None,
 ) -> DataFrame:
     requests = super_batches(texts, keys, position, size).withColumn("source_lang", F.lit(source_lang)).withColumn(
         "target_lang", F.lit(target_lang)

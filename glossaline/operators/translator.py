@@ -1,46 +1,151 @@
-"""The user-supplied translator as a partition-wise operator."""
+"""The user-supplied translator as a partition-wise operator: calls in flight, time limits, retries, a result log."""
 
 from __future__ import annotations
 
+import threading
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from .. import fixed_values as V
 from ..schemas import TRANSLATIONS
 
-DEFAULT_CALLS = 32  # tasks that call a translator at the same time
+RESULT = ["status", "translated_text", "provider", "model", "error_type", "error_message", "latency_ms"]
+LOGGED_ROWS = 64  # results of a file of the log
 
 
-def translate_rows(df: DataFrame, fn: Callable[[str, str, str], dict], parallelism: int = DEFAULT_CALLS) -> DataFrame:
+class Call:
+    """One call in a thread of its own, which is left behind when its time is over."""
+
+    def __init__(self, fn: Callable, args: tuple, retries: int, backoff: float) -> None:
+        self.result: tuple | None = None
+        self.started = time.monotonic()
+        self.over = threading.Event()
+        self.thread = threading.Thread(target=self._run, args=(fn, args, retries, backoff), daemon=True)
+        self.thread.start()
+
+    def _run(self, fn: Callable, args: tuple, retries: int, backoff: float) -> None:
+        for turn in range(retries + 1):
+            try:
+                r = fn(*args)
+            except Exception as exc:  # the original text stays on any failure
+                r = {"status": "failed", "error_type": type(exc).__name__, "error_message": str(exc)}
+            if r.get("status", "success") != "failed" or turn == retries or self.over.wait(backoff * 2**turn):
+                break
+        self.result = (
+            r.get("status", "success"), r.get("text"), r.get("provider"), r.get("model"), r.get("error_type"), r.get("error_message"), int(r.get("latency_ms") or 0),
+        )
+        self.over.set()
+
+    def wait(self, timeout: float) -> tuple:
+        if not self.over.wait(max(0.0, self.started + timeout - time.monotonic())):
+            self.over.set()  # no more retries; a late answer is not looked at
+            return ("failed", None, None, None, "timeout", f"no answer within {timeout:g} s", int(timeout * 1000))
+        return self.result or ("failed", None, None, None, "timeout", f"no answer within {timeout:g} s", int(timeout * 1000))
+
+
+def in_flight_calls(rows: Iterator[tuple], fn: Callable, window: int, timeout: float, retries: int, backoff: float) -> Iterator[tuple]:
+    """Results of the rows, in order, with up to ``window`` calls waiting at the same time."""
+    waiting: deque[Call] = deque()
+    for row in rows:
+        if len(waiting) == window:
+            yield waiting.popleft().wait(timeout)
+        waiting.append(Call(fn, row, retries, backoff))
+    while waiting:
+        yield waiting.popleft().wait(timeout)
+
+
+class ResultLog:
+    """Results of one task's calls in small files of the shared folder, so that a task that runs again does not call again."""
+
+    def __init__(self, uri: str, task: int) -> None:
+        import pyarrow.fs as fs
+
+        self.files, root = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+        self.folder = f"{root}/task={task}"
+        self.files.create_dir(self.folder, recursive=True)
+        self.known: dict[str, tuple] = {}
+        self.new: list[tuple] = []
+
+    def load(self) -> None:
+        import pyarrow.fs as fs
+        import pyarrow.parquet as pq
+
+        for info in self.files.get_file_info(fs.FileSelector(self.folder)):
+            if info.path.endswith(".parquet"):
+                with self.files.open_input_file(info.path) as f:
+                    for row in zip(*(c.to_pylist() for c in pq.read_table(f).columns)):
+                        self.known[row[0]] = row[1:]
+
+    def add(self, key: str, result: tuple) -> None:
+        self.known[key] = result
+        self.new.append((key, *result))
+        if len(self.new) >= LOGGED_ROWS:
+            self.flush()
+
+    def flush(self) -> None:
+        import uuid
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        if self.new:
+            kinds = [pa.string()] * (len(RESULT)) + [pa.int64()]
+            table = pa.table([pa.array(c, k) for c, k in zip(zip(*self.new), kinds)], names=["key", *RESULT])
+            # Written under another name first: a half-written file is never read.
+            name = f"{self.folder}/{uuid.uuid4().hex}"
+            with self.files.open_output_stream(f"{name}.tmp") as f:
+                pq.write_table(table, f)
+            self.files.move(f"{name}.tmp", f"{name}.parquet")
+            self.new = []
+
+
+def translate_rows(
+    df: DataFrame, fn: Callable[[str, str, str], dict], parallelism: int | None = None, in_flight: int = 4, timeout: float = float(V.CALL_TIMEOUT_SECONDS),
+    retries: int = 0, backoff: float = 0.5, log: str | None = None,
+) -> DataFrame:
     """Call ``fn(text, source_lang, target_lang)`` per row; adds status, translation, error, latency.
 
     ``fn`` returns a dict with any of: status, text, provider, model, error_type, error_message,
-    latency_ms.  An exception becomes a failed row, never a failed task.  ``parallelism`` is the
-    number of tasks that call, whatever the size of the texts: adaptive execution merges small
-    partitions by their bytes, but leaves a stated number alone.
+    latency_ms.  An exception, or no answer within ``timeout`` seconds (retries and their growing pauses
+    included), becomes a failed row, never a failed task.  ``parallelism`` is the number of tasks that call,
+    by default as many as the cluster runs at once; each keeps ``in_flight`` calls waiting, so one that hangs
+    holds up the others of its task by at most one timeout.
+
+    ``log``: a folder all executors reach.  Rows then meet by their text and languages: equal rows share one
+    call, and a task that runs again, or the same job started again, finds the answers it had.  Failed calls are not kept.
     """
-    df = df.repartition(parallelism)
-    from pyspark.sql import types as T
-
-    added = T.StructType.fromDDL(TRANSLATIONS)
-    schema = T.StructType(df.schema.fields + added.fields)
-
-    def one(text: str, source: str, target: str) -> tuple:
-        try:
-            r = fn(text, source, target)
-        except Exception as exc:  # the original text stays on any failure
-            r = {"status": "failed", "error_type": type(exc).__name__, "error_message": str(exc)}
-        return (
-            r.get("status", "success"), r.get("text"), r.get("provider"), r.get("model"), r.get("error_type"),
-            r.get("error_message"), int(r.get("latency_ms") or 0),
-        )
+    spark = df.sparkSession
+    tasks = parallelism or spark.sparkContext.defaultParallelism
+    key = F.sha2(F.concat_ws("\u0000", F.coalesce("source_lang", F.lit("")), F.coalesce("target_lang", F.lit("")), F.coalesce("text", F.lit(""))), 256)
+    # A stated number of partitions: adaptive execution merges small ones by their bytes, but leaves these alone.
+    dealt = df.repartition(tasks) if log is None else df.withColumn("_call", key).repartition(tasks, "_call")
+    schema = T.StructType(df.schema.fields + T.StructType.fromDDL(TRANSLATIONS).fields)
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
+        from pyspark import TaskContext
 
+        held = None
+        if log is not None:
+            held = ResultLog(log, TaskContext.get().partitionId())
+            held.load()
         for batch in batches:
-            rows = [one(t, s, d) for t, s, d in zip(batch["text"], batch["source_lang"], batch["target_lang"])]
-            results = pd.DataFrame(rows, columns=added.names, index=batch.index)
-            yield pd.concat([batch, results], axis=1)
+            keys = list(batch["_call"]) if held else list(range(len(batch)))
+            known = dict(held.known) if held else {}
+            asked: dict = {}
+            for k, t, s, d in zip(keys, batch["text"], batch["source_lang"], batch["target_lang"]):
+                if k not in known and k not in asked:
+                    asked[k] = (t, s, d)
+            for k, result in zip(asked, in_flight_calls(iter(asked.values()), fn, in_flight, timeout, retries, backoff)):
+                known[k] = result
+                if held and result[0] != "failed":
+                    held.add(k, result)
+            if held:
+                held.flush()
+            results = pd.DataFrame([known[k] for k in keys], columns=RESULT, index=batch.index)
+            yield pd.concat([batch.drop(columns="_call") if held else batch, results], axis=1)
 
-    return df.mapInPandas(run, schema)
+    return dealt.mapInPandas(run, schema)

@@ -12,8 +12,14 @@ from .segments import count_map
 
 UNIT = [
     "doc_id", "unit_id", "page_index", "source_block_ids", "source_span_ids", "x0", "y0", "x1", "y1", "text", "reading_order",
-    "unit_type", "flags", "confidence", "is_skipped",
+    "unit_type", "flags", "confidence", "is_skipped", "metadata",
 ]
+REGION_ORDER = ["page_index", "y0", "x0", "region_id"]
+# What a unit keeps of where it came from: the first three for units of a paragraph, the others for units of a block.
+METADATA = (
+    "struct<block_count:int,paragraph_candidate_id:string,column_indexes:array<int>,column_index:int,related_block_ids:array<string>,"
+    "caption_for_block_id:string,region_kinds:array<string>>"
+)
 
 
 def span_ids() -> Column:
@@ -32,40 +38,70 @@ def _barred() -> Column:
     return F.arrays_overlap("region_kinds", F.array(*[F.lit(k) for k in V.UNTRANSLATABLE_KINDS]))
 
 
-def build_plan(protected: DataFrame, members: DataFrame, spans: DataFrame) -> DataFrame:
+def build_plan(protected: DataFrame, members: DataFrame, spans: DataFrame, related: DataFrame | None = None) -> DataFrame:
     """Accepted and skipped units.
 
     ``protected``: blocks after region flags, with reading order.  ``members``: (doc, page, block,
-    paragraph_no) of the paragraphs found before.  ``spans``: (doc, page, block, span_ids).  A paragraph is used when all its blocks are
-    safe; every other block becomes a caption unit, a single unit, or a skipped unit.
+    paragraph_no) of the paragraphs found before.  ``spans``: (doc, page, block, span_ids).  ``related``: (doc, page, block,
+    related_block_ids) of blocks that captions join.  A paragraph is used when all its blocks are safe; every
+    other block becomes a caption unit, a single unit, or a skipped unit.
+
+    Blocks meet once, by paragraph or alone; a paragraph that cannot be used comes apart again in its row.
     """
-    blocks = protected.join(members.select(*PAGE, "block_id", "paragraph_no"), [*PAGE, "block_id"], "left")
-    blocks = blocks.join(spans.withColumnRenamed("span_ids", "_spans"), [*PAGE, "block_id"])
+    at = [*PAGE, "block_id"]
+    blocks = protected.join(members.select(*at, "paragraph_no"), at, "left").join(spans.select(*at, F.col("span_ids").alias("_spans")), at)
+    if related is not None:
+        blocks = blocks.join(related.select(*at, F.col("related_block_ids").alias("_related")), at, "left")
+    else:
+        blocks = blocks.withColumn("_related", F.lit(None).cast("array<string>"))
+    none = F.array().cast("array<string>")
     safe = is_content_text() & has_flag("translatable") & ~_barred() & ~has_flag("caption_like")
-    parts = F.array_sort(F.collect_list(F.struct("reading_order", "block_id", "text", "_spans")))
-    grouped = (
-        blocks.filter(F.col("paragraph_no").isNotNull())
-        .groupBy(*PAGE, "paragraph_no")
-        .agg(*box_of(parts.alias("_parts"), F.bool_and(safe).alias("_safe"), F.min("reading_order").alias("reading_order")))
-        .withColumn("text", F.array_join(F.transform("_parts", lambda p: p["text"]), "\n"))
+    part = F.struct(
+        "reading_order", "block_id", F.coalesce("text", F.lit("")).alias("text"), "_spans", "x0", "y0", "x1", "y1",
+        F.col("column_index").alias("column"), F.struct(*_single_unit()).alias("single"),
+        F.struct(
+            F.lit(None).cast("int").alias("block_count"), F.lit(None).cast("string").alias("paragraph_candidate_id"), F.lit(None).cast("array<int>").alias("column_indexes"),
+            F.col("column_index"), F.coalesce("_related", none).alias("related_block_ids"), F.col("caption_for_block_id"), F.sort_array("region_kinds").alias("region_kinds"),
+        ).cast(METADATA).alias("metadata"),
     )
-    usable = grouped.filter(F.col("_safe") & ~is_blank(F.col("text")))
+    alone = F.when(F.col("paragraph_no").isNull(), F.col("block_id"))
+    grouped = blocks.groupBy(*PAGE, "paragraph_no", alone.alias("_alone")).agg(
+        *box_of(F.array_sort(F.collect_list(part)).alias("_parts"), F.bool_and(safe).alias("_safe"), F.min("reading_order").alias("reading_order"))
+    ).withColumn("text", F.array_join(F.transform("_parts", lambda p: p["text"]), "\n"))
+    whole = F.col("paragraph_no").isNotNull() & F.col("_safe") & ~is_blank(F.col("text"))
     several = F.size("_parts") > 1
-    whole = usable.select(
-        "doc_id", F.format_string("p%d-para-%d", "page_index", "paragraph_no").alias("unit_id"), "page_index",
-        F.transform("_parts", lambda p: p["block_id"]).alias("source_block_ids"),
-        F.flatten(F.transform("_parts", lambda p: p["_spans"])).alias("source_span_ids"),
-        "x0", "y0", "x1", "y1", "text", "reading_order",
-        F.when(several, "paragraph").otherwise("single_block").alias("unit_type"),
-        F.array(F.lit("translatable")).alias("flags"),
-        F.when(several, 0.9).otherwise(0.7).alias("confidence"), F.lit(False).alias("is_skipped"),
+    paragraph_id = F.format_string("p%d-para-%d", "page_index", "paragraph_no")
+
+    def unit(**values: Column) -> Column:
+        return F.struct(*[values[c].alias(c) for c in UNIT if c not in PAGE])
+
+    flag = F.array(F.lit("translatable"))
+    one = unit(
+        unit_id=paragraph_id, source_block_ids=F.transform("_parts", lambda p: p["block_id"]), source_span_ids=F.flatten(F.transform("_parts", lambda p: p["_spans"])),
+        x0=F.col("x0"), y0=F.col("y0"), x1=F.col("x1"), y1=F.col("y1"), text=F.col("text"), reading_order=F.col("reading_order"),
+        unit_type=F.when(several, "paragraph").otherwise("single_block"), flags=flag, confidence=F.when(several, 0.9).otherwise(0.7), is_skipped=F.lit(False),
+        metadata=F.struct(
+            F.size("_parts").alias("block_count"), paragraph_id.alias("paragraph_candidate_id"),
+            F.sort_array(F.array_distinct(F.transform("_parts", lambda p: F.coalesce(p["column"], F.lit(0))))).alias("column_indexes"), F.lit(None).cast("int").alias("column_index"),
+            F.lit(None).cast("array<string>").alias("related_block_ids"), F.lit(None).cast("string").alias("caption_for_block_id"), F.lit(None).cast("array<string>").alias("region_kinds"),
+        ).cast(METADATA),
     )
-    used = usable.select(*PAGE, "paragraph_no")
-    rest = blocks.join(used, [*PAGE, "paragraph_no"], "left_anti")
-    return whole.unionByName(_single_units(rest))
+
+    def own(p: Column) -> Column:
+        s = p["single"]
+        return unit(
+            unit_id=s["unit_id"], source_block_ids=F.array(p["block_id"]), source_span_ids=p["_spans"], x0=p["x0"], y0=p["y0"], x1=p["x1"], y1=p["y1"], text=s["text"],
+            reading_order=p["reading_order"], unit_type=s["unit_type"], flags=s["flags"], confidence=s["confidence"], is_skipped=s["is_skipped"],
+            # Only skipped units tell what shields them.
+            metadata=F.when(s["is_skipped"], p["metadata"]).otherwise(p["metadata"].withField("region_kinds", F.lit(None).cast("array<string>"))),
+        )
+
+    units = F.when(whole, F.array(one)).otherwise(F.transform("_parts", own))
+    return grouped.select(*PAGE, F.explode(units).alias("u")).select(*[F.col(c) if c in PAGE else F.col(f"u.{c}").alias(c) for c in UNIT])
 
 
-def _single_units(rest: DataFrame) -> DataFrame:
+def _single_unit() -> list[Column]:
+    """What a block becomes where it stands alone."""
     caption = is_content_text() & has_flag("caption_like")
     single = is_content_text() & has_flag("translatable") & ~_barred()
     case = F.when(caption, "caption").when(single, "single").otherwise("skipped")
@@ -87,19 +123,22 @@ def _single_units(rest: DataFrame) -> DataFrame:
         .otherwise(skipped_flags)
     )
     confidence = F.when(caption, 0.75).when(single, 0.7).when(F.col("kind") != "text", 0.95).otherwise(0.8)
-    return rest.select(
-        "doc_id", F.concat(F.col("block_id"), F.lit("-"), case).alias("unit_id"), "page_index",
-        F.array("block_id").alias("source_block_ids"), F.col("_spans").alias("source_span_ids"), "x0", "y0", "x1", "y1",
-        F.when(F.col("kind") == "text", F.coalesce("text", F.lit(""))).otherwise("").alias("text"), "reading_order",
-        F.when(caption, "caption").otherwise("single_block").alias("unit_type"),
-        F.sort_array(flags).alias("flags"), confidence.alias("confidence"), (~caption & ~single).alias("is_skipped"),
-    )
+    return [
+        F.concat(F.col("block_id"), F.lit("-"), case).alias("unit_id"), F.when(F.col("kind") == "text", F.coalesce("text", F.lit(""))).otherwise("").alias("text"),
+        F.when(caption, "caption").otherwise("single_block").alias("unit_type"), F.sort_array(flags).alias("flags"), confidence.alias("confidence"),
+        (~caption & ~single).alias("is_skipped"),
+    ]
 
 
 def in_reading_order(units: DataFrame) -> DataFrame:
     return units.orderBy("doc_id", "page_index", "reading_order", "unit_id")
 
 
+def regions_in_order(regions: DataFrame) -> DataFrame:
+    """Protected regions by page, place on it, and id."""
+    return regions.orderBy("doc_id", *REGION_ORDER)
+
+
 def validation_errors(units: DataFrame) -> DataFrame:
     """(doc_id, error) rows: repeated ids, empty boxes, units without sources.
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
+from .scan import ones, scan
 
 CHUNK = "_chunk"
 POS = "_pos"
@@ -113,4 +114,4 @@ def with_previous(frozen: DataFrame, keys: list[str], previous: dict[str, str])
 
 def number_rows(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "row_number") -> DataFrame:
     """``row_number() over (partition by keys order by order)`` without a task per key."""
-    return unfreeze(with_row_number(freeze_order(df, keys, order), keys, name))
+    return scan(df, keys, order, [name], ones(name))

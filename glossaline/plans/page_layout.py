@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.blocks import PAGE, flag_blocks
-from ..operators.captions import apply_captions, caption_links
+from ..operators.captions import apply_captions, caption_links, related_blocks
 from ..operators.reading import font_size, page_columns, paragraph_members, paragraphs, reading_order
 from ..operators.regions import apply_regions, detect_regions
 from ..operators.units import build_plan, span_ids
@@ -67,4 +67,4 @@ class PageLayout:
     @cached_property
     def units(self) -> DataFrame:
         spans = self.blocks.select(*PAGE, "block_id", span_ids().alias("span_ids"))
-        return build_plan(self.protected, self.members, spans)
+        return build_plan(self.protected, self.members, spans, related_blocks(self.flagged, self.links))

@@ -17,9 +17,10 @@ from ..operators import regions as G
 from ..operators import units as U
 from ..operators.captions import related_blocks
 from ..operators.reading import paragraph_summary
+from ..plans.ordered import number_rows
 from ..plans.page_layout import PageLayout
 from ..session import materialize
-from .base import DIGIT_VALUES, LINES, SPACE, count_class, query, re2, strip, text
+from .base import DIGIT_VALUES, LINES, NEWLINES, SPACE, count_class, query, re2, strip, text
 from .text_queries import document_lines
 from .work_queries import labels
 
@@ -315,6 +316,40 @@ def translation_plan_spans(spark, sf):
     return layout(spark, sf).units.select("doc_id", "unit_id", F.array_join("source_span_ids", ",").alias("source_span_ids"))
 
 
+_SKIPPED = f"NOT cap AND NOT (open AND text <> '' AND NOT {_BAR})"
+
+
+@query("translation_plan_metadata", f"""
+WITH {PLAN_SQL},
+rl AS (SELECT links.doc_id, links.block_id, links.caption_for_block_id AS v, b.ordinal FROM links JOIN capt b ON b.doc_id = links.doc_id AND b.block_id = links.block_id),
+rc AS (SELECT doc_id, v AS block_id, list({{'o': ordinal, 'id': block_id}} ORDER BY ordinal) AS c FROM rl GROUP BY 1, 2),
+rj AS (SELECT coalesce(rl.doc_id, rc.doc_id) AS doc_id, coalesce(rl.block_id, rc.block_id) AS block_id, rl.v, rl.ordinal, coalesce(rc.c, []) AS c FROM rl FULL OUTER JOIN rc ON rl.doc_id = rc.doc_id AND rl.block_id = rc.block_id),
+rel AS (SELECT doc_id, block_id, array_to_string(CASE WHEN v IS NULL THEN list_transform(c, lambda x: x.id) ELSE list_concat([v], list_transform(list_filter(c, lambda x: x.o > ordinal AND x.id <> v), lambda x: x.id)) END, ',') AS related FROM rj)
+SELECT doc_id, 'p' || page_index || '-para-' || pno AS unit_id, CAST(count(*) AS INTEGER) AS block_count, array_to_string(list_sort(list(DISTINCT column_index)), ',') AS column_indexes,
+  CAST(NULL AS INTEGER) AS column_index, '' AS caption_for_block_id, '' AS related_block_ids, '' AS region_kinds FROM u WHERE whole GROUP BY doc_id, page_index, pno
+UNION ALL SELECT u.doc_id, u.block_id || CASE WHEN cap THEN '-caption' WHEN open AND text <> '' AND NOT {_BAR} THEN '-single' ELSE '-skipped' END, NULL, '', column_index, coalesce(caption_for_block_id, ''), coalesce(related, ''),
+  CASE WHEN {_SKIPPED} THEN array_to_string(kinds, ',') ELSE '' END FROM u LEFT JOIN rel ON rel.doc_id = u.doc_id AND rel.block_id = u.block_id WHERE NOT whole
+""")
+def translation_plan_metadata(spark, sf):
+    def listed(name):
+        return F.coalesce(F.array_join(F.transform(f"metadata.{name}", lambda x: x.cast("string")), ","), F.lit("")).alias(name)
+
+    return layout(spark, sf).units.select(
+        "doc_id", "unit_id", "metadata.block_count", listed("column_indexes"), "metadata.column_index", F.coalesce("metadata.caption_for_block_id", F.lit("")).alias("caption_for_block_id"),
+        listed("related_block_ids"), listed("region_kinds"),
+    )
+
+
+@query("regions_in_order", f"""
+WITH {REGIONS_SQL} SELECT doc_id, page_index, region_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_index, y0, x0, region_id) AS BIGINT) AS place FROM
+ (SELECT *, 'p' || page_index || CASE WHEN kind = 'scanned_page' THEN '-scanned' ELSE '-' || kind || '-' || block_id END AS region_id FROM regions)
+""")
+def regions_in_order(spark, sf):
+    """The place of each region in its document's list."""
+    regions = layout(spark, sf).regions.select("doc_id", "page_index", "region_id", "x0", "y0")
+    return number_rows(regions, ["doc_id"], U.REGION_ORDER, "place").select("doc_id", "page_index", "region_id", "place")
+
+
 def _tally(name: str, label: str, where: str) -> str:
     return f"{name} AS (SELECT doc_id, string_agg(l || '=' || n, ',' ORDER BY l) AS {name} FROM (SELECT doc_id, {label} AS l, count(*) AS n FROM units WHERE {where} GROUP BY 1, 2) GROUP BY 1)"
 
@@ -488,7 +523,6 @@ SELECT x.doc_id, count(*) AS compared_blocks, round(avg(d), 6) AS avg_center_dri
 """)
 def position_drift(spark, sf):
     """Blocks in source order against blocks in reading order."""
-    from ..plans.ordered import number_rows
 
     texts = layout(spark, sf).ordered.filter(B.is_content_text()).select("doc_id", "page_index", "ordinal", "reading_order", "x0", "y0", "x1", "y1")
     before = number_rows(texts, ["doc_id"], ["page_index", "ordinal"], "position")
@@ -506,7 +540,48 @@ def fit_requests(spark, sf):
     )
 
 
-@query("text_fit")
+def _width_sql(x: str) -> str:
+    """Hundredths of the font size that a string takes, by counting characters of each class."""
+    letters = FIT._class(V.NARROW_LETTERS + V.WIDE_LETTERS)
+    groups = [
+        (SPACE, V.WIDTH_SPACE), (V.CJK_CLASS, V.WIDTH_CJK), (DIGIT_VALUES, V.WIDTH_DIGIT), (FIT._class(V.NARROW_LETTERS), V.WIDTH_NARROW), (FIT._class(V.WIDE_LETTERS), V.WIDTH_WIDE),
+        (FIT._class(V.POINT_MARKS), V.WIDTH_POINT), (FIT._class(V.BRACKET_MARKS), V.WIDTH_BRACKET), (FIT._class(V.SIGN_MARKS), V.WIDTH_SIGN),
+    ]
+    corrections = " + ".join(f"{count_class(x, cls)} * ({w - V.WIDTH_OTHER})" for cls, w in groups)
+    upper = count_class(f"regexp_replace({x}, {text(f'[{letters}]')}, '', 'g')", r"\p{Lu}")
+    return f"CAST(length({x}) * {V.WIDTH_OTHER} + {corrections} + {upper} * ({V.WIDTH_UPPER - V.WIDTH_OTHER}) AS INTEGER)"
+
+
+# Greedy wrapping at every size, a token at a time; the state is (lines so far, width of the last, widest, the last line, lines joined).
+FIT_SQL = f"""
+{BLOCKS_SQL},
+req AS (SELECT doc_id, doc_id || '/' || block_id AS unit_id, text, x1 - x0 AS width, y1 - y0 AS height, greatest(CASE WHEN len(pieces) > 0 THEN size ELSE 0 END, 6)::DOUBLE AS original FROM texts WHERE text <> ''),
+parts AS (SELECT *, string_split(regexp_replace(text, {text(NEWLINES)}, chr(10), 'g'), chr(10)) AS p FROM req),
+rows_ AS (SELECT *, unnest(range(len(p))) AS ln, unnest(p) AS line FROM (SELECT * REPLACE (CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS p) FROM parts)),
+toks AS (SELECT unit_id, ln, unnest(range(len(w))) AS k, unnest(w) AS w FROM (SELECT unit_id, ln, CASE WHEN regexp_matches(line, '[{V.CJK_CLASS}]') AND NOT contains(line, ' ') THEN [line]
+  ELSE string_split(trim(regexp_replace(line, {text(f'[{SPACE}]+')}, ' ', 'g'), ' '), ' ') END AS w FROM rows_)),
+wide AS (SELECT *, {_width_sql('w')} AS u FROM toks),
+chars AS (SELECT unit_id, ln, k, list({{'c': c, 'u': {_width_sql('c')}}} ORDER BY i) AS cs FROM (SELECT unit_id, ln, k, unnest(range(length(w))) AS i, unnest(string_split(w, '')) AS c FROM wide WHERE w <> '') GROUP BY 1, 2, 3),
+tk AS (SELECT unit_id, list({{'w': w, 'u': u, 'opens': k = 0, 'cs': coalesce(cs, [])}} ORDER BY ln, k) AS tokens FROM wide LEFT JOIN chars USING (unit_id, ln, k) GROUP BY 1),
+sizes AS (SELECT req.*, tokens, round(original - i * 0.5, 2) AS s, i FROM req JOIN tk USING (unit_id), range(0, 13) r(i) WHERE i <= floor((original - 6 + 1e-6) / 0.5)),
+caps AS (SELECT *, CAST(floor(width * 100.0 / s + 1e-9) AS INTEGER) AS cap FROM sizes),
+wrapped AS (SELECT *, list_reduce(tokens, lambda a, t: CASE
+    WHEN NOT t.opens AND a.cur + {V.WIDTH_SPACE} + t.u <= cap THEN {{'n': a.n, 'cur': a.cur + {V.WIDTH_SPACE} + t.u, 'widest': greatest(a.widest, a.cur + {V.WIDTH_SPACE} + t.u), 'line': a.line || ' ' || t.w, 'done': a.done}}
+    WHEN t.u > cap THEN list_reduce(t.cs, lambda b, c: CASE WHEN b.cur > 0 AND b.cur + c.u > cap
+        THEN {{'n': b.n + 1, 'cur': c.u, 'widest': greatest(b.widest, c.u), 'line': c.c, 'done': b.done || b.line || chr(10)}}
+        ELSE {{'n': b.n, 'cur': b.cur + c.u, 'widest': greatest(b.widest, b.cur + c.u), 'line': b.line || c.c, 'done': b.done}} END,
+      {{'n': a.n + 1, 'cur': 0, 'widest': a.widest, 'line': '', 'done': CASE WHEN a.n = 0 THEN '' ELSE a.done || a.line || chr(10) END}})
+    ELSE {{'n': a.n + 1, 'cur': t.u, 'widest': greatest(a.widest, t.u), 'line': t.w, 'done': CASE WHEN a.n = 0 THEN '' ELSE a.done || a.line || chr(10) END}} END,
+  {{'n': 0, 'cur': 0, 'widest': 0, 'line': '', 'done': ''}}) AS m FROM caps),
+judged AS (SELECT *, greatest(0.0::DOUBLE, m.n * s * 1.2::DOUBLE - height) AS h, greatest(0.0::DOUBLE, m.widest * s / 100.0::DOUBLE - width) AS o FROM wrapped),
+best AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY h, o, i) AS nth FROM judged),
+fitted AS (SELECT doc_id, unit_id, m.n AS line_count, md5(m.done || m.line) AS digest, s AS fitted_size, s / original AS scale, h > 0 OR o > 0 AS overflow,
+  list_filter([CASE WHEN width <= 40 OR height <= 12 THEN 'bbox_too_small' END, CASE WHEN NOT (h > 0 OR o > 0) AND s < original THEN 'font_shrunk' END, CASE WHEN h > 0 OR o > 0 THEN 'text_overflow' END], lambda x: x IS NOT NULL) AS warnings
+  FROM best WHERE nth = 1)
+"""
+
+
+@query("text_fit", f"WITH {FIT_SQL} SELECT unit_id, CAST(line_count AS INTEGER) AS line_count, digest, fitted_size, round(scale, 6) AS scale_ratio, overflow, array_to_string(warnings, ',') AS warnings FROM fitted")
 def text_fit(spark, sf):
     fitted = FIT.fit_units(fit_requests(spark, sf))
     return fitted.select(
@@ -515,9 +590,11 @@ def text_fit(spark, sf):
     )
 
 
-@query("fit_summary")
+@query("fit_summary", f"""
+WITH {FIT_SQL}, w AS (SELECT doc_id, string_agg(x || '=' || n, ',' ORDER BY x) AS warning_counts FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(warnings) AS x FROM fitted) GROUP BY 1, 2) GROUP BY 1)
+SELECT doc_id, count(*) AS result_count, count(*) FILTER (WHERE overflow) AS overflow_count, count(*) FILTER (WHERE scale < 0.999) AS shrunk_count, coalesce(any_value(warning_counts), '') AS warning_counts
+FROM fitted LEFT JOIN w USING (doc_id) GROUP BY doc_id
+""")
 def fit_summary(spark, sf):
     out = FIT.fit_summary(FIT.fit_units(fit_requests(spark, sf)), ["doc_id"])
     return out.withColumn("warning_counts", labels(F.col("warning_counts")))
-
-

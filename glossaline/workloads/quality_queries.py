@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..operators import qa as Q
+from ..session import new_shared_path
 from .base import any_of, query, table, text
 from .work_queries import labels
 
@@ -182,3 +183,26 @@ def regression_bundle(spark, sf):
         "doc_id", "report_type", F.col("qa_report.input_file").alias("input_file"), F.col("qa_report.rejection_reason").alias("rejection_reason"),
         F.col("visual_evaluation.visual_status").alias("visual_status"), F.col("visual_diff.pages_compared").alias("pages_compared"),
     )
+
+
+@query("regression_bundle_json", f"""
+WITH {SAMPLES_SQL}, r AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS doc_id, c_name, c_name || '.pdf' AS input_file, CASE WHEN c_custkey % 4 = 0 THEN 'leaked with Bearer ' || c_name WHEN c_custkey % 4 = 1 THEN c_mktsegment END AS x FROM customer)
+SELECT doc_id, CASE WHEN c_custkey % 3 = 0 THEN 'nightly' ELSE 'pdf_regression_report' END AS report_type, '1' AS schema_version, '2024-05-01T12:30:00.000000+00:00' AS created_at,
+  input_file AS input_label, CASE WHEN c_custkey % 2 = 0 THEN 'out ' || c_custkey || '.pdf' ELSE c_name || '_translated.pdf' END AS output_label, {_HIDE} AS rejection_reason, visual_status, pages_compared FROM r LEFT JOIN judged USING (doc_id)
+""")
+def regression_bundle_json(spark, sf):
+    """Bundles with metadata, written as JSON and read again."""
+    diffs = Q.document_diffs(page_samples(spark, sf))
+    key = F.col("c_custkey")
+    metadata = table(spark, sf, "customer").select(
+        key.cast("string").alias("doc_id"), F.when(key % 3 == 0, "nightly").alias("report_type"), F.when(key % 2 == 0, F.concat(F.lit("C:\\jobs/out "), key, F.lit(".pdf"))).alias("output_file"), F.lit("batch").alias("run")
+    )
+    at = F.to_timestamp(F.lit("2024-05-01 12:30:00"))
+    bundles = Q.regression_bundle(reports(spark, sf), diffs=diffs, verdicts=Q.evaluate(diffs, **_LIMITS), metadata=metadata, created_at=at)
+    path = new_shared_path(spark, "bundles")
+    Q.write_bundles(bundles, path)
+    out = Q.read_bundles(spark, path, bundles.schema)
+    return out.select(
+        "doc_id", "report_type", "schema_version", "metadata.created_at", F.col("metadata.input_file").alias("input_label"), F.col("metadata.output_file").alias("output_label"),
+        F.col("qa_report.rejection_reason").alias("rejection_reason"), F.col("visual_evaluation.visual_status").alias("visual_status"), F.col("visual_diff.pages_compared").alias("pages_compared"),
+    )

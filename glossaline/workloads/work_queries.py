@@ -353,6 +353,25 @@ def provider_rank(spark, sf):
     return P.rank_providers(states, last_resort="7")
 
 
+@query("attempt_events", f"""
+WITH a AS (SELECT CAST(user_id AS VARCHAR) AS request_id, event_id AS ord, event_type AS provider, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'm' || event_id % 3 END AS model,
+   CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'failed' WHEN 'signup' THEN 'skipped' ELSE 'success' END AS status, {_MESSAGES}[CAST(event_id % 6 AS INTEGER) + 1] AS message, CAST(floor(value) AS INTEGER) AS latency_ms FROM events),
+r AS (SELECT * FROM a WHERE status <> 'skipped')
+SELECT request_id, ord, provider, 'en' AS source_lang, 'vi' AS target_lang, 0 AS event_no, 'provider_call' AS event, NULL AS model, NULL AS key_index, NULL AS error_type, NULL AS error_message, NULL AS latency_ms FROM r
+UNION ALL SELECT request_id, ord, provider, 'en', 'vi', 1, CASE WHEN status = 'failed' THEN 'provider_fail' ELSE 'provider_success' END, coalesce(model, ''), -1,
+   CASE WHEN status = 'failed' THEN '' END, CASE WHEN status = 'failed' THEN message END, CASE WHEN status = 'success' THEN latency_ms END FROM r
+""")
+def attempt_events(spark, sf):
+    kind, message = F.col("event_type"), F.get(F.array(*[F.lit(m) for m in _MESSAGES]), (F.col("event_id") % 6).cast("int"))
+    attempts = table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("request_id"), F.col("event_id").alias("ord"), kind.alias("provider"),
+        F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("m"), F.col("event_id") % 3)).alias("model"), F.lit(None).cast("int").alias("key_index"),
+        F.when(kind.isin("error", "view"), "failed").when(kind == "signup", "skipped").otherwise("success").alias("status"), F.lit(None).cast("string").alias("error_type"),
+        message.alias("message"), F.floor("value").cast("int").alias("latency_ms"), F.lit("en").alias("source_lang"), F.lit("vi").alias("target_lang"),
+    )
+    return P.attempt_events(attempts)
+
+
 @query("waterfall_outcome", """
 WITH a AS (SELECT user_id || '/' || CAST(ts AS DATE) AS request_id, event_id AS ord, event_type AS provider,
    CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'failed' WHEN 'signup' THEN 'skipped' ELSE 'success' END AS status, CAST(floor(value) AS INTEGER) AS latency_ms FROM events),
