@@ -40,6 +40,7 @@ PACK = 1 << 10, 1 << 16  # tokens of a row of numbered words: a task's first one
 FREQUENT, COMPANY = 4_096, 128  # clustered words; neighbours that describe them
 TRIGRAMS = 1 << 12
 COUNTED, TRAINED, SCORED = 1 << 20, 1 << 18, 1 << 19  # words a task remembers while counting, training, scoring
+STRETCH = 1 << 16  # tokens scored together
 PIECE = 1 << 20  # bytes of a long text tokenized at once
 
 
@@ -121,14 +122,6 @@ def hashed(one: np.ndarray, two: np.ndarray, c1: np.ndarray, c2: np.ndarray, c3:
     return (raw >> np.uint64(65 - int(buckets).bit_length())).astype(np.int32)
 
 
-def features(hashes: np.ndarray, cls: np.ndarray, past: np.ndarray, past_cls: np.ndarray, buckets: int) -> np.ndarray:
-    """Feature buckets of a piece of one text; ``past`` are the three tokens before the first."""
-    h = np.concatenate([past, hashes]).view(np.uint64)
-    c = np.concatenate([past_cls, cls]).astype(np.uint64)
-    n = len(hashes)
-    return hashed(h[2 : n + 2], h[1 : n + 1], c[2 : n + 2], c[1 : n + 1], c[:n], buckets)
-
-
 def stream_features(hashes: np.ndarray, cls: np.ndarray, buckets: int) -> np.ndarray:
     """Feature buckets of whole texts one after the other, each closed by its end token."""
     at = np.arange(len(cls))
@@ -147,17 +140,29 @@ def log_softmax(logits: np.ndarray) -> np.ndarray:
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
-def encoded(batch: pd.Series, words: Words, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, numbers, feature buckets, classes) of each text of a batch, long texts in pieces."""
-    parts = [(i, words.number(piece)) for i, text in enumerate(batch) for piece in tokens(text)]
-    words.settle()
-    row, past, past_cls = -1, np.zeros(3, np.int64), np.zeros(3, np.int64)
-    for i, number in parts:
-        if i != row:
-            row, past, past_cls = i, np.zeros(3, np.int64), np.full(3, CLASSES, np.int64)
-        hashes, cls = words.hash[number], words.cls[number]
-        yield i, number, features(hashes, cls, past, past_cls, buckets), cls
-        past, past_cls = np.concatenate([past, hashes])[-3:], np.concatenate([past_cls, cls])[-3:]
+def streams(batch: pd.Series, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The texts of a batch one after the other, in stretches of bounded size: (word numbers, row of each, tokens repeated from the stretch before).
+
+    A text that goes on in the next stretch begins there with its last three tokens, for the sake of their features.
+    """
+    found: list[np.ndarray] = []
+    rows: list[int] = []
+    held, again = 0, 0
+
+    def stretch() -> tuple[np.ndarray, np.ndarray, int]:
+        return np.concatenate(found), np.repeat(rows, [len(f) for f in found]), again
+
+    for i, text in enumerate(batch):
+        for piece in tokens(text):
+            if held >= STRETCH:
+                yield stretch()
+                last = found[-1][-3:] if rows[-1] == i else np.zeros(0, np.int64)
+                found, rows, held, again = ([last], [i], len(last), len(last)) if len(last) else ([], [], 0, 0)
+            found.append(words.number(piece))
+            rows.append(i)
+            held += len(piece)
+    if held:
+        yield stretch()
 
 
 def cluster(packs: DataFrame, frequent: list[bytes]) -> dict:
@@ -414,48 +419,67 @@ def score(df: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), text:
     """(keep..., n_tokens, n_known, train_tokens, base_score, score) of each row."""
     shared = df.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "counts"})
 
-    @F.pandas_udf("n_tokens long, n_known long, counted double, classed double, rest array<struct<hash: bigint, times: int>>")
+    @F.pandas_udf("n_tokens long, n_known long, counted double, classed double, hashes array<bigint>, times array<bigint>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         hashes, n = m["head"]
         words = Words(m["classes"])
         of_word = np.zeros(0, np.int64)  # count of each numbered word, -1 for those outside the head
         for batch in batches:
-            rows = [[0, 0, 0.0, 0.0, []] for _ in batch]
-            for i, number, at, cls in encoded(batch, words, len(m["weights"])):
+            size = len(batch)
+            total, known, counted, classed = np.zeros(size), np.zeros(size), np.zeros(size), np.zeros(size)
+            rest: list[list[np.ndarray]] = [[] for _ in range(size)]
+            times: list[list[np.ndarray]] = [[] for _ in range(size)]
+            for number, row, again in streams(batch, words):
+                words.settle()
                 if len(of_word) < len(words.hash):
                     new = words.hash[len(of_word) :]
                     place = np.minimum(np.searchsorted(hashes, new), max(0, len(hashes) - 1))
                     found = np.where(hashes[place] == new, n[place], -1) if len(hashes) else np.full(len(new), -1)
                     of_word = np.concatenate([of_word, found])
-                row, c = rows[i], of_word[number]
-                inside = c >= 0
-                row[0] += len(number)
-                row[1] += int(inside.sum())
-                row[2] += float(np.log10(c[inside] + 1.0).sum())
-                for start in range(0, len(cls), 8192):
-                    f, k = at[start : start + 8192], cls[start : start + 8192]
-                    logits = m["bias"] + m["weights"][f[:, 0]]
+                cls = words.cls[number]
+                at = stream_features(words.hash[number], cls, len(m["weights"]))[again:]
+                number, cls, row = number[again:], cls[again:], row[again:]
+                chosen = np.empty(len(cls))
+                for start in range(0, len(cls), 4096):
+                    f, k = at[start : start + 4096], cls[start : start + 4096]
+                    logits = m["weights"][f[:, 0]]
                     for j in range(1, f.shape[1]):
                         logits += m["weights"][f[:, j]]
-                    row[3] += float(log_softmax(logits)[np.arange(len(k)), k].sum(dtype=np.float64) / np.log(10))
-                row[3] -= float(m["class_size"][cls].sum())
-                row[4].append(number[~inside])
-            for row in rows:
-                value, times = np.unique(words.hash[np.concatenate(row[4])], return_counts=True)
-                row[4] = [{"hash": h, "times": t} for h, t in zip(value.tolist(), times.tolist())]
-            yield pd.DataFrame(rows, columns=["n_tokens", "n_known", "counted", "classed", "rest"])
+                    logits += m["bias"]
+                    logits -= logits.max(axis=1, keepdims=True)
+                    own = logits[np.arange(len(k)), k].astype(np.float64)
+                    np.exp(logits, out=logits)
+                    chosen[start : start + 4096] = own - np.log(logits.sum(axis=1, dtype=np.float64))
+                c = of_word[number]
+                inside = c >= 0
+                total += np.bincount(row, minlength=size)
+                known += np.bincount(row, inside, size)
+                counted += np.bincount(row, np.where(inside, np.log10(np.maximum(c, 0) + 1.0), 0.0), size)
+                classed += np.bincount(row, chosen / np.log(10) - m["class_size"][cls], size)
+                # The other words of each text with their number, text by text.
+                pairs, often = np.unique(row[~inside] * len(of_word) + number[~inside], return_counts=True)
+                of, word = np.divmod(pairs, max(1, len(of_word)))
+                first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+                for lo, hi in zip(first, np.r_[first[1:], len(of)]):
+                    rest[of[lo]].append(words.hash[word[lo:hi]])
+                    times[of[lo]].append(often[lo:hi])
+            none = np.zeros(0, np.int64)
+            yield pd.DataFrame({
+                "n_tokens": total.astype(np.int64), "n_known": known.astype(np.int64), "counted": counted, "classed": classed,
+                "hashes": [np.concatenate(r) if r else none for r in rest], "times": [np.concatenate(t) if t else none for t in times],
+            })
             if words.full(SCORED):
                 words, of_word = Words(m["classes"]), np.zeros(0, np.int64)
 
     told = small_batches(df).select(*keep, run(F.col(text)).alias("s")).select(*keep, "s.*").withColumn("_row", F.monotonically_increasing_id())
     told = materialize(told, "lm-texts")
-    rest = told.select("_row", F.explode("rest").alias("r")).select("_row", "r.hash", "r.times")
+    rest = told.select("_row", F.explode(F.arrays_zip("hashes", "times")).alias("r")).select("_row", F.col("r.hashes").alias("hash"), "r.times")
     counts = model["counts"].select("hash", "n")
     met = rest.join(counts, "hash").groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("known"))
     counted = F.col("counted") + F.coalesce("more", F.lit(0.0))
     size = float(np.log10(model["tokens"] + model["words"] + 1))
-    return told.drop("rest").join(met, "_row", "left").select(
+    return told.drop("hashes", "times").join(met, "_row", "left").select(
         *keep, "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("bigint").alias("n_known"), F.lit(model["tokens"]).cast("bigint").alias("train_tokens"),
         (counted - F.col("n_tokens") * size).alias("base_score"), (counted + F.col("classed")).alias("score"),
     )

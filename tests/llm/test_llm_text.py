@@ -234,10 +234,26 @@ def test_maxent_learns_contexts_of_every_text(spark):
 
 
 def test_maxent_streams_have_the_features_of_their_texts():
-    hashes, cls = np.arange(1, 7) * 2**40, np.array([3, 4, maxent.CLASSES - 1, 5, 6, maxent.CLASSES - 1])
-    fresh = np.zeros(3, np.int64), np.full(3, maxent.CLASSES)
-    want = [maxent.features(hashes[i : i + 3], cls[i : i + 3], *fresh, 1 << 16) for i in (0, 3)]
-    assert (maxent.stream_features(hashes, cls, 1 << 16) == np.concatenate(want)).all()
+    end = maxent.CLASSES - 1
+    hashes, cls = np.arange(1, 7) * 2**40, np.array([3, 4, end, 5, 6, end])
+    alone = [maxent.stream_features(hashes[i : i + 3], cls[i : i + 3], 1 << 16) for i in (0, 3)]
+    assert (maxent.stream_features(hashes, cls, 1 << 16) == np.concatenate(alone)).all()
+    one, none = np.array([7], np.uint64), np.array([maxent.CLASSES], np.uint64)
+    first = maxent.hashed(0 * one, 0 * one, none, none, none, 1 << 16)
+    second = maxent.hashed(hashes[:1].view(np.uint64), 0 * one, cls[:1].astype(np.uint64), none, none, 1 << 16)
+    assert (alone[0][0] == first).all() and (alone[0][1] == second).all()
+
+
+def test_maxent_scores_do_not_depend_on_stretches(spark, monkeypatch):
+    rows = [(i, words(i, 40 + 10 * (i % 4), "abc")) for i in range(30)] + [(99, words(7, 5_000, "abcde")), (98, None)]
+    model = maxent.fit(frame(spark, rows), head=10)
+    want = sorted(map(tuple, maxent.score(frame(spark, rows), model).collect()), key=str)
+    monkeypatch.setattr(maxent, "STRETCH", 70)
+    monkeypatch.setattr(maxent, "PIECE", 300)
+    got = sorted(map(tuple, maxent.score(frame(spark, rows), model).collect()), key=str)
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    np.testing.assert_allclose([g[4:] for g in got], [w[4:] for w in want], rtol=1e-6)
+    assert maxent.score(frame(spark, []), model).count() == 0
 
 
 def test_maxent_without_training(spark):
