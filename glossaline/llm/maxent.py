@@ -106,8 +106,8 @@ def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def trigram_sums(words: list[bytes], table: np.ndarray) -> np.ndarray:
     out = np.zeros((len(words), table.shape[1]), np.float32)
-    for start in range(0, len(words), 20_000):
-        part = words[start : start + 20_000]
+    for start in range(0, len(words), 1_000):  # their trigrams' rows fit the processor's cache
+        part = words[start : start + 1_000]
         at, first = trigrams(part)
         out[start : start + len(part)] = np.add.reduceat(table[at], first)
     return out
@@ -135,9 +135,18 @@ def stream_features(hashes: np.ndarray, cls: np.ndarray, buckets: int) -> np.nda
     return hashed(before(h, 1, 0), before(h, 2, 0), *(before(c, k, CLASSES) for k in (1, 2, 3)), buckets)
 
 
+def summed(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Sums of the weight rows that the features select, within what exp() can take: one row per position."""
+    out = weights.take(features[:, 0], axis=0)
+    for j in range(1, features.shape[1]):
+        out += weights.take(features[:, j], axis=0)
+    out += bias
+    return np.clip(out, -60, 60, out=out)
+
+
 def log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    """Logarithms of the class probabilities."""
+    return logits - np.log(np.exp(logits) @ np.ones(logits.shape[1], logits.dtype))[:, None]
 
 
 def streams(batch: pd.Series, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -281,7 +290,7 @@ def train(packs: DataFrame, classes: dict, bias: np.ndarray, buckets: int, tasks
         def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             w, b, grown = (x.copy() for x in start.value)
             seen = 0
-            known = Words(shared.value)
+            known, ones = Words(shared.value), np.ones(CLASSES, np.float32)
             for batch in batches:
                 for words, at in zip(batch["words"], batch["at"]):
                     own, at = unpacked(words, at)
@@ -293,22 +302,18 @@ def train(packs: DataFrame, classes: dict, bias: np.ndarray, buckets: int, tasks
                     size = max(64, min(batch_size, len(cls) // 16))  # a task's first rows are small: more steps
                     for i in range(0, len(cls), size):
                         f, c = found[i : i + size], cls[i : i + size]
-                        gradient = w[f[:, 0]]
-                        for j in range(1, f.shape[1]):
-                            gradient += w[f[:, j]]
-                        gradient += b
-                        gradient -= gradient.max(axis=1, keepdims=True)
+                        gradient = summed(w, b, f)
                         np.exp(gradient, out=gradient)
-                        gradient /= gradient.sum(axis=1, keepdims=True)
+                        gradient /= (gradient @ ones)[:, None]
                         gradient[np.arange(len(c)), c] -= 1
-                        b -= rate / 10 * gradient.mean(axis=0)
+                        b -= np.float32(rate / 10 / len(c)) * (np.ones(len(c), np.float32) @ gradient)
                         flat = f.ravel()
                         order = radix(flat)
                         flat = flat[order]
                         first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
                         touched = flat[first]
-                        step = np.add.reduceat(gradient[order // f.shape[1]], first)
-                        more = grown[touched] + np.einsum("ij,ij->i", step, step) / CLASSES
+                        step = np.add.reduceat(gradient.take(order // f.shape[1], axis=0), first)
+                        more = grown[touched] + (step * step) @ ones / CLASSES
                         grown[touched] = more
                         step *= (rate / np.sqrt(CLASSES) / np.sqrt(more))[:, None]
                         w[touched] -= step
@@ -443,14 +448,7 @@ def score(df: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), text:
                 chosen = np.empty(len(cls))
                 for start in range(0, len(cls), 4096):
                     f, k = at[start : start + 4096], cls[start : start + 4096]
-                    logits = m["weights"][f[:, 0]]
-                    for j in range(1, f.shape[1]):
-                        logits += m["weights"][f[:, j]]
-                    logits += m["bias"]
-                    logits -= logits.max(axis=1, keepdims=True)
-                    own = logits[np.arange(len(k)), k].astype(np.float64)
-                    np.exp(logits, out=logits)
-                    chosen[start : start + 4096] = own - np.log(logits.sum(axis=1, dtype=np.float64))
+                    chosen[start : start + 4096] = log_softmax(summed(m["weights"], m["bias"], f))[np.arange(len(k)), k]
                 c = of_word[number]
                 inside = c >= 0
                 total += np.bincount(row, minlength=size)
