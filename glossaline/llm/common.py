@@ -13,6 +13,13 @@ def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     return df
 
 
+def scratch_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not use."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def fold(id_column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo a number; null for a null id."""
     return F.crc32(F.col(id_column).cast("string")) % F.lit(modulus)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .common import small_batches
+from .common import scratch_name, small_batches
 
 SLOT_BITS = 20  # 2**20 slots: 8 MB for up to 64 languages, whatever the size of the corpus
 SIZES = (3, 4)  # letters of an n-gram, word edges counted
@@ -108,7 +108,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     """Filters from labelled texts.
 
     ``per_language`` bounds the fit: about so many rows of each language, chosen by a hash of the
-    text, are read whole.  Counting runs on Spark; what comes to the driver is the filter itself,
+    text, are read whole, each distinct one once.  Counting runs on Spark; what comes to the driver is the filter itself,
     at most ``2**20`` slots for each 64 languages, and one row per language.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
@@ -119,7 +119,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     share = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(min(1.0, per_language / sizes[name])))])
     number = F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))])
     drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
-    sample = small_batches(rows).filter(drawn).select("text", number[F.col("lang")].alias("lang"))
+    # A text that stands on many rows is read once, so that the sample is bounded whatever repeats.
+    sample = small_batches(rows).filter(drawn).select("text", number[F.col("lang")].alias("lang")).distinct()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = letter_table()
@@ -162,6 +163,6 @@ def predict(df: DataFrame, filters: Filters, text: str = "text", prefix: str = "
         for batch in batches:
             yield pd.DataFrame([model.decide(value, letters) for value in batch], columns=["pred", "score", "coverage"])
 
-    scratch = f"{prefix}found"
+    scratch = scratch_name(df, f"{prefix}found")
     out = small_batches(df).withColumn(scratch, run(F.col(text)))
     return out.withColumns({f"{prefix}{name}": F.col(scratch)[name] for name in ("pred", "score", "coverage")}).drop(scratch)

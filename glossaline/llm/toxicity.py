@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .common import slices, small_batches
+from .common import scratch_name, slices, small_batches
 
 WORD = re.compile(r"[^\W_]+")
 BLOCK = 64  # examples of a block
@@ -144,7 +144,7 @@ def fit(
     """State of a :class:`Model` from labels joined to texts by id.
 
     ``per_class`` bounds the fit: about so many labelled rows of each class, chosen by a hash of the
-    id, are examples.  What the driver gets is bounded by it: term counts are summed on Spark and
+    id, are examples, one text (the first in order) of each id.  What the driver gets is bounded by it: term counts are summed on Spark and
     only the vocabulary, at most ``max_terms``, and the examples' vectors come back.
     """
     spark = docs.sparkSession
@@ -156,7 +156,9 @@ def fit(
     # At most about 2 * per_class ids: safe to broadcast.
     sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(marked.filter(drawn)), "id")
     # A fixed order of examples, so that ties resolve alike in every run.
-    sample = materialize(small_batches(sample).select("id", "text", "label"), "toxicity-sample")
+    # An id that stands on many rows is one example, so that the sample is bounded whatever repeats.
+    sample = small_batches(sample).groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    sample = materialize(sample, "toxicity-sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -252,6 +254,6 @@ def score(df: DataFrame, state: dict, text: str = "text", prefix: str = "toxic_"
             found = [model.score(value) for value in batch]
             yield pd.DataFrame({"score": [s for s, _ in found], "evidence": [e for _, e in found]})
 
-    scratch = f"{prefix}found"
+    scratch = scratch_name(df, f"{prefix}found")
     out = small_batches(df).withColumn(scratch, run(F.col(text)))
     return out.withColumns({f"{prefix}score": F.col(scratch)["score"], f"{prefix}evidence": F.col(scratch)["evidence"]}).drop(scratch)

@@ -304,3 +304,21 @@ def test_minhash_of_many_rows_without_id(spark):
         minhash.Shingler.fingerprint = plain
     assert sum(k for _, _, k in got) == 2 and {c for _, c, _ in got} == {None, 7}
     assert read.value <= 3 * len(rows)
+
+
+def test_repeated_rows_do_not_grow_the_samples(spark, monkeypatch):
+    texts = [(i, words(i, 30, "abcd" if i % 2 else "wxyz") + (" vile" if i % 4 == 0 else "")) for i in range(80)]
+    docs = frame(spark, texts + [(8, f"{t} again{i}") for i, (_, t) in enumerate(texts * 20)])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), 9) for i in range(80)], "doc_id long, toxic int, quality int")
+    kept = []
+    plain = toxicity.materialize
+    monkeypatch.setattr(toxicity, "materialize", lambda df, label: kept.append((label, plain(df, label))) or kept[-1][1])
+    state = toxicity.fit(docs, labels)
+    assert dict(kept)["toxicity-sample"].count() == 80
+    got = toxicity.score(docs.limit(5).withColumn("toxic_found", F.lit("mine")), state)
+    assert {r["toxic_found"] for r in got.collect()} == {"mine"} and "toxic_score" in got.columns
+
+    copies = frame(spark, [("same text again", "aa")] * 3000 + [(t, "bb") for _, t in texts], "text string, lang string")
+    filters = langid.fit(copies)
+    out = langid.predict(frame(spark, [(1, "same text", "mine")], "id long, text string, lang_found string"), filters).first()
+    assert (out["lang_pred"], out["lang_found"]) == ("aa", "mine")
