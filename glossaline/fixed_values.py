@@ -187,8 +187,7 @@ REFRESH_STATUSES = ["never", "success", "error"]
 
 # --- fixed values: page layout ------------------------------------------------------------
 # Signs that make a formula by themselves, and spreadsheet-like references.
-FORMULA_SIGN_CLASS = "=^∑√∫±≤≥≈"
-FORMULA_REFERENCE_PATTERN = r"(?iU)(?:\bSUM\(|\bAVG\(|\b[A-Za-z]\d+:\w+\d+\b)"
+FORMULA_PATTERN = r"(?iU)(?:[=^∑√∫±≤≥≈]|\bSUM\(|\bAVG\(|\b[A-Za-z]\d+:\w+\d+\b)"
 CAPTION_CUE_PATTERN = (
     r"(?iU)(?:\bfigure\b|\bfig\.\b|\btable\b|\bchart\b|\bcaption\b|hình|図|表|biểu\s+đồ)"
 )
@@ -197,6 +196,26 @@ NO_PARAGRAPH_FLAGS = ["protected", "formula_like", "table_like", "noisy", "non_t
 PROTECTED_KINDS = ["formula", "image", "drawing", "table", "chart", "scanned_page"]
 UNTRANSLATABLE_KINDS = ["formula", "table", "image", "drawing", "chart", "scanned_page", "noisy"]
 
+# Why a block is a candidate or a region; the texts stand in published reports.
+FORMULA_FLAG_REASON = "formula_like flag from canonical model"
+FORMULA_TOKEN_REASON = "math-like token pattern"
+FORMULA_SHORT_REASON = "short block with high symbol/digit ratio"
+TABLE_FLAG_REASON = "table_like flag from canonical model"
+TABLE_DELIMITER_REASON = "delimiter-heavy block with numeric content"
+NOISY_REASON = "tiny or non-informative text block"
+CAPTION_REASON = "caption-like block near image or drawing"
+CHART_REASON = "visual block with nearby chart or figure caption cue"
+VISUAL_REASON = "non-text visual block"
+SCANNED_REASON = "page contains only visual blocks and no translatable text"
+
+# --- fixed values: the translation prompt -------------------------------------------------
+PROMPT_TASK = "Translate the following text from "
+PROMPT_TO = " to "
+PROMPT_RULE = ".\nProvide ONLY the translation, without any explanations or notes.\n"
+PROMPT_GLOSSARY = "\nUse this glossary strictly:\n"
+PROMPT_TEXT = "\nTEXT: "
+PROMPT_ANSWER = "\n\nTRANSLATION:"
+
 # --- fixed values: text width, in hundredths of the font size -----------------------------
 CJK_CLASS = r"぀-ヿ㐀-䶿一-鿿豈-﫿"
 CJK_HINTS = ["ja", "jp", "jpn", "zh", "zh-cn", "zh-tw", "zho", "cn", "ko", "kor"]

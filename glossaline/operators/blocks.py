@@ -17,15 +17,15 @@ def line_text(lines: Column) -> Column:
 
 
 # Two or more white-space characters, and a delimiter followed by content.
+# What every formula holds: one of the pattern's signs, the bracket of a call or the colon of a range.
+FORMULA_GUARD = V.FORMULA_PATTERN[V.FORMULA_PATTERN.index("[") : V.FORMULA_PATTERN.index("]")] + "(:]"
 GAP = f"[{V.WHITESPACE_CLASS}]{{2}}"
 DELIMITER = f"[|;,][{V.WHITESPACE_CLASS}]*[^{V.WHITESPACE_CLASS}]"
 
 
 def looks_like_formula(text: Column) -> Column:
-    """A sign test first; the slower reference pattern only where its punctuation occurs."""
-    sign = text.rlike(r"[=\^" + V.FORMULA_SIGN_CLASS[2:] + "]")
-    punctuated = F.contains(text, F.lit("(")) | F.contains(text, F.lit(":"))
-    return sign | F.when(punctuated, text.rlike(V.FORMULA_REFERENCE_PATTERN)).otherwise(False)
+    """The whole pattern, tried only where one of its signs or the punctuation of a reference occurs."""
+    return F.when(text.rlike(FORMULA_GUARD), text.rlike(V.FORMULA_PATTERN)).otherwise(F.when(text.isNotNull(), False))
 
 
 def has_flag(flag: str) -> Column:
@@ -111,17 +111,17 @@ def formula_candidate() -> Column:
     is_short = F.length(strip(F.col("text"))) <= 20
     short = F.when(is_short, symbol_digit_ratio(F.col("text")) >= 0.35).otherwise(False)
     return (
-        F.when(has_flag("formula_like"), _candidate(0.95, "formula_like flag from canonical model"))
-        .when(looks_like_formula(F.col("text")), _candidate(0.9, "math-like token pattern"))
-        .when(short, _candidate(0.72, "short block with high symbol/digit ratio"))
+        F.when(has_flag("formula_like"), _candidate(0.95, V.FORMULA_FLAG_REASON))
+        .when(looks_like_formula(F.col("text")), _candidate(0.9, V.FORMULA_TOKEN_REASON))
+        .when(short, _candidate(0.72, V.FORMULA_SHORT_REASON))
     )
 
 
 def table_candidate() -> Column:
     digits = count_chars(F.col("text"), V.DIGIT_VALUE_CLASS)
-    return F.when(has_flag("table_like"), _candidate(0.88, "table_like flag from canonical model")).when(
+    return F.when(has_flag("table_like"), _candidate(0.88, V.TABLE_FLAG_REASON)).when(
         (F.col("text").rlike(GAP) | F.col("text").rlike(DELIMITER)) & (digits >= 2),
-        _candidate(0.7, "delimiter-heavy block with numeric content"),
+        _candidate(0.7, V.TABLE_DELIMITER_REASON),
     )
 
 

@@ -111,12 +111,11 @@ def build_prompts(segments: DataFrame, lines: DataFrame) -> DataFrame:
     joined = segments.join(lines, "seg_id", "left")
     part = F.when(
         F.size("glossary_lines") > 0,
-        F.concat(F.lit("\nUse this glossary strictly:\n"), F.array_join("glossary_lines", "\n"), F.lit("\n")),
+        F.concat(F.lit(V.PROMPT_GLOSSARY), F.array_join("glossary_lines", "\n"), F.lit("\n")),
     ).otherwise("")
     prompt = F.concat(
-        F.lit("Translate the following text from "), F.col("source_lang"), F.lit(" to "), F.col("target_lang"),
-        F.lit(".\nProvide ONLY the translation, without any explanations or notes.\n"), part,
-        F.lit("\nTEXT: "), F.col("text"), F.lit("\n\nTRANSLATION:"),
+        F.lit(V.PROMPT_TASK), F.col("source_lang"), F.lit(V.PROMPT_TO), F.col("target_lang"), F.lit(V.PROMPT_RULE), part,
+        F.lit(V.PROMPT_TEXT), F.col("text"), F.lit(V.PROMPT_ANSWER),
     )
     return joined.select("seg_id", prompt.alias("prompt"))
 

@@ -40,25 +40,4 @@ def provider_json(entries: DataFrame, defaults: DataFrame) -> DataFrame:
     return joined.select("provider", F.to_json(F.struct("default_model", "models")).alias("json"))
 
 
-def catalog_json(entries: DataFrame, defaults: DataFrame, version: int = 1) -> DataFrame:
-    """The whole catalog as one JSON document, the inverse of parsing.
-
-    Built from one object per provider; the document is the export format, so its size is the
-    size of that file.
-    """
-    fields = [c for c in ENTRY if c not in ("provider", "ordinal")]
-    listed = entries.groupBy("provider").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("ordinal", "id", F.struct(*fields).alias("m")))), lambda e: e["m"]
-        ).alias("models")
-    )
-    joined = listed.join(defaults.select("provider", "default_model"), "provider", "left")
-    providers = F.map_from_entries(
-        F.array_sort(F.collect_list(F.struct("provider", F.struct("default_model", "models").alias("entry"))))
-    )
-    return joined.agg(providers.alias("providers")).select(
-        F.to_json(F.struct(F.lit(version).alias("version"), "providers")).alias("json")
-    )
-
-
-__all__ = ["CATALOG", "catalog_json", "parse_catalogs", "provider_json", "read_catalog"]
+__all__ = ["CATALOG", "parse_catalogs", "provider_json", "read_catalog"]

@@ -12,6 +12,7 @@ from ..functions.redaction import redact_error, redact_secrets
 from ..functions.text import is_blank, lines, strip
 from ..operators.jobs import is_valid_event
 from ..schemas import CHECKPOINTS, ERRORS, JOBS
+from . import small_files
 
 BOM = "﻿"
 
@@ -128,13 +129,16 @@ def read_errors(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, ERRORS)
 
 
-def read_jobs(spark: SparkSession, path: str) -> DataFrame:
+def job_files(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Every ``job.json`` under a folder: its path, the job's fields, and whether it is corrupt (no JSON, or without an id)."""
+    read = small_files.read_files(spark, path, "job.json", partitions).select("path", F.col("content").cast("string").alias("value"))
+    parsed = read.withColumn("_job", F.from_json("value", JOBS, {"mode": "PERMISSIVE"}))
+    return parsed.select("path", "_job.*", F.col("_job.job_id").isNull().alias("is_corrupt"))
+
+
+def read_jobs(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """All ``job.json`` files under a folder; corrupt ones drop out."""
-    rows = (
-        spark.read.schema(JOBS).option("multiLine", True).option("pathGlobFilter", "job.json")
-        .option("recursiveFileLookup", True).json(path)
-    )
-    return rows.filter(F.col("job_id").isNotNull())
+    return job_files(spark, path, partitions).filter("not is_corrupt").drop("path", "is_corrupt")
 
 
 def extension(path: Column) -> Column:

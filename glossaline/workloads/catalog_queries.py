@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..operators import blocks as B
 from ..operators import catalog as C
-from ..sources import catalog_json, files
+from ..session import new_shared_path
+from ..sources import catalog_json, files, small_files
 from .base import any_of, in_list, mapped, query, table, text, texts
 
 _SOURCES = ["user", "default", "api_discovered", "docs_known", "", "legacy"]
@@ -68,7 +69,7 @@ base AS ({_entries_sql('part', 0, 0)}), incoming AS ({_entries_sql(_INCOMING, 1,
 rows_ AS (SELECT *, coalesce(display, label) AS display_name, row_number() OVER (ORDER BY list, ordinal) AS n,
   {mapped('source', V.SOURCE_PRIORITY, '0')} AS sp, {mapped('visibility', V.VISIBILITY_PRIORITY, '0')} AS vp FROM (SELECT * FROM base UNION ALL SELECT * FROM incoming)),
 merged AS (SELECT provider, id, min(n) AS first_n, coalesce(arg_max(label, n) FILTER (WHERE label <> id), id) AS label, arg_max(enabled, n) AS enabled,
-  arg_max(source, sp * 100000000 + n) AS source, arg_max(visibility, vp * 100000000 + n) AS visibility, bool_or(vision) AS vision, bool_or(embedding) AS embedding,
+  list(source ORDER BY sp DESC, n DESC)[1] AS source, list(visibility ORDER BY vp DESC, n DESC)[1] AS visibility, bool_or(vision) AS vision, bool_or(embedding) AS embedding,
   arg_max(discovered_at, n) FILTER (WHERE discovered_at IS NOT NULL) AS discovered_at, arg_max(display_name, n) AS display_name, arg_max(raw, n) FILTER (WHERE raw IS NOT NULL) AS raw_metadata
   FROM rows_ GROUP BY provider, id),
 placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY provider ORDER BY first_n) - 1 AS INTEGER) AS ordinal FROM merged)
@@ -285,6 +286,37 @@ def decode_single_byte_files(spark, sf):
     return files.decode_bytes(docs.select("doc_id", content.alias("content"))).select("doc_id", "encoding_used", F.length("text").alias("chars"))
 
 
+@query("decode_codec_files", """
+SELECT c_custkey, c_name || CASE c_custkey % 4 WHEN 1 THEN chr(12354) WHEN 2 THEN chr(233) || ' x' WHEN 3 THEN chr(65533) || ' x' ELSE '' END AS text,
+  CASE c_custkey % 4 WHEN 0 THEN 'utf-8-sig' WHEN 1 THEN 'cp932' WHEN 2 THEN 'cp1252' ELSE 'utf-8-replace' END AS encoding_used FROM customer
+""")
+def decode_codec_files(spark, sf):
+    """Names followed by bytes that one codec of the list after the other accepts: Japanese, Western, none."""
+    key = F.col("c_custkey") % 4
+    tail = F.unhex(F.when(key == 1, "82A0").when(key == 2, "E92078").when(key == 3, "812078").otherwise(""))
+    content = F.concat(F.col("c_name").cast("binary"), tail)
+    return files.decode_bytes(table(spark, sf, "customer").select("c_custkey", content.alias("content")))
+
+
+@query("job_folder_scan", """
+SELECT 'jobs/' || c_mktsegment || '/job_' || c_custkey AS folder, CASE WHEN c_custkey % 17 <> 0 AND c_custkey % 19 <> 0 THEN 'job_' || c_custkey END AS job_id,
+  CASE WHEN c_custkey % 17 <> 0 THEN CAST(c_nationkey AS INTEGER) END AS total_segments, c_custkey % 17 = 0 OR c_custkey % 19 = 0 AS is_corrupt FROM customer
+""")
+def job_folder_scan(spark, sf):
+    """Every customer as a job folder with its small file; some are cut short, some lack their id."""
+    key = F.col("c_custkey")
+    whole = F.to_json(F.struct(F.when(key % 19 != 0, F.concat(F.lit("job_"), key)).alias("job_id"), F.lit("running").alias("status"), F.col("c_nationkey").cast("int").alias("total_segments")))
+    job = table(spark, sf, "customer").select(
+        F.concat(F.lit("jobs/"), "c_mktsegment", F.lit("/job_"), key, F.lit("/job.json")).alias("path"),
+        F.when(key % 17 == 0, F.substring(whole, 1, 20)).otherwise(whole).alias("text"),
+    )
+    notes = table(spark, sf, "nation").select(F.concat(F.lit("jobs/notes_"), "n_nationkey", F.lit(".txt")).alias("path"), F.col("n_name").alias("text"))
+    root = new_shared_path(spark, "job-folders")
+    small_files.write_files(job.unionByName(notes), root)
+    found = files.job_files(spark, root)
+    return found.select(F.regexp_extract("path", r"(jobs/.*)/job\.json$", 1).alias("folder"), "job_id", "total_segments", "is_corrupt")
+
+
 @query("table_detections", """
 WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber % 3 AS page, CAST(l_quantity AS INTEGER) % 4 AS rows_, CAST(l_suppkey % 3 AS INTEGER) AS cols_, CASE WHEN l_returnflag = 'A' THEN 'lattice' ELSE 'stream' END AS method,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS table_no, l_extendedprice AS accuracy FROM lineitem),

@@ -93,7 +93,7 @@ def layout(spark, sf) -> PageLayout:
 
 # --- the same chain in SQL ----------------------------------------------------------------
 
-_FORMULA = text(f"[=\\^{V.FORMULA_SIGN_CLASS[2:]}]|" + V.FORMULA_REFERENCE_PATTERN.replace("(?iU)", "(?i)"))
+_FORMULA = re2(V.FORMULA_PATTERN)
 _DENSE = f"regexp_replace(text, {text(f'[{SPACE}]+')}, '', 'g')"
 BLOCKS_SQL = f"""
 {LINES},
@@ -425,7 +425,7 @@ def qa_report_build(spark, sf):
 @query("plan_validation", f"""
 WITH {BLOCKS_SQL}, bad AS (SELECT doc_id, kind || length(text) % 40 AS unit_id, x0, CASE WHEN length(text) % 9 = 0 THEN x0 ELSE x1 END AS x1, text = '' AS no_source FROM flagged),
 d AS (SELECT doc_id, unit_id, count(*) AS n FROM bad GROUP BY 1, 2)
-SELECT doc_id, error, count(*) AS times FROM (SELECT doc_id, 'duplicate_unit_id:' || unit_id AS error FROM d, (SELECT unnest(range(1, 2000)) AS i) WHERE i < n
+SELECT doc_id, error, count(*) AS times FROM (SELECT doc_id, error FROM (SELECT doc_id, 'duplicate_unit_id:' || unit_id AS error, unnest(range(1, n)) FROM d)
   UNION ALL SELECT doc_id, 'missing_or_invalid_bbox:' || unit_id FROM bad WHERE x1 <= x0 UNION ALL SELECT doc_id, 'missing_source_blocks:' || unit_id FROM bad WHERE no_source) GROUP BY 1, 2
 """)
 def plan_validation(spark, sf):

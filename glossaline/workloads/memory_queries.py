@@ -10,7 +10,7 @@ from ..operators import memory as M
 from ..operators import memory_store
 from ..session import materialize, new_shared_path
 from ..sources import glossary_csv
-from .base import any_of, norm, query, seg_hash, strip, table, texts
+from .base import any_of, norm, query, seg_hash, strip, table, text, texts
 
 # The memory: documents labelled good, one entry per key, the newest document as its translation.
 TM_SQL = f"""
@@ -271,8 +271,8 @@ def glossary_match_counts(spark, sf):
 
 @query("glossary_prompt", f"""
 WITH {MATCH_SQL}, lines AS (SELECT doc_id, string_agg(source_term || ' => ' || target_term, chr(10) ORDER BY rank) AS l FROM kept GROUP BY doc_id)
-SELECT d.doc_id AS seg_id, md5('Translate the following text from ' || d.lang || ' to vi.' || chr(10) || 'Provide ONLY the translation, without any explanations or notes.' || chr(10)
-  || CASE WHEN l IS NULL THEN '' ELSE chr(10) || 'Use this glossary strictly:' || chr(10) || l || chr(10) END || chr(10) || 'TEXT: ' || d.text || chr(10) || chr(10) || 'TRANSLATION:') AS digest
+SELECT d.doc_id AS seg_id, md5({text(V.PROMPT_TASK)} || d.lang || {text(V.PROMPT_TO)} || 'vi' || {text(V.PROMPT_RULE)}
+  || CASE WHEN l IS NULL THEN '' ELSE {text(V.PROMPT_GLOSSARY)} || l || chr(10) END || {text(V.PROMPT_TEXT)} || d.text || {text(V.PROMPT_ANSWER)}) AS digest
 FROM docs d LEFT JOIN lines USING (doc_id)
 """)
 def glossary_prompt(spark, sf):

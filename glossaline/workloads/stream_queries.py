@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..operators.jobs import progress_counters
 from ..session import new_shared_path
-from ..streaming import health, memory_sink, progress
+from ..streaming import dead_letters, health, memory_sink, progress
 from .base import any_of, query, seg_hash, strip, table
 from .memory_queries import TM_SQL, memory_table
 from .work_queries import _LOG_EVENT, _MESSAGES, ATTEMPTS_SQL, _case, _pick
@@ -100,6 +100,26 @@ def stream_health_event_time(spark, sf):
     return updates.select(*names).withColumn("latency_score", F.round("latency_score", 6)).withColumn("cooldown_until", F.round("cooldown_until", 3))
 
 
+@query("stream_dead_letters", f"""
+WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS job_id, {_case('event_type', _LOG_EVENT)} AS event FROM events),
+l AS (SELECT *, '{{"job_id":"' || job_id || '","event":"' || event || '","segment_id":"' || event_id || '"' AS line FROM e)
+SELECT CASE WHEN event_id % 7 <> 3 THEN job_id END AS job_id, CASE WHEN event_id % 7 <> 3 THEN event END AS event, CASE WHEN event_id % 7 <> 3 THEN CAST(event_id AS VARCHAR) END AS segment_id,
+  CASE WHEN event_id % 7 = 3 THEN line END AS line FROM l WHERE event IS NOT NULL
+""")
+def stream_dead_letters(spark, sf):
+    """A log in several files, some of its lines cut short: good rows and dead letters of the stream."""
+    event = _pick(F.col("event_type"), _LOG_EVENT)
+    cut = F.concat(F.lit('{"job_id":"'), F.col("user_id"), F.lit('","event":"'), event, F.lit('","segment_id":"'), F.col("event_id"), F.lit('"'))
+    lines = table(spark, sf, "events").filter(event.isNotNull()).select(F.when(F.col("event_id") % 7 == 3, cut).otherwise(F.concat(cut, F.lit("}"))).alias("value"))
+    log, good, bad = (new_shared_path(spark, label) for label in ("log-files", "log-good", "log-bad"))
+    lines.repartition(5).write.text(log)
+    schema = "job_id STRING, event STRING, segment_id STRING"
+    dead_letters.split(dead_letters.read_lines(spark, log, schema, max_files=2), good, bad, new_shared_path(spark, "log-state")).awaitTermination()
+    none = F.lit(None).cast("string")
+    kept = dead_letters.read_good(spark, good, schema).withColumn("line", none)
+    return kept.unionByName(dead_letters.read_bad(spark, bad).select(none.alias("job_id"), none.alias("event"), none.alias("segment_id"), "line"))
+
+
 @query("stream_memory", f"""
 WITH {TM_SQL}, i AS (SELECT doc_id, lang, text, {seg_hash('lang', "'vi'", 'text')} AS h, CASE WHEN n_chars % 50 = 0 THEN ' ' ELSE 'new ' || text END AS translated FROM documents),
 s AS (SELECT lang, h, arg_max(translated, doc_id) AS translated, min(doc_id) AS first_no, max(doc_id) AS last_no FROM i

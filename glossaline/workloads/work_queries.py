@@ -318,6 +318,35 @@ def attempt_health(spark, sf):
     return states_of(spark, sf).withColumn("latency_score", F.round("latency_score", 6))
 
 
+_MODELS_SQL = ATTEMPTS_SQL.replace("CAST(user_id AS VARCHAR) AS provider", "user_id || '/' || event_id % 3 || '/' || event_id // 3 % 2 AS provider")
+_STATE_PARTS = "split_part(provider, '/', 1) AS provider, CASE WHEN split_part(provider, '/', 2) <> '0' THEN 'm' || split_part(provider, '/', 2) END AS model, CAST(split_part(provider, '/', 3) AS INTEGER) AS key_index"
+
+
+def model_states(spark, sf):
+    """States per provider, model and key; a third of the attempts name no model."""
+    attempts = attempts_of(spark, sf)
+    model, key = F.col("attempt_no") % 3, F.floor(F.col("attempt_no") / 3) % 2
+    return P.provider_states(attempts.withColumns({"model": F.when(model != 0, F.concat(F.lit("m"), model)), "key_index": key.cast("int")}), AS_OF)
+
+
+@query("attempt_health_models", f"WITH {_MODELS_SQL} SELECT {_STATE_PARTS}, * EXCLUDE (provider), state_available AND NOT on_cooldown AS is_available FROM states")
+def attempt_health_models(spark, sf):
+    return model_states(spark, sf).withColumn("latency_score", F.round("latency_score", 6))
+
+
+@query("provider_rank_models", f"""
+WITH {_MODELS_SQL}, s AS (SELECT {_STATE_PARTS}, * EXCLUDE (provider) FROM states),
+r AS (SELECT provider, bool_or(state_available) AS any_available, bool_and(on_cooldown) AS all_cooling, CASE WHEN bool_or(health_status = 'healthy') THEN 'healthy' WHEN bool_or(health_status = 'degraded') THEN 'degraded'
+   WHEN bool_or(health_status = 'cooldown') THEN 'cooldown' ELSE 'dead' END AS health_status, 5.0::DOUBLE AS quality, round(coalesce(avg(latency_score) FILTER (WHERE latency_score > 0), 500.0), 4) AS latency FROM s GROUP BY provider),
+q AS (SELECT *, CASE WHEN NOT any_available THEN 4 WHEN all_cooling THEN 3 WHEN health_status = 'degraded' THEN 1 ELSE 0 END AS status_rank FROM r)
+SELECT *, row_number() OVER (ORDER BY status_rank, quality DESC, latency, provider) AS rank FROM q
+""")
+def provider_rank_models(spark, sf):
+    """Several states per provider roll up into its rank."""
+    states = model_states(spark, sf).withColumn("latency_score", F.round("latency_score", 6))
+    return P.rank_providers(states).withColumn("latency", F.round("latency", 4))
+
+
 @query("latency_ewma", """
 SELECT event_type, round(list_reduce(list(value ORDER BY ts, event_id), lambda acc, x: acc * 0.8 + x * 0.2), 6) AS latency_score, count(*) AS attempts FROM events GROUP BY event_type
 """)
@@ -415,20 +444,24 @@ def first_models(spark, sf):
     return P.first_models(models, 3)
 
 
-@query("provider_order", """
-SELECT o_orderkey, array_to_string(list_distinct_ordered, ',') AS provider_order FROM (
-  SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN ['groq', 'gemini', 'google'] WHEN 'O' THEN ['google', 'gemini', 'groq'] ELSE ['gemini', 'google', 'groq'] END AS list_distinct_ordered FROM orders)
+_POOL = ["gemini", "google", "groq", "mistral", "cohere"]
+
+
+@query("provider_order", f"""
+WITH o AS (SELECT o_orderkey, {_POOL} AS pool, [{_POOL}[CAST(o_orderkey % 5 AS INTEGER) + 1], {_POOL}[CAST(o_orderkey // 5 % 5 AS INTEGER) + 1], 'unknown', {_POOL}[CAST(o_orderkey // 7 % 5 AS INTEGER) + 1]] AS preferred FROM orders),
+a AS (SELECT *, list_filter(pool, lambda x, i: (o_orderkey >> (i - 1)) & 1 = 1) AS allowed FROM o),
+k AS (SELECT *, list_filter(preferred, lambda x, i: list_position(preferred, x) = i AND list_contains(allowed, x)) AS kept FROM a)
+SELECT o_orderkey, array_to_string(list_concat(kept, list_filter(allowed, lambda x: NOT list_contains(kept, x))), ',') AS provider_order FROM k
 """)
 def provider_order(spark, sf):
-    status = F.col("o_orderstatus")
+    key, pool = F.col("o_orderkey"), F.array(*[F.lit(n) for n in _POOL])
 
-    def names(*items):
-        return F.array(*[F.lit(i) for i in items])
+    def pick(number):
+        return F.get(pool, (number % 5).cast("int"))
 
-    preferred = F.when(status == "F", names("groq", "unknown", "groq")).when(status == "O", names("google")).otherwise(names())
-    from ..operators.catalog import distinct_in_order
+    preferred = F.array(pick(key), pick(F.floor(key / 5)), F.lit("unknown"), pick(F.floor(key / 7)))
+    allowed = F.filter(pool, lambda x, i: F.expr("o_orderkey").bitwiseAND(F.pow(F.lit(2), i).cast("bigint")) != 0)
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(P.provider_order(preferred, allowed), ",").alias("provider_order"))
 
-    allowed = distinct_in_order(names(" gemini", "", "google", "groq ", "gemini"))
-    return table(spark, sf, "orders").select("o_orderkey", F.array_join(P.provider_order(preferred.cast("array<string>"), allowed), ",").alias("provider_order"))
 
 
