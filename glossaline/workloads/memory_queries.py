@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..operators import glossary as G
 from ..operators import memory as M
-from ..operators import memory_store
+from ..operators import memory_search, memory_store
 from ..session import materialize, new_shared_path
 from ..sources import glossary_csv
 from .base import any_of, norm, query, seg_hash, strip, table, text, texts
@@ -170,6 +170,21 @@ def tm_search_topk(spark, sf):
     return found.select("id", "source_lang", F.md5("source_text").alias("digest"), "updated_at")
 
 
+@query("tm_search_indexed", f"""
+WITH {TM_SQL}
+SELECT 1 AS search, id, source_lang, md5(source_text) AS digest FROM (SELECT * FROM tm WHERE lower(source_text) LIKE '%the%in%' OR lower(translated_text) LIKE '%the%in%' ORDER BY updated_at DESC, id DESC LIMIT 50)
+UNION ALL SELECT 2, id, source_lang, md5(source_text) FROM (SELECT * FROM tm WHERE (lower(source_text) LIKE '%[vi] a%' OR lower(translated_text) LIKE '%[vi] a%') AND source_lang = 'en' ORDER BY updated_at DESC, id DESC LIMIT 100)
+UNION ALL SELECT 3, id, source_lang, md5(source_text) FROM (SELECT * FROM tm WHERE lower(source_text) LIKE '%no such words%' OR lower(translated_text) LIKE '%no such words%')
+""")
+def tm_search_indexed(spark, sf):
+    """Three searches through a stored trigram index of the memory."""
+    path = new_shared_path(spark, "memory-index")
+    memory_search.build(materialize(memory_table(spark, sf), "memory"), path, parts=32)
+    asked = [("The%in", None, 50), ("[VI] a", "en", 100), ("No such words", None, 100)]
+    out = [memory_search.indexed_search(spark, path, q, source_lang=lang, limit=n).select(F.lit(k).alias("search"), "id", "source_lang", F.md5("source_text").alias("digest")) for k, (q, lang, n) in enumerate(asked, 1)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("tm_delete", f"""
 WITH {TM_SQL} SELECT id, source_lang FROM tm WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
 """)
