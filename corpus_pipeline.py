@@ -17,7 +17,8 @@ MIN_COVERAGE = 0.25  # share of a text's n-grams that its language holds
 TOXIC = 0.7
 SHARDS = 16
 
-#: SQL has neither the filters, the samples nor the tokens; tests compare each stage with a brute-force version.
+#: SQL has neither the filters, the samples nor the tokens; tests compare near-duplicates, mix and tokens with plain versions on all given
+#: documents, and the language and toxicity operators with theirs on fixtures.
 ORACLE_SQL = None
 
 
