@@ -17,8 +17,8 @@ from .work_queries import _LOG_EVENT, _MESSAGES, ATTEMPTS_SQL, _case, _pick
 
 
 def stream_of(spark, sf, name):
-    """The table as a file stream."""
-    return spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """The table as a file stream, whether it is one file or a folder of them: a pattern that names it alone finds both."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query("stream_progress", f"""
