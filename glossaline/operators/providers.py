@@ -100,12 +100,15 @@ def quality_score(provider: Column) -> Column:
     return F.coalesce(F.create_map(*entries)[provider], F.lit(V.DEFAULT_QUALITY))
 
 
-def rank_providers(states: DataFrame, last_resort: str | None = None, quality: Column | None = None) -> DataFrame:
+def rank_providers(states: DataFrame, last_resort: str | None = None, quality: Column | None = None, decimals: int | None = None) -> DataFrame:
     """Providers in the order to try them: availability, then quality, then latency.
 
-    Equal ranks are ordered by name.
+    Equal ranks are ordered by name.  With ``decimals`` the latencies are rounded half up to so many before they
+    are compared; they are then averaged as decimals, so the order in which states arrive changes no digit.
     """
     quality = quality if quality is not None else quality_score(F.col("provider"))
+    timed = F.when(F.col("latency_score") > 0, F.col("latency_score"))
+    latency = F.avg(timed) if decimals is None else F.round(F.avg(timed.cast("decimal(20,6)")), decimals).cast("double")
     rolled = states.withColumn("_quality", quality).groupBy("provider").agg(
         F.bool_or("state_available").alias("any_available"),
         F.bool_and("on_cooldown").alias("all_cooling"),
@@ -113,7 +116,7 @@ def rank_providers(states: DataFrame, last_resort: str | None = None, quality: C
         F.bool_or(F.col("health_status") == "degraded").alias("_degraded"),
         F.bool_or(F.col("health_status") == "cooldown").alias("_cooldown"),
         F.max("_quality").alias("quality"),
-        F.coalesce(F.avg(F.when(F.col("latency_score") > 0, F.col("latency_score"))), F.lit(V.DEFAULT_LATENCY)).alias("latency"),
+        F.coalesce(latency, F.lit(V.DEFAULT_LATENCY)).alias("latency"),
     )
     best = (
         F.when(F.col("_healthy"), "healthy").when(F.col("_degraded"), "degraded").when(F.col("_cooldown"), "cooldown")

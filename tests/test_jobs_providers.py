@@ -47,6 +47,14 @@ def test_ranking(spark):
     assert [r["provider"] for r in ranked] == ["gemini", "groq", "google"]
 
 
+def test_rounded_latencies_that_are_equal_rank_by_name(spark):
+    rows = [("b", 10.00001), ("a", 10.00002), ("d", 3.00005), ("c", 1.0), ("c", 2.0), ("c", 3.0)]
+    states = spark.createDataFrame(rows, "provider STRING, latency_score DOUBLE").selectExpr(
+        "*", "true AS state_available", "false AS on_cooldown", "'healthy' AS health_status")
+    ranked = P.rank_providers(states, decimals=4).orderBy("rank").collect()
+    assert [(r["provider"], r["latency"]) for r in ranked] == [("c", 2.0), ("d", 3.0001), ("a", 10.0), ("b", 10.0)]
+
+
 def test_waterfall(spark):
     rows = [("r1", 0, "groq", "failed"), ("r1", 1, "x", "skipped"), ("r1", 2, "cerebras", "success"), ("r1", 3, "late", "success")]
     rows += [("r2", i, f"p{i}", "failed") for i in range(4)] + [("r2", 4, "p4", "success")]
