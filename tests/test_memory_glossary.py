@@ -161,3 +161,18 @@ def test_stream_into_memory(spark, tmp_path):
     memory_sink.save_stream(stream, str(tmp_path / "deltas"), str(tmp_path / "state")).awaitTermination()
     tm = memory_sink.fold(spark.createDataFrame([], schemas.TM), memory_sink.read_deltas(spark, str(tmp_path / "deltas")))
     assert [(r["source_text"], r["translated_text"]) for r in tm.collect()] == [(" a", "2")]
+
+
+def test_prompts_of_terms_with_line_ends_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from glossaline.workloads import ORACLES, QUERIES
+
+    spark.createDataFrame([(1, "raque es\nraque"), (2, "Other")], "item_id LONG, text STRING").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, "it says es\nraque here", "en"), (2, "other things", "en"), (3, "nothing", "de")]
+    spark.createDataFrame(docs, "doc_id LONG, text STRING, lang STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = sorted(con.execute(ORACLES["glossary_prompt"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["glossary_prompt"](spark, str(tmp_path)).collect()) == want
