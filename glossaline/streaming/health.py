@@ -2,12 +2,12 @@
 
 The fold of a provider's attempts is a record that merges: two records of consecutive stretches make
 the record of both.  Attempts are dealt by provider and stretch of time, so a busy provider's attempts
-meet in many tasks, and a task holds one stretch of one provider as arrays.  The state never sees
-single attempts as Python objects.
+meet in many tasks; a group holds many stretches as arrays and reduces them together.  The state never
+sees single attempts as Python objects.
 
 Without a delay every micro-batch is folded as it comes: its stretches become records, and the state
 merges them in order of time.  With a delay the stream runs on event time: a stretch stays open, as
-packed attempts, until the watermark has passed its end; then its timer sorts, reduces and merges it.
+packed attempts, until the watermark has passed its end; then the provider's timer sorts, reduces and merges it.
 The result does not depend on how attempts are spread over files and micro-batches, and equals the
 batch form over all stretches that the watermark has passed.  A second timer ends a cooldown.
 """
@@ -25,7 +25,8 @@ from .. import fixed_values as V
 from ..functions.errors import error_class
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STRETCH = 60  # seconds of event time that one task sorts
+STRETCH = 60  # seconds of event time whose attempts meet in one group
+DEALT = 1024  # groups that share the stretches of all providers in a micro-batch
 ATTEMPT = np.dtype([("seconds", "<f8"), ("attempt_no", "<i8"), ("latency", "<f8"), ("code", "<i2")])  # code 0: success, else an error class from 1
 STATUS_OF = {"auth_failure": "dead", "quota_rate_limit": "cooldown", "token_limit": "cooldown", "timeout": "degraded", "provider_5xx": "degraded"}
 
@@ -56,22 +57,39 @@ class Record(NamedTuple):
     last_seconds: float = 0.0
 
 
-def reduced(attempts: np.ndarray) -> Record:
-    """The record of attempts of one provider, in any order."""
-    a = np.sort(attempts, order=["seconds", "attempt_no"])
-    code = a["code"]
-    good = np.flatnonzero(code == 0)
+def reduced_each(attempts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Groups that occur, ascending, and the fields of their records; attempts in any order, all groups in one pass."""
+    order = np.lexsort((attempts["attempt_no"], attempts["seconds"], group))
+    a, group = attempts[order], group[order]
+    n = len(a)
+    at = np.arange(n)
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    sizes = np.diff(np.r_[starts, n])
+    ends = starts + sizes - 1
+    code, latency = a["code"], a["latency"]
     classes = ["", *V.ERROR_CLASSES]
+    good, timed = code == 0, latency > 0
     # Successes and these classes set the status; the last of them counts.
-    sets = np.flatnonzero(np.isin(code, [0, *[classes.index(c) for c in STATUS_OF]]))
-    latency = a["latency"][a["latency"] > 0]
-    weights = V.LATENCY_KEEP ** np.arange(len(latency) - 1, -1, -1)
-    status = "" if not len(sets) else STATUS_OF.get(classes[code[sets[-1]]], "healthy")
-    return Record(
-        len(good), len(a) - len(good), len(a) - 1 - int(good[-1]) if len(good) else len(a), bool(len(good)),
-        float(V.LATENCY_KEEP ** len(latency)), float(V.LATENCY_NEW * (latency * weights).sum()), float(latency[0]) if len(latency) else 0.0, bool(len(latency)),
-        classes[code[-1]], status, bool(code[-1] != 0), float(a["seconds"][-1]),
-    )
+    sets = np.isin(code, [0, *[classes.index(c) for c in STATUS_OF]])
+    last_good, last_set = (np.maximum.reduceat(np.where(which, at, -1), starts) for which in (good, sets))
+    first_timed = np.minimum.reduceat(np.where(timed, at, n), starts)
+    successes, times = np.add.reduceat(good.astype(np.int64), starts), np.add.reduceat(timed.astype(np.int64), starts)
+    seen = np.cumsum(timed)
+    weights = V.LATENCY_KEEP ** (np.repeat(seen[ends], sizes) - seen)
+    names, statuses = np.array(classes, object), np.array([STATUS_OF.get(c, "healthy") for c in classes], object)
+    return group[starts], {
+        "success_count": successes, "failure_count": sizes - successes, "streak": np.where(last_good >= 0, ends - last_good, sizes), "broken": last_good >= 0,
+        "power": V.LATENCY_KEEP**times, "weighted": V.LATENCY_NEW * np.add.reduceat(np.where(timed, latency * weights, 0.0), starts),
+        "seed": np.where(times > 0, latency[np.minimum(first_timed, n - 1)], 0.0), "timed": times > 0,
+        "last_error": names[code[ends]], "status": np.where(last_set >= 0, statuses[code[np.maximum(last_set, 0)]], ""),
+        "last_failed": code[ends] != 0, "last_seconds": a["seconds"][ends],
+    }
+
+
+def reduced(attempts: np.ndarray) -> Record:
+    """The record of attempts of one provider, in any order."""
+    _, fields = reduced_each(attempts, np.zeros(len(attempts), np.int64))
+    return Record(**{name: values.tolist()[0] for name, values in fields.items()})
 
 
 def merged(a: Record, b: Record) -> Record:
@@ -84,26 +102,28 @@ def merged(a: Record, b: Record) -> Record:
 
 
 class HealthProcessor(StatefulProcessor):
-    """One record of state per provider; with event time also its open stretches, as packed attempts."""
+    """One record of state per provider; with event time also the attempts of its open stretches, packed."""
 
-    def __init__(self, keys: list[str], cooldown_seconds: int, event_time: bool):
-        self.keys, self.cooldown_seconds, self.event_time = keys, cooldown_seconds, event_time
+    def __init__(self, keys: list[str], cooldown_seconds: int, event_time: bool, stretch: int = STRETCH):
+        self.keys, self.cooldown_seconds, self.event_time, self.stretch = keys, cooldown_seconds, event_time, stretch
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.record = handle.getValueState("record", RECORD + ", changes BIGINT")
         if self.event_time:
-            self.open = handle.getMapState("open", "until BIGINT", "attempts BINARY")
+            self.open = handle.getListState("open", "attempts BINARY")
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         if self.event_time:
+            # One value and one timer per provider and micro-batch; stretches are told apart when a timer reads them.
+            earliest = None
             for frame in rows:
-                for until, attempts in zip(frame["until"], frame["attempts"]):
-                    end = int(round(until.timestamp() * 1000)) if until.tzinfo else int(until.value // 1_000_000)
-                    held = self.open.getValue((end,))[0] if self.open.containsKey((end,)) else None
-                    if held is None:
-                        self.handle.registerTimer(end)
-                    self.open.updateValue((end,), ((bytes(held) if held else b"") + bytes(attempts),))
+                packed = b"".join(frame["attempts"])
+                self.open.appendValue((packed,))
+                end = int(self._ends(np.frombuffer(packed, ATTEMPT)).min())
+                earliest = end if earliest is None else min(earliest, end)
+            if earliest is not None:
+                self.handle.registerTimer(earliest)
             return
         found = [(r.until, Record(*r[1:])) for frame in rows for r in frame[["until", *Record._fields]].itertuples(index=False, name="Row")]
         record, changes = self._load()
@@ -114,17 +134,29 @@ class HealthProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         now, expired = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
         record, changes = self._load()
-        if self.open.containsKey((expired,)):
-            more = reduced(np.frombuffer(bytes(self.open.getValue((expired,))[0]), ATTEMPT))
-            self.open.removeKey((expired,))
+        attempts = np.frombuffer(b"".join(bytes(v[0]) for v in self.open.get()), ATTEMPT)
+        ends = self._ends(attempts)
+        due = ends <= now
+        if due.any():
+            # Every stretch that the watermark has passed, in one row.
+            if due.all():
+                self.open.clear()
+            else:
+                self.open.put([(attempts[~due].tobytes(),)])
+                self.handle.registerTimer(int(ends[~due].min()))
+            more = reduced(attempts[due])
             record = more if record is None else merged(record, more)
             until = self._until(record)
             if until * 1000 > now:
                 self.handle.registerTimer(int(np.ceil(until * 1000)))
             yield self._row(key, record, changes + 1, until * 1000 > now)
-        elif record is not None and 0 < self._until(record) * 1000 <= expired:
+        elif record is not None and record.last_failed and int(np.ceil(self._until(record) * 1000)) == expired:
             yield self._row(key, record, changes + 1, False)
 
+    def _ends(self, attempts: np.ndarray) -> np.ndarray:
+        """Ends of the attempts' stretches, in milliseconds."""
+        return ((np.floor(attempts["seconds"] / self.stretch) + 1) * self.stretch * 1000).astype(np.int64)
+
     def _load(self) -> tuple[Record | None, int]:
         held = self.record.get()
         return (Record(*held[:-1]), held[-1]) if held else (None, 0)
@@ -152,7 +184,7 @@ def live_health(
 ) -> DataFrame:
     """Stream of attempts (keys, ts, attempt_no, status, error_type, latency_ms) -> health updates.
 
-    Rows come in order of ``changes`` for each key.  With ``delay`` (an interval) attempts count once
+    Rows come in order of ``changes`` for each key, at most one for a micro-batch's attempts.  With ``delay`` (an interval) attempts count once
     the watermark, the newest stretch's end less the delay, has passed the end of their stretch; later ones
     are dropped, and the end of a cooldown is a row of its own.  Needs the RocksDB state store.
     """
@@ -173,23 +205,31 @@ def live_health(
             out[name] = frame[name].to_numpy()
         return out
 
-    def packed(key: tuple, frame):
-        import pandas as pd
-
-        return pd.DataFrame([[*key, arrays(frame).tobytes()]], columns=[*keys, "until", "attempts"])
-
-    def folded(key: tuple, frame):
-        import pandas as pd
-
-        return pd.DataFrame([[*key, *reduced(arrays(frame))]], columns=[*keys, "until", *Record._fields])
-
-    dealt = timed.groupBy(*keys, "until")
+    def grouped(frame) -> tuple[np.ndarray, object]:
+        """Number of each row's provider and stretch, and these by number."""
+        group = frame.groupby([*keys, "until"], dropna=False, sort=False).ngroup().to_numpy()
+        firsts = np.unique(group, return_index=True)[1]
+        return group, frame[[*keys, "until"]].iloc[firsts].reset_index(drop=True)
+
+    def packed(frame):
+        group, out = grouped(frame)
+        order = np.argsort(group, kind="stable")
+        cuts = np.r_[np.searchsorted(group[order], np.arange(len(out))), len(frame)]
+        data = arrays(frame)[order]
+        return out.assign(attempts=[data[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:])])
+
+    def folded(frame):
+        group, out = grouped(frame)
+        return out.assign(**reduced_each(arrays(frame), group)[1])
+
+    # Providers and stretches meet in a bounded number of groups, each worked on as arrays: a call per stretch costs more than its attempts.
+    dealt = timed.groupBy(F.pmod(F.xxhash64(*keys, "until"), F.lit(DEALT)))
     if delay is None:
         met = dealt.applyInPandas(folded, f"{named}, until timestamp, {RECORD}")
     else:
         met = dealt.applyInPandas(packed, f"{named}, until timestamp, attempts binary").withWatermark("until", delay)
     return met.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=HealthProcessor(keys, cooldown_seconds, delay is not None), outputStructType=f"{named}, {HEALTH}", outputMode="Update",
+        statefulProcessor=HealthProcessor(keys, cooldown_seconds, delay is not None, stretch), outputStructType=f"{named}, {HEALTH}", outputMode="Update",
         timeMode="None" if delay is None else "EventTime",
     )
 

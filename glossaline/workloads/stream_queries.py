@@ -91,11 +91,14 @@ def stream_health_event_time(spark, sf):
     late = F.pmod(F.xxhash64("event_id"), F.lit(_LATE // 2))
     step = ((last - first).total_seconds() + _LATE) / _PARTS if first else 1.0
     part = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lit(first).cast("timestamp")) + late) / step)
-    folder = new_shared_path(spark, "attempt-files")
-    for n in range(_PARTS):  # one after the other, as a log grows
+    folder, out, state = (new_shared_path(spark, label) for label in ("attempt-files", "health", "health-state"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", health.STORE)
+    for n in range(_PARTS):
+        # As a log grows: the stream takes up where it stopped, and what came meanwhile is one micro-batch, however many files hold it.
         events.filter(part == n).write.parquet(f"{folder}/part={n}")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
-    updates = _health_updates(spark, health.live_health(_attempts(stream), delay=f"{_LATE} seconds"))
+        stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(folder)
+        health.save_health(health.live_health(_attempts(stream), delay=f"{_LATE} seconds"), out, state).awaitTermination()
+    updates = health.latest_health(spark.read.option("recursiveFileLookup", True).parquet(out))
     names = ["provider", "success_count", "failure_count", "consecutive_failures", "latency_score", "last_error_type", "health_status", "cooldown_until", "on_cooldown"]
     return updates.select(*names).withColumn("latency_score", F.round("latency_score", 6)).withColumn("cooldown_until", F.round("cooldown_until", 3))
 

@@ -104,3 +104,11 @@ def test_empty_stream_and_null_provider(spark, tmp_path):
     files = [[(None, "m", 1, START, "success", None, 5.0), (None, "m", 2, START, "failed", "strange", None)], []]
     got = health.latest_health(run(spark, tmp_path, files))
     assert [tuple(x) for x in got.select("provider", "success_count", "failure_count", "latency_score").collect()] == [(None, 1, 1, 5.0)]
+
+
+def test_a_micro_batch_costs_a_provider_one_update_whatever_its_stretches(spark, tmp_path):
+    rows = [attempt(n, 7 * n, "p", status="failed" if n % 5 == 0 else "success", latency=100.0 + n) for n in range(600)]
+    got = run(spark, tmp_path, [rows, [attempt(9000, 10**6, "q", status="success", latency=1.0)]], delay="1 minute").filter("provider = 'p'").orderBy("changes").collect()
+    # Once when the first file's watermark passes all but its end, once for that end; before, once for each of 70 stretches.
+    assert len(got) <= 3
+    assert (got[-1]["success_count"], got[-1]["failure_count"]) == (480, 120)
