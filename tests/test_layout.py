@@ -160,3 +160,14 @@ def test_fit_without_width_keeps_lines(spark):
     rows = [(1, "hello world", 0.0, 50.0, 12.0, 6.0, 1.2, "en"), (2, "a b\n\nc", -3.0, 50.0, 12.0, 6.0, 1.2, "en"), (3, "", 0.0, 50.0, 12.0, 6.0, 1.2, "en"), (4, "hello", 200.0, 50.0, 12.0, 6.0, 1.2, "en")]
     got = {r["unit_id"]: r for r in FIT.fit_units(spark.createDataFrame(rows, schema)).collect()}
     assert got[1]["lines"] == ["hello world"] and got[1]["overflow"] and got[2]["lines"] == ["a b", "c"] and got[3]["lines"] == [] and got[4]["lines"] == ["hello"]
+
+
+def test_symbol_ratio_counts_signs_and_digits_of_what_is_visible(spark):
+    from glossaline.operators.blocks import symbol_digit_ratio
+
+    texts = ["a=1 ", "  ", "", None, "x\u00b2 \u2460\u216b", "\u00a0\u4e2d \t\u3000!", "two words", "\U0001d7d9\U00010400"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n INT, text STRING").select("n", symbol_digit_ratio(F.col("text")).alias("r"))
+    assert [r["r"] for r in rows.orderBy("n").collect()] == [2 / 3, 0.0, 0.0, 0.0, 0.5, 0.5, 0.0, 0.5]
+    # A pattern over the whole text is written, and so run, once for the signs and once for the blanks.
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2
