@@ -14,6 +14,7 @@ from ..schemas import TRANSLATIONS
 
 RESULT = ["status", "translated_text", "provider", "model", "error_type", "error_message", "latency_ms"]
 LOGGED_ROWS = 64  # results of a file of the log
+SLICE_ROWS, SLICE_CHARS = 512, 2_000_000  # rows and characters that a task turns into Python objects at a time
 
 
 class Call:
@@ -102,6 +103,19 @@ class ResultLog:
             self.new = []
 
 
+def slices(batch) -> Iterator:
+    """The rows of an Arrow batch in pieces of at most ``SLICE_ROWS`` rows and, single rows apart, ``SLICE_CHARS`` characters."""
+    chars = [len(text.as_py() or "") for text in batch.column("text")]  # one text at a time
+    start = held = 0
+    for n, size in enumerate(chars):
+        if n > start and (n - start == SLICE_ROWS or held + size > SLICE_CHARS):
+            yield batch.slice(start, n - start)
+            start, held = n, 0
+        held += size
+    if start < len(chars):
+        yield batch.slice(start)
+
+
 def translate_rows(
     df: DataFrame, fn: Callable[[str, str, str], dict], parallelism: int | None = None, in_flight: int = 4, timeout: float = float(V.CALL_TIMEOUT_SECONDS),
     retries: int = 0, backoff: float = 0.5, log: str | None = None,
@@ -123,29 +137,34 @@ def translate_rows(
     # A stated number of partitions: adaptive execution merges small ones by their bytes, but leaves these alone.
     dealt = df.repartition(tasks) if log is None else df.withColumn("_call", key).repartition(tasks, "_call")
     schema = T.StructType(df.schema.fields + T.StructType.fromDDL(TRANSLATIONS).fields)
+    given = df.columns
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
         from pyspark import TaskContext
 
         held = None
         if log is not None:
             held = ResultLog(log, TaskContext.get().partitionId())
             held.load()
+        kinds = [pa.string()] * (len(RESULT) - 1) + [pa.int32()]
         for batch in batches:
-            keys = list(batch["_call"]) if held else list(range(len(batch)))
-            known = dict(held.known) if held else {}
-            asked: dict = {}
-            for k, t, s, d in zip(keys, batch["text"], batch["source_lang"], batch["target_lang"]):
-                if k not in known and k not in asked:
-                    asked[k] = (t, s, d)
-            for k, result in zip(asked, in_flight_calls(iter(asked.values()), fn, in_flight, timeout, retries, backoff)):
-                known[k] = result
-                if held and result[0] != "failed":
-                    held.add(k, result)
-            if held:
-                held.flush()
-            results = pd.DataFrame([known[k] for k in keys], columns=RESULT, index=batch.index)
-            yield pd.concat([batch.drop(columns="_call") if held else batch, results], axis=1)
-
-    return dealt.mapInPandas(run, schema)
+            # A batch may hold ten thousand long texts; only a slice of it, and its answers, are ever Python objects.
+            for part in slices(batch):
+                texts, sources, targets = (part.column(c).to_pylist() for c in ("text", "source_lang", "target_lang"))
+                keys = part.column("_call").to_pylist() if held else list(range(part.num_rows))
+                known = {k: held.known[k] for k in keys if k in held.known} if held else {}
+                asked: dict = {}
+                for k, *call in zip(keys, texts, sources, targets):
+                    if k not in known and k not in asked:
+                        asked[k] = tuple(call)
+                for k, result in zip(asked, in_flight_calls(iter(asked.values()), fn, in_flight, timeout, retries, backoff)):
+                    known[k] = result
+                    if held and result[0] != "failed":
+                        held.add(k, result)
+                if held:
+                    held.flush()
+                answers = [pa.array(c, kind) for c, kind in zip(zip(*[known[k] for k in keys]), kinds)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in given], *answers], [*given, *RESULT])
+
+    return dealt.mapInArrow(run, schema)

@@ -82,3 +82,15 @@ def test_failed_calls_are_called_again_by_a_new_run(spark, tmp_path):
     mark.touch()
     assert {r["status"] for r in translator.translate_rows(rows(spark, ["a", "b"]), fn, parallelism=2, log=log).collect()} == {"success"}
     assert translator.translate_rows(rows(spark, []), fn, parallelism=2, log=log).count() == 0
+
+
+def test_a_batch_is_worked_on_in_slices(spark):
+    import pyarrow as pa
+
+    texts = ["x" * 10] * 1300 + ["y" * 1_500_000, None, "z" * 1_500_000, "w" * 3_000_000, "v"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], ["text", "n"])
+    parts = list(translator.slices(batch))
+    assert [n for p in parts for n in p.column("n").to_pylist()] == list(range(len(texts)))
+    assert max(p.num_rows for p in parts) == 512
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= translator.SLICE_CHARS for p in parts)
+    assert not list(translator.slices(batch.slice(0, 0)))
