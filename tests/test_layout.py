@@ -171,3 +171,17 @@ def test_symbol_ratio_counts_signs_and_digits_of_what_is_visible(spark):
     # A pattern over the whole text is written, and so run, once for the signs and once for the blanks.
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 2
+
+
+def test_unit_facts_are_the_units_without_their_texts(chain):
+    names = ["doc_id", "unit_id", "page_index", "source_block_ids", "x0", "y0", "x1", "y1", "reading_order", "unit_type", "flags", "is_skipped"]
+    facts = sorted(map(str, chain.unit_facts.select(*names).collect()))
+    assert facts == sorted(map(str, chain.units.select(*names).collect()))
+    assert not {"text", "source_span_ids", "metadata"} & set(chain.unit_facts.columns)
+
+
+def test_patterns_run_once_for_a_region(chain):
+    from glossaline.operators.regions import detect_regions
+
+    plan = detect_regions(chain.ordered, chain.pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("|;,") == 1

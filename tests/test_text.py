@@ -143,3 +143,21 @@ def reference_width(ch):
 def test_width_units(spark):
     texts = ["Hello, (World)-[42] {x}/\\_", "日本 ABC Éé", "ilIjtfr mwMW@#%&", "+*=<>^~"]
     assert column(spark, texts, width_units) == [sum(map(reference_width, t)) for t in texts]
+
+
+def test_lines_and_normalized_texts_equal_the_patterns_whatever_the_white_space(spark):
+    import itertools
+    import re
+
+    from glossaline import fixed_values as V
+    from glossaline.functions import text as T
+
+    signs = ["a", " ", "\n", "\r", "\t", " ", "\xa0", "\x1f"]
+    texts = ["".join(p) for n in range(5) for p in itertools.product(signs, repeat=n)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select("t", T.lines(df.t).alias("l"), T.line_count(df.t).alias("n"), T.normalize(df.t).alias("s")).collect():
+        parts = re.split(V.LINE_END, row.t)
+        parts = parts[:-1] if parts[-1] == "" else parts
+        inline = f"[{V.INLINE_SPACE_CLASS}]*"
+        tidy = re.sub(f"{inline}\n{inline}", "\n", re.sub(V.LINE_END, "\n", re.sub(r"[ \t]+", " ", row.t))).strip(V.WHITESPACE)
+        assert (row.l, row.n, row.s) == (parts, len(parts), tidy), repr(row.t)
