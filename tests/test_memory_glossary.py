@@ -176,3 +176,13 @@ def test_prompts_of_terms_with_line_ends_equal_the_sql(spark, tmp_path):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
     want = sorted(con.execute(ORACLES["glossary_prompt"]).fetchall())
     assert sorted(tuple(r) for r in QUERIES["glossary_prompt"](spark, str(tmp_path)).collect()) == want
+
+
+def test_texts_offer_only_grams_that_terms_hold(spark):
+    from glossaline.plans.substrings import term_codes, wanted_codes
+
+    wanted = spark.createDataFrame([("abcd",), ("xy",), ("\U0001f600",)], "term string").select(F.explode(term_codes(F.col("term"))).alias("code"))
+    texts = spark.createDataFrame([("zzabczzabcdzz",), ("q \U0001f600 xy" * 50,), ("",), ("unrelated words " * 99,)], "text string")
+    found = texts.select(F.size(wanted_codes(F.col("text"), wanted, "code", [1, 2, 3])).alias("n")).collect()
+    # abc and bcd; the sign and xy; nothing.
+    assert [r.n for r in found] == [2, 2, 0, 0]
