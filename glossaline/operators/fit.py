@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 
 from .. import fixed_values as V
 from ..functions.text import count_chars
+from ..session import materialize
 from .segments import count_map
 
 STEP = 0.5
@@ -232,6 +233,8 @@ def fit_units(requests: DataFrame) -> DataFrame:
 
 
 def fit_summary(results: DataFrame, keys: list[str]) -> DataFrame:
+    # Written once: the texts would be fitted anew for each of the two counts.
+    results = materialize(results.select(*keys, "overflow", "scale_ratio", "warnings"), "fitted")
     counts = results.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("result_count"),
         F.count_if("overflow").alias("overflow_count"),

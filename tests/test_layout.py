@@ -185,3 +185,12 @@ def test_patterns_run_once_for_a_region(chain):
 
     plan = detect_regions(chain.ordered, chain.pages)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("|;,") == 1
+
+
+def test_texts_are_fitted_once_for_a_summary(spark):
+    rows = [("d", "u1", "some words to wrap", 30.0, 10.0, 12.0, 6.0, 1.2, None), ("d", "u2", "x", 200.0, 50.0, 12.0, 6.0, 1.2, None)]
+    names = "doc_id string, unit_id string, text string, width double, height double, font_size double, min_font_size double, line_height_ratio double, language_hint string"
+    summary = FIT.fit_summary(FIT.fit_units(spark.createDataFrame(rows, names)), ["doc_id"])
+    # What is counted twice is read as written, not fitted again.
+    assert "ArrowEvalPython" not in summary._jdf.queryExecution().executedPlan().toString()
+    assert [(r.result_count, r.overflow_count) for r in summary.collect()] == [(2, 1)]
