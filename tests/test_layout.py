@@ -194,3 +194,28 @@ def test_texts_are_fitted_once_for_a_summary(spark):
     # What is counted twice is read as written, not fitted again.
     assert "ArrowEvalPython" not in summary._jdf.queryExecution().executedPlan().toString()
     assert [(r.result_count, r.overflow_count) for r in summary.collect()] == [(2, 1)]
+
+
+def test_joins_give_the_tables_that_whole_pages_give(chain):
+    crowded = PageLayout(chain.blocks, chain.pages, page_blocks=2)
+    for name in ("flagged", "links", "captioned", "ordered", "members", "paragraphs", "regions", "protected", "unit_facts", "units", "related", "page_info"):
+        one, other = getattr(chain, name), getattr(crowded, name)
+        shared = [c for c in other.columns if c in one.columns]
+        assert {"doc_id", "page_index"} <= set(shared) and sorted(map(str, one.select(*shared).collect())) == sorted(map(str, other.select(*shared).collect())), name
+
+
+def test_blocks_of_a_page_are_shuffled_once(chain):
+    lazy = PageLayout(chain.blocks, chain.pages, kept=False)
+    for name in ("regions", "protected", "paragraphs", "unit_facts", "units"):
+        plan = getattr(lazy, name)._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" not in plan, name
+        prepared = getattr(lazy, name)._jdf.queryExecution().executedPlan().toString()
+        assert prepared.count("Exchange ") + prepared.count("Exchange hash") <= 2 and prepared.count("hashpartitioning") == 1, name
+
+
+def test_white_space_in_a_row(spark):
+    from glossaline.operators.blocks import has_gap
+
+    texts = {"a b": False, "a  b": True, "a \n": True, "\n a": True, "a\nb": False, "　 x": True, "x　y": False, "  ": True, "": False, "\x1c ": True, "a \x85": True}
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", has_gap(F.col("text")).alias("gap")).collect()
+    assert {r["text"]: r["gap"] for r in rows} == texts
