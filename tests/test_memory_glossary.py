@@ -186,3 +186,30 @@ def test_texts_offer_only_grams_that_terms_hold(spark):
     found = texts.select(F.size(wanted_codes(F.col("text"), wanted, "code", [1, 2, 3])).alias("n")).collect()
     # abc and bcd; the sign and xy; nothing.
     assert [r.n for r in found] == [2, 2, 0, 0]
+
+
+def test_matching_shuffles_no_text(spark):
+    g = terms(spark, *[(f"word{i}", "x", "en", "vi", True) for i in range(50)])
+    segs = spark.range(200).selectExpr("id AS seg_id", "'en' AS source_lang", "'vi' AS target_lang", "concat('word', id % 60, ' and more') AS text")
+    top = G.top_terms(G.match_terms(segs, g))
+    assert top.count() > 0
+    # The only exchange by segment is that of the best few terms; no text is joined back to the pairs.
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("Exchange hashpartitioning(seg_id") == 1 and "SortMergeJoin" not in initial
+
+
+def test_long_terms_odd_signs_and_block_borders_equal_brute_force(spark):
+    from glossaline.plans import substrings
+
+    long = "a phrase of more than thirty-two characters"
+    words = [long, long[:33], long[:32], long + "!", "\U0001f600", "\U0001f600 é", "é", "border of blocks", "zz", "0"]
+    edge = "x" * (substrings.BLOCK - 7) + "border of blocks" + "x" * 50 + long
+    texts = [f"so {long.upper()}", long[:33] + "x", "\U0001f600 É!", edge, "z" * 40, "zz", "z", f"{long} and {long}!"]
+    g = terms(spark, *[(w, w, "en", "vi", True) for w in words])
+    segs = spark.createDataFrame([(i, "en", "vi", t) for i, t in enumerate(texts)], "seg_id INT, source_lang STRING, target_lang STRING, text STRING")
+    want = sorted((i, w) for i, t in enumerate(texts) for w in words if w in t.lower())
+    for size in (10**6, 0):
+        assert sorted((r["seg_id"], r["source_term"]) for r in G.match_terms(segs, g, size).collect()) == want
+    none = g.filter("id < 0")
+    assert G.match_terms(segs, none).count() == 0
