@@ -213,3 +213,16 @@ def test_long_terms_odd_signs_and_block_borders_equal_brute_force(spark):
         assert sorted((r["seg_id"], r["source_term"]) for r in G.match_terms(segs, g, size).collect()) == want
     none = g.filter("id < 0")
     assert G.match_terms(segs, none).count() == 0
+
+
+def test_counts_equal_matches_and_move_no_pairs(spark):
+    g = terms(spark, ("Information", "a", "en", "vi", True), ("information", "b", "fr", "vi", True), ("an", "c", "en", "vi", True), ("off", "d", "en", "vi", False), ("zzz", "e", "en", "vi", True))
+    rows = [(i, ("en", "fr", "auto", "ja")[i % 4], "vi" if i % 7 else "de", "Information and an information" if i % 3 else "an") for i in range(300)]
+    segs = spark.createDataFrame(rows, "seg_id LONG, source_lang STRING, target_lang STRING, text STRING")
+    want = G.match_terms(segs, g).groupBy("term_id", "source_term").count().collect()
+    counted = G.count_matches(segs, g)
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, want)) and len(want) == 3
+    assert counted.schema["segments"].dataType.simpleString() == "bigint"
+    # Offers are summed up before they meet the terms.
+    initial = counted._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert initial.index("Join") < initial.index("MapInArrow") and "partial_count(1)" in initial[initial.index("Join") : initial.index("MapInArrow")]
