@@ -118,7 +118,7 @@ def slices(batch) -> Iterator:
 
 def translate_rows(
     df: DataFrame, fn: Callable[[str, str, str], dict], parallelism: int | None = None, in_flight: int = 4, timeout: float = float(V.CALL_TIMEOUT_SECONDS),
-    retries: int = 0, backoff: float = 0.5, log: str | None = None,
+    retries: int = 0, backoff: float = 0.5, log: str | None = None, dealt: bool = False,
 ) -> DataFrame:
     """Call ``fn(text, source_lang, target_lang)`` per row; adds status, translation, error, latency.
 
@@ -130,12 +130,16 @@ def translate_rows(
 
     ``log``: a folder all executors reach.  Rows then meet by their text and languages: equal rows share one
     call, and a task that runs again, or the same job started again, finds the answers it had.  Failed calls are not kept.
+    ``dealt``: the rows lie in as many partitions as they shall; without a log they are not dealt anew.
     """
     spark = df.sparkSession
     tasks = parallelism or spark.sparkContext.defaultParallelism
     key = F.sha2(F.concat_ws("\u0000", F.coalesce("source_lang", F.lit("")), F.coalesce("target_lang", F.lit("")), F.coalesce("text", F.lit(""))), 256)
     # A stated number of partitions: adaptive execution merges small ones by their bytes, but leaves these alone.
-    dealt = df.repartition(tasks) if log is None else df.withColumn("_call", key).repartition(tasks, "_call")
+    if log is not None:
+        placed = df.withColumn("_call", key).repartition(tasks, "_call")
+    else:
+        placed = df if dealt else df.repartition(tasks)
     schema = T.StructType(df.schema.fields + T.StructType.fromDDL(TRANSLATIONS).fields)
     given = df.columns
 
@@ -167,4 +171,4 @@ def translate_rows(
                 answers = [pa.array(c, kind) for c, kind in zip(zip(*[known[k] for k in keys]), kinds)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in given], *answers], [*given, *RESULT])
 
-    return dealt.mapInArrow(run, schema)
+    return placed.mapInArrow(run, schema)

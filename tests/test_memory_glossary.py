@@ -226,3 +226,41 @@ def test_counts_equal_matches_and_move_no_pairs(spark):
     # Offers are summed up before they meet the terms.
     initial = counted._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert initial.index("Join") < initial.index("MapInArrow") and "partial_count(1)" in initial[initial.index("Join") : initial.index("MapInArrow")]
+
+
+def test_retranslating_writes_and_moves_a_text_once(spark):
+    import glob
+
+    from glossaline.session import shared_dir
+
+    def written(label):
+        return set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/{label}-*"))
+
+    tm = saved(spark, [("en", "vi", "Apple", "Táo"), ("en", "vi", "Kept", "Giữ"), ("en", "vi", "boom", "Bùm")])
+    rows = [("en", "vi", "Pear  x"), ("en", "vi", "Apple "), ("en", "vi", " Pear x"), ("en", "vi", "a"), ("en", "vi", " Apple"), ("en", "vi", "boom"), ("fr", "vi", "Pear x"), ("en", "vi", None)]
+    segs = spark.createDataFrame([(i, s, t, x, T0 + dt.timedelta(days=9 - i % 3)) for i, (s, t, x) in enumerate(rows)], SEGS)
+
+    def stub(text, source, target):
+        if text == "boom":
+            raise ValueError("no")
+        return {"text": f"{text}|{source}", "provider": "s", "model": ""}
+
+    before = {label: written(label) for label in ("tm-lookup", "translations", "tm-merge")}
+    _, updated = M.translate_cached(segs, tm, stub, "tm_retranslate_and_update")
+    state = updated()
+    got = sorted(tuple(r) for r in state.select("id", "source_lang", "source_text", "translated_text", "provider", "model", "created_at", "updated_at", "hit_count").collect())
+    day = lambda n: T0 + dt.timedelta(days=n)
+    assert got == [
+        (1, "en", "Apple ", "Apple |en", "s", "unknown", T0, day(8), 2),
+        (2, "en", "Kept", "Giữ", "p", "unknown", T0, T0, 0),
+        (3, "en", "boom", "Bùm", "p", "unknown", T0, day(7), 1),
+        (4, "en", " Pear x", " Pear x|en", "s", "unknown", day(7), day(7), 0),
+        (5, "fr", "Pear x", "Pear x|fr", "s", "unknown", day(9), day(9), 0),
+    ]
+    # Neither the looked up keys nor the answers hold the segments' texts, and no merged table is written.
+    new = {label: written(label) - before[label] for label in before}
+    columns = {label: set(spark.read.parquet(*new[label]).columns) for label in ("tm-lookup", "translations")}
+    assert not columns["tm-lookup"] & {"text", "cached_text"} and "text" not in columns["translations"] and not new["tm-merge"]
+    # What nobody asks for is not shuffled.
+    plan = state.select("id", "hit_count")._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by(text" not in plan
