@@ -63,3 +63,32 @@ def test_dead_letters_of_several_files(spark, tmp_path):
     (log / "three.jsonl").write_text('{"job_id": "d", "n": 2}\n{{\n')
     run()
     assert dead_letters.read_good(spark, good, schema).count() == 3 and dead_letters.read_bad(spark, bad).count() == 4
+
+
+def test_the_driver_gets_partitions_not_files(spark, tmp_path, monkeypatch):
+    import pickle
+
+    monkeypatch.setattr(small_files, "FEW", 50)  # files that the driver packs by itself
+    for i in range(400):
+        folder = tmp_path / f"a{i % 3}" / f"job_{i}"
+        folder.mkdir(parents=True)
+        (folder / "job.json").write_text("x" * (1 + i % 7) if i != 5 else "y" * 300_000)
+        (folder / "job.json.bak").write_text("no")
+    (tmp_path / "empty").mkdir()
+    found = small_files.list_files(spark, f"file://{tmp_path}", "job.json")
+    want = {f"{tmp_path}/a{i % 3}/job_{i}/job.json": 1 + i % 7 if i != 5 else 300_000 for i in range(400)}
+    assert {r.path: r.size for r in found.collect()} == want and found.count() == 400
+    folder = small_files.pack_files(found, 8)
+    reader = small_files.SmallFilesReader({"path": str(tmp_path), "packed": folder})
+    parts = reader.partitions()
+    # What the driver holds and sends does not grow with the files.
+    assert len(parts) == 8 and all(len(pickle.dumps(p.__dict__)) < 1000 for p in parts)
+    held = [list(reader.paths(p.folder)) for p in parts]
+    assert sorted(x for h in held for x in h) == sorted(want)
+    weights = [sum(want[x] + small_files.OPENING for x in h) for h in held]
+    assert max(weights) - min(weights) <= 2 * (300_000 + small_files.OPENING)
+    df = small_files.read_files(spark, str(tmp_path), "job.json", 8)
+    assert df.rdd.getNumPartitions() == 8 and {(r.path, r.length, len(r.content)) for r in df.collect()} == {(p, n, n) for p, n in want.items()}
+    # Files that a condition wants are spread over the partitions as well.
+    some = df.filter(df.path.startswith(f"{tmp_path}/a1/"))
+    assert some.count() == sum("/a1/" in p for p in want) and some.rdd.getNumPartitions() >= 6
